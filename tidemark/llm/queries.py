@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -48,11 +48,17 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages to remove: document, offsets in its text, and the documents that keep them."""
+    return line_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": op1_transport_stream,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
 }
 ORACLES: dict[str, str] = {}
