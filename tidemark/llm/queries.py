@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import jaccard_join, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components(table(spark, sf_dir, "documents"), jaccard_join.Likeness())
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_stream": op1_transport_stream,
     "op2_token_counts": op2_token_counts,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
