@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import graph_ann, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The passages to remove: document, offsets in its text, and the documents that keep them."""
     return line_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("_key")
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_lattice_lm": op7_lattice_lm,
+    "op8_graph_ann": op8_graph_ann,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
