@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph_ann, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import graph_ann, html_crf, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_html_crf": op6_html_crf,
     "op7_lattice_lm": op7_lattice_lm,
     "op8_graph_ann": op8_graph_ann,
     "op9_line_dedup": op9_line_dedup,
