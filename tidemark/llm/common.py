@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,10 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors."""
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside, but for those to keep, are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    Inside scratch() the table lasts until its end, or with keep as long as the scope around that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+    scope = len(_scopes) - 1 - keep
+    if scope >= 0:
+        _scopes[scope].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

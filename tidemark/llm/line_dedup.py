@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, materialize
+from tidemark.llm.common import arrow_rows, materialize, scratch
 
 MIN_WORDS = 30
 UNIT_WORDS = 3
@@ -75,6 +75,11 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_key, doc_id, start, end, n_words, n_units, kept_doc_ids): what is to be removed, one row a passage."""
     narrow = docs.select(_key().alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with scratch(docs.sparkSession):
+        return materialize(_passages(narrow, min_words), "passages", keep=True)
+
+
+def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     units = materialize(narrow.mapInArrow(_split, _UNITS_DDL), "units")
     place = F.struct("_doc", "_start", "_key")
     digests = (
