@@ -297,7 +297,7 @@ def join_texts():
     return texts
 
 
-@pytest.mark.parametrize("like", [jaccard_join.Likeness(), jaccard_join.Likeness(words=5, per_inter=80, spread=1.95), jaccard_join.Likeness(cells=3)])
+@pytest.mark.parametrize("like", [jaccard_join.Likeness(), jaccard_join.Likeness(words=5, per_inter=80, spread=1.95, spare=0.2), jaccard_join.Likeness(cells=3)])
 def test_jaccard_join_finds_every_link(spark, like):
     texts = join_texts()
     rows = jaccard_join.components(documents(spark, texts), like).collect()
@@ -312,13 +312,13 @@ def test_jaccard_join_splits_large_clusters_exactly(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(texts, like)
 
 
-def test_similar_sets_share_a_signature():
+@pytest.mark.parametrize("like", [jaccard_join.Likeness(), jaccard_join.Likeness(per_inter=80, spread=1.95, spare=0.2)])
+def test_similar_sets_share_a_signature(like):
     rng = np.random.default_rng(1)
-    like = jaccard_join.Likeness()
     for n in (5, 9, 10, 11, 19, 20, 40, 150, 700):
         for _ in range(20):
             a = np.unique(jaccard_join.mix(rng.integers(0, 1 << 62, n).astype(np.uint64)) >> np.uint64(16))
-            drop = rng.integers(0, len(a) // 10 + 1)
+            drop = rng.integers(0, len(a) // 5 + 1)
             b = np.sort(rng.permutation(a)[drop:])
             if like.linked(len(a), len(b), len(b)) and len(a) != len(b):
                 assert set(jaccard_join.signatures(a, like)) & set(jaccard_join.signatures(b, like)), (n, drop)
