@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, redaction, remotes, text
-from tidemark.operators import chunking, ignore, ledger, memory, retrieval, scope, search_index, sync
+from tidemark.operators import chunking, evidence, ignore, ledger, memory, projects, retrieval, scope, search_index, sync
+from tidemark.sources import policy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -718,6 +719,89 @@ def derived_upsert(read: Read) -> DataFrame:
     return sync.upsert(orders, changes, ["o_orderkey"])
 
 
+@query(
+    "WITH s AS (SELECT c_custkey AS session_id, CASE WHEN c_custkey % 3 = 0 THEN 'r' || (c_custkey % 5) END AS remote, CASE WHEN c_custkey % 2 = 0 THEN '/w/' || (c_custkey % 4) END AS root, '/h/' || (c_custkey % 3) || '/x' || (c_custkey % 7) AS cwd FROM customer), "
+    "m AS (SELECT * FROM (VALUES (0, 'session', '30', 'A'), (2, 'remote', 'r1', 'B'), (2, 'remote', 'r1', 'C'), (3, 'root', '/w/2', 'D'), (4, 'folder', '/h/1', 'E'), (4, 'folder', '/h/1/x3/', 'F')) t(level, kind, value, project)), "
+    "c AS (SELECT session_id, project, level, 0 AS len FROM s JOIN m ON (kind = 'session' AND value = CAST(session_id AS VARCHAR)) OR (kind = 'remote' AND value = remote) OR (kind = 'root' AND value = root) UNION ALL "
+    "SELECT session_id, project, 4, 0 FROM (SELECT *, rank() OVER (PARTITION BY session_id ORDER BY length(value) DESC) AS r FROM s JOIN m ON kind = 'folder' AND (cwd = rtrim(value, '/') OR starts_with(cwd, rtrim(value, '/') || '/'))) WHERE r = 1 UNION ALL "
+    "SELECT session_id, coalesce('remote:' || remote, 'root:' || root), CASE WHEN remote IS NOT NULL THEN 5 ELSE 6 END, 0 FROM s WHERE remote IS NOT NULL OR root IS NOT NULL), "
+    "b AS (SELECT session_id, level, min(project) AS lo, max(project) AS hi FROM c GROUP BY 1, 2 QUALIFY level = min(level) OVER (PARTITION BY session_id)) "
+    "SELECT session_id, CASE WHEN lo = hi THEN lo END AS project_id, CASE level WHEN 0 THEN 'session' WHEN 2 THEN 'repository_remote' WHEN 3 THEN 'repository_root' WHEN 4 THEN 'cwd_prefix' WHEN 5 THEN 'inferred_remote' ELSE 'inferred_root' END AS level, lo <> hi AS ambiguous FROM b"
+)
+def project_resolution(read: Read) -> DataFrame:
+    key = F.col("c_custkey")
+    sessions = read("customer").select(
+        key.alias("session_id"), F.lit(None).cast("string").alias("metadata_remote"),
+        F.when(key % 3 == 0, F.concat(F.lit("r"), (key % 5).cast("string"))).alias("repository_remote"),
+        F.when(key % 2 == 0, F.concat(F.lit("/w/"), (key % 4).cast("string"))).alias("repository_root"),
+        F.concat(F.lit("/h/"), (key % 3).cast("string"), F.lit("/x"), (key % 7).cast("string")).alias("cwd"),
+    )
+    rules = [("session", "30", "A"), ("remote", "r1", "B"), ("remote", "r1", "C"), ("root", "/w/2", "D"), ("folder", "/h/1", "E"), ("folder", "/h/1/x3/", "F")]
+    return projects.resolve(sessions, sessions.sparkSession.createDataFrame(rules, "kind string, value string, project_id string"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'forbidden_name' WHEN event_id % 5 = 1 THEN 'excluded_root' WHEN event_id % 5 = 2 THEN 'outside_home' WHEN event_id % 5 = 3 THEN 'unknown_shape' END AS refusal FROM events"
+)
+def source_policy(read: Read) -> DataFrame:
+    paths = ("/h/auth.json", "/h/old/history.jsonl", "/other/history.jsonl", "/h/sessions/notes.txt", "/h/sessions/2024/rollout-1.jsonl")
+    path = F.element_at(F.array(*map(F.lit, paths)), (F.col("event_id") % 5 + 1).cast("int"))
+    return read("events").select("event_id", policy.refusal(F.lit("/h"), path, ["/h/old"]).alias("refusal"))
+
+
+@query("SELECT session_id, event_id, ordinal FROM (SELECT user_id AS session_id, event_id, event_id AS ordinal, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 10")
+def recent_events(read: Read) -> DataFrame:
+    newest = Window.partitionBy("session_id").orderBy(F.desc("ordinal"))
+    rows = read("events").select(F.col("user_id").alias("session_id"), "event_id", F.col("event_id").alias("ordinal"))
+    return rows.withColumn("n", F.row_number().over(newest)).filter("n <= 10").drop("n")
+
+
+@query(
+    "SELECT o_orderkey AS entity_id, round(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 0.25 END + CASE WHEN o_orderstatus = 'O' THEN 0.5 ELSE 0 END + 0.005, 9) AS fused_score FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderstatus = 'O'"
+)
+def hit_validation(read: Read) -> DataFrame:
+    orders = read("orders")
+    part = lambda channel, fingerprint, score: F.struct(F.lit(channel).alias("channel"), fingerprint.alias("fingerprint"), F.lit(score).alias("part"))
+    stale = F.when(F.col("o_orderkey") % 3 == 0, "old").otherwise(F.col("o_orderstatus"))
+    found = orders.select(F.col("o_orderkey").alias("entity_id"), F.array(part("fts", stale, 0.25), part("exact", F.lit("O"), 0.5)).alias("matches"), F.lit(0.005).alias("boost"))
+    kept = evidence.survivors(found, orders.select(F.col("o_orderkey").alias("entity_id"), F.col("o_orderstatus").alias("fingerprint")))
+    return kept.select("entity_id", rounded(F.col("fused_score")).alias("fused_score"))
+
+
+@query("SELECT r_regionkey AS space_id, CASE WHEN r_regionkey = 3 THEN 'active' WHEN r_regionkey = 1 THEN 'retired' ELSE 'ready' END AS status, CASE WHEN r_regionkey = 1 THEN 'now' END AS retired_at FROM region")
+def space_activation(read: Read) -> DataFrame:
+    spaces = read("region").select(F.col("r_regionkey").alias("space_id"), F.when(F.col("r_regionkey") == 1, "active").otherwise("ready").alias("status"), F.lit(None).cast("string").alias("retired_at"))
+    return evidence.activate_space(spaces, 3, "now")
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND vec_id % 7 <> 0 AS valid FROM embeddings")
+def vector_validity(read: Read) -> DataFrame:
+    v = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return read("embeddings").select("vec_id", evidence.valid_vector(v, 64).alias("valid"))
+
+
+@query("SELECT p_partkey AS memory_id, CAST(p_size AS VARCHAR) || ',a' AS missing FROM part WHERE p_size > 40")
+def evidence_faults(read: Read) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    memories = read("part").select(F.col("p_partkey").alias("memory_id"), F.array(size, F.when(F.col("p_size") > 40, F.lit("a")).otherwise(size)).alias("evidence_ids"))
+    known = read("part").filter("p_size <= 40").select(size.alias("chunk_id")).distinct()
+    return memory.evidence_faults(memories, known).select("memory_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (lang = 'en') AS english, max(doc_id) AS last FROM documents GROUP BY 1")
+def ingest_totals(read: Read) -> DataFrame:
+    return read("documents").groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("lang") == "en").alias("english"), F.max("doc_id").alias("last")
+    )
+
+
+@query("SELECT conv_id, turn, text, role FROM conversations WHERE conv_id % 3 = 1 AND (turn = 0 OR conv_id % 2 = 0)")
+def scope_filter(read: Read) -> DataFrame:
+    rows = read("conversations").select("conv_id", "turn", "text", "role", (F.col("conv_id") % 3).cast("string").alias("project_id"), F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd").alias("workstream_id"), F.col("turn").cast("string").alias("session_id"))
+    either = scope.within({"project_id": "1", "workstream_id": "even"}) | scope.within({"project_id": "1", "session_id": "0"})
+    return rows.filter(either).select("conv_id", "turn", "text", "role")
+
+
 # ------------------------------------------------------------------ the flagship
 
 
