@@ -100,6 +100,17 @@ def arrow_rows(
         yield to_batch(out, schema)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """A worker process's one large cache: kept from task to task, dropped when another operator needs its own."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(

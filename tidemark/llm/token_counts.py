@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows
+from tidemark.llm.common import arrow_rows, held
 from tidemark.llm.unit_tokens import UnitCounts, load_tokenizer
 
 TABLE_SIZE = 16_384
@@ -78,22 +79,16 @@ def frequent_units(docs: DataFrame) -> list[str]:
     return list(json.loads(rows[0]["summary"])) if rows else []
 
 
-_tables: dict[tuple, UnitCounts] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each document's whole text."""
     units = frequent_units(docs)
     tokenizer = load_tokenizer(vocabulary)
     lengths = {u: len(tokenizer.encode(u, add_special_tokens=False)) for u in units}
     table = docs.sparkSession.sparkContext.broadcast(lengths)
+    model_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (vocabulary, table.id if hasattr(table, "id") else 0)
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = UnitCounts(vocabulary, table.value)
-        count = _tables[key]
+        count = held(("counts", model_id), lambda: UnitCounts(vocabulary, table.value))
 
         def row(doc_id: int | None, text: str | None) -> tuple:
             text = text or ""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, materialize
+from tidemark.llm.common import crc_mod, held, materialize
 from tidemark.llm.unit_tokens import Generations
 
 ORDER = 6
@@ -181,15 +181,9 @@ def probability(found: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(found) @ beta, -30, 30)))
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def _scorer(model_id: str, broadcast) -> Scorer:
     """The worker process's scorer of a model; its cache is kept from task to task."""
-    if model_id not in _scorers:
-        _scorers.clear()
-        _scorers[model_id] = Scorer(Ratios(*broadcast.value))
-    return _scorers[model_id]
+    return held(("toxicity", model_id), lambda: Scorer(Ratios(*broadcast.value)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:

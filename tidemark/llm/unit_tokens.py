@@ -14,19 +14,18 @@ import os
 import re
 from array import array
 
+from tidemark.llm.common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a cache generation and the longest string kept in it: at most about 100 MB a worker.
-GENERATION = 250_000
+#: Entries of a cache generation and the longest string kept in it: at most about 50 MB a worker.
+GENERATION = 120_000
 LONGEST = 64
 
 #: Units whose normal form is their lower case: no combining marks, apostrophes or special strings.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?()\[\]\"/%&#$*+=@_-]*")
 _PRE_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-_loaded: dict[str, object] = {}
-
-
 def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies' letter for each byte: printable bytes stand for themselves, others follow from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,15 +37,13 @@ _TO_LETTERS = str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
 
 def load_tokenizer(path: str):
-    """The library's tokenizer, without truncation or padding; one for each worker process."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+    """The library's tokenizer, without truncation or padding."""
+    from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        _loaded[path] = tokenizer
-    return _loaded[path]
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 class Generations(dict):
@@ -119,11 +116,6 @@ class UnitCounts:
         return sum(map(self.units.__getitem__, text.split(" ")))
 
 
-_ids: dict[str, TextIds] = {}
-
-
 def worker_ids(path: str) -> TextIds:
     """The worker process's own TextIds; kept from task to task."""
-    if path not in _ids:
-        _ids[path] = TextIds(path)
-    return _ids[path]
+    return held(("ids", path), lambda: TextIds(path))
