@@ -252,6 +252,25 @@ def test_line_dedup_keeps_first_of_a_document_s_own_repeats(spark):
     assert [(r.doc_id, r.start, r.end, r.kept_doc_ids) for r in found] == [(0, len(passage) + 1, 2 * len(passage) + 1, [0])]
 
 
+def test_line_dedup_finds_lists_of_short_units(spark):
+    rng = random.Random(13)
+    listed = " ".join(f"{w.upper()}!!" for w in words(rng, 90).split())
+    texts = [listed, words(rng, 9) + ".\nOne! two! " + listed, listed]
+    found = {r.doc_id: r for r in line_dedup.repeated_passages(documents(spark, texts)).collect()}
+    assert found.keys() == {1, 2}
+    assert texts[2][found[2].start : found[2].end] == listed
+    assert texts[1][found[1].start : found[1].end].count("!!") > 60
+
+
+def test_line_dedup_keeps_what_occurs_once(spark):
+    rng = random.Random(14)
+    first, second = (words(rng, 40).capitalize() + "." for _ in range(2))
+    once = "\n".join(words(rng, 1) for _ in range(30))
+    docs = documents(spark, [f"{first}\n{second}", f"{first}\n{once}\n{second}"])
+    cut = {r.doc_id: r.text for r in line_dedup.remove_repeats(docs).collect()}
+    assert cut[1].split() == once.split()
+
+
 # ------------------------------------------------------------------ jaccard join
 
 

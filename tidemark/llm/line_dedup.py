@@ -4,8 +4,10 @@ Units are lines, cut further at sentence ends, so that a passage is found inside
 A unit's digest is taken of its normalised words (lower case, single spaces, outer punctuation
 dropped). Digests are grouped over the whole corpus and the occurrence of smallest (doc_id, start)
 stays; the others are repeats. Adjacent repeats of a document that together have at least
-MIN_WORDS words are removed, with their offsets in the original text retained. Units of fewer than
-UNIT_WORDS words are neither grouped nor end a run: they go with the repeats around them.
+MIN_WORDS words are removed, with their offsets in the original text retained. Consecutive units of
+fewer than UNIT_WORDS words make one unit, which ends at a word of chosen digest, so that two copies
+of a word list fall into step wherever they begin. Every word lies in a unit, and only units that
+repeat are removed.
 
 Minima and counts are taken before shuffling, so a digest that fills the corpus is one row from
 each task; only digests that occur twice are joined back to their places.
@@ -31,6 +33,7 @@ from tidemark.llm.common import arrow_rows, materialize, scratch
 
 MIN_WORDS = 30
 UNIT_WORDS = 3
+GROUP_WORDS = 24
 LAST = (1 << 63) - 1
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
@@ -50,14 +53,33 @@ _UNITS = pa.schema(
 _UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long"
 
 
-def units_of(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit of at least UNIT_WORDS words; offsets in code points."""
+def spans_of(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, normalised words) of each unit; offsets in code points."""
+    short: tuple[int, int, list[str]] | None = None
     for found in _SENTENCE.finditer(text):
         words = [w for w in (w.strip(_OUTER) for w in found[0].lower().split()) if w]
+        if not words:
+            continue
+        start = found.start() + len(found[0]) - len(found[0].lstrip())
         if len(words) >= UNIT_WORDS:
-            digest = xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
-            lead = len(found[0]) - len(found[0].lstrip())
-            yield found.start() + lead, found.end(), len(words), digest
+            if short:
+                yield short
+                short = None
+            yield start, found.end(), words
+            continue
+        short = (short[0], found.end(), short[2] + words) if short else (start, found.end(), words)
+        n = len(short[2])
+        if n >= GROUP_WORDS or (n >= UNIT_WORDS and xxhash.xxh3_64_intdigest(words[-1].encode()) % 4 == 0):
+            yield short
+            short = None
+    if short:
+        yield short
+
+
+def units_of(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, words, digest) of each unit."""
+    for start, end, words in spans_of(text):
+        yield start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
 
 
 def _key() -> Column:
