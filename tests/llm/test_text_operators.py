@@ -271,6 +271,18 @@ def test_line_dedup_keeps_what_occurs_once(spark):
     assert cut[1].split() == once.split()
 
 
+def test_line_dedup_carries_runs_into_sentences(spark):
+    rng = random.Random(15)
+    head, tail = words(rng, 20), words(rng, 20)
+    passage = f"{head}. {words(rng, 14).capitalize()}. {tail}"
+    own = [words(rng, 8) for _ in range(4)]
+    texts = [f"{own[0]} {passage} {own[1]}.", f"{own[2]} {passage} {own[3]}."]
+    found = line_dedup.repeated_passages(documents(spark, texts)).collect()
+    assert [(r.doc_id, r.n_words, r.kept_doc_ids, texts[1][r.start : r.end]) for r in found] == [(1, 54, [0], passage)]
+    cut = {r.doc_id: r.text for r in line_dedup.remove_repeats(documents(spark, texts)).collect()}
+    assert cut[1].split() == f"{own[2]} {own[3]}.".split()
+
+
 # ------------------------------------------------------------------ jaccard join
 
 

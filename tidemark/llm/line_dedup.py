@@ -3,8 +3,10 @@
 Units are lines, cut further at sentence ends, so that a passage is found inside a longer line too.
 A unit's digest is taken of its normalised words (lower case, single spaces, outer punctuation
 dropped). Digests are grouped over the whole corpus and the occurrence of smallest (doc_id, start)
-stays; the others are repeats. Adjacent repeats of a document that together have at least
-MIN_WORDS words are removed, with their offsets in the original text retained. Consecutive units of
+stays; the others are repeats. Adjacent repeats of a document are a run. A run is carried on, word by
+word, into the units beside it as far as they agree with the units beside the occurrences that stay,
+so a passage that begins or ends inside a sentence counts with its edges. Runs that then have at
+least MIN_WORDS words are removed, with their offsets in the original text retained. Consecutive units of
 fewer than UNIT_WORDS words make one unit, which ends at a word of chosen digest, so that two copies
 of a word list fall into step wherever they begin. Every word lies in a unit, and only units that
 repeat are removed.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -37,6 +40,7 @@ GROUP_WORDS = 24
 LAST = (1 << 63) - 1
 
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+_TOKEN = re.compile(r"\S+")
 _OUTER = ".,;:!?()[]{}\"'«»„“”…"
 
 _UNITS = pa.schema(
@@ -48,9 +52,13 @@ _UNITS = pa.schema(
         ("_end", pa.int64()),
         ("_words", pa.int32()),
         ("_digest", pa.int64()),
+        ("_before", pa.int32()),
+        ("_after", pa.int32()),
     ]
 )
-_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long"
+_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long, _before int, _after int"
+_EDGES = pa.schema([("_k", pa.int64()), ("_n", pa.int32()), ("_hashes", pa.binary()), ("_starts", pa.binary()), ("_ends", pa.binary())])
+_EDGES_DDL = "_k long, _n int, _hashes binary, _starts binary, _ends binary"
 
 
 def spans_of(text: str) -> Iterator[tuple[int, int, list[str]]]:
@@ -89,7 +97,9 @@ def _key() -> Column:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def row(key: int, doc_id: int | None, text: str | None) -> list[tuple]:
         doc = LAST if doc_id is None else doc_id
-        return [(key, doc, no, *unit[:2], unit[2], unit[3]) for no, unit in enumerate(units_of(text or ""))]
+        units = list(units_of(text or ""))
+        sizes = [0, *(u[2] for u in units), 0]
+        return [(key, doc, no, *unit, sizes[no], sizes[no + 2]) for no, unit in enumerate(units)]
 
     return arrow_rows(batches, _UNITS, row, at_most=8192)
 
@@ -101,14 +111,75 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return materialize(_passages(narrow, min_words), "passages", keep=True)
 
 
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, text, unit numbers): each unit's words as hashes, with their offsets in the text."""
+
+    def row(key: int, text: str | None, wanted: list[int]) -> list[tuple]:
+        text, asked, made = text or "", set(wanted), []
+        for no, (start, end, _) in enumerate(spans_of(text)):
+            if no not in asked:
+                continue
+            places = [(m.start(), m.end(), w) for m in _TOKEN.finditer(text, start, end) if (w := m[0].lower().strip(_OUTER))]
+            hashes = np.array([xxhash.xxh32_intdigest(w.encode()) for _, _, w in places], np.uint32)
+            starts, ends = (np.array([p[i] for p in places], np.int64) for i in (0, 1))
+            made.append((key, no, hashes.tobytes(), starts.tobytes(), ends.tobytes()))
+        return made
+
+    return arrow_rows(batches, _EDGES, row)
+
+
+def _agreeing(left: pd.Series, own: pd.Series, kept: pd.Series, starts: pd.Series, ends: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """How many words of a unit agree with the kept one's, from the side of the run, and where they begin or end."""
+    out = []
+    for is_left, a, b, s, e, low in zip(left, own, kept, starts, ends, least):
+        a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        s, e = np.frombuffer(s, np.int64), np.frombuffer(e, np.int64)
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[::-1][:n] != b[::-1][:n]) if is_left else np.flatnonzero(a[:n] != b[:n])
+        n = int(differ[0]) if len(differ) else n
+        if is_left:  # not into the kept occurrence itself
+            n = min(n, int((s >= low).sum()))
+        out.append((n, 0 if not n else int(s[-n]) if is_left else int(e[n - 1])))
+    return pd.DataFrame(out, columns=["_more", "_to"])
+
+
+def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
+    """runs with start, end and n_words carried on into the units beside them."""
+    side = lambda left, no, kept_key, kept_no, least: F.struct(
+        F.lit(left).alias("_left"), no.alias("_no"), kept_key.alias("_kept_key"), kept_no.alias("_kept_no"), least.alias("_least")
+    )
+    first, last = F.col("_head"), F.col("_tail")
+    low = F.when(first["_kept_key"] == F.col("_key"), first["_kept_end"]).otherwise(F.lit(0))
+    sides = F.array(
+        side(True, first["_no"] - 1, first["_kept_key"], first["_kept_no"] - 1, low),
+        side(False, last["_no"] + 1, last["_kept_key"], last["_kept_no"] + 1, F.lit(0).cast("long")),
+    )
+    edges = runs.select("_key", "_doc", "_run", F.explode(sides).alias("_s")).select("_key", "_doc", "_run", "_s.*").filter("_no >= 0 and _kept_no >= 0")
+    wanted = edges.select("_key", "_no").union(edges.select("_kept_key", "_kept_no")).distinct()
+    by_doc = wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_list("_no").alias("_wanted"))
+    texts = narrow.join(by_doc, narrow["_key"] == by_doc["_k"]).select("_k", "text", "_wanted").mapInArrow(_words_of, _EDGES_DDL)
+    texts = materialize(texts.dropDuplicates(["_k", "_n"]), "edges")
+    own = texts.withColumnsRenamed({"_k": "_key", "_n": "_no", "_hashes": "_own"})
+    kept = texts.select(F.col("_k").alias("_kept_key"), F.col("_n").alias("_kept_no"), F.col("_hashes").alias("_theirs"))
+    met = edges.join(kept, ["_kept_key", "_kept_no"]).join(own, ["_key", "_no"])
+    agreeing = F.pandas_udf(_agreeing, "_more int, _to long")
+    found = met.select("_key", "_doc", "_run", "_left", agreeing("_left", "_own", "_theirs", "_starts", "_ends", "_least").alias("_a")).filter("_a._more > 0")
+    more = found.groupBy("_key", "_doc", "_run").agg(
+        F.sum("_a._more").alias("_more"), F.max(F.when(F.col("_left"), F.col("_a._to"))).alias("_from"), F.max(F.when(~F.col("_left"), F.col("_a._to"))).alias("_to")
+    )
+    return runs.join(more, ["_key", "_doc", "_run"], "left").withColumns(
+        {"start": F.coalesce("_from", "start"), "end": F.coalesce("_to", "end"), "n_words": F.col("n_words") + F.coalesce("_more", F.lit(0))}
+    )
+
+
 def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     units = materialize(narrow.mapInArrow(_split, _UNITS_DDL), "units")
-    place = F.struct("_doc", "_start", "_key")
+    place = F.struct("_doc", "_start", "_key", "_no", "_end")
     digests = (
         units.groupBy("_digest")
         .agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
         .filter("_first != _last")
-        .select(F.col("_digest").alias("_d"), F.col("_first._doc").alias("_kept"), F.col("_first._start").alias("_kept_start"), F.col("_first._key").alias("_kept_key"))
+        .select(F.col("_digest").alias("_d"), *(F.col(f"_first.{c}").alias(f"_kept{n}") for c, n in (("_doc", ""), ("_start", "_start"), ("_key", "_key"), ("_no", "_no"), ("_end", "_end"))))
     )
     digests = materialize(digests, "digests")
     repeats = units.join(digests, units["_digest"] == digests["_d"]).filter(
@@ -116,20 +187,28 @@ def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     )
     # Rows listed twice have their units twice.
     one = repeats.groupBy("_key", "_doc", "_no").agg(
-        *(F.first(c).alias(c) for c in ("_start", "_end", "_words", "_kept"))
+        *(F.first(c).alias(c) for c in ("_start", "_end", "_words", "_before", "_after", "_kept", "_kept_key", "_kept_no", "_kept_end"))
     )
     in_doc = Window.partitionBy("_key", "_doc").orderBy("_no")
     runs = one.withColumn("_run", F.col("_no") - F.row_number().over(in_doc))
+    at = F.struct("_no", "_before", "_after", "_kept_key", "_kept_no", "_kept_end")
     found = runs.groupBy("_key", "_doc", "_run").agg(
         F.min("_start").alias("start"),
         F.max("_end").alias("end"),
         F.sum("_words").cast("long").alias("n_words"),
         F.count(F.lit(1)).alias("n_units"),
         F.array_sort(F.collect_set("_kept")).alias("kept_doc_ids"),
+        F.min(at).alias("_head"),
+        F.max(at).alias("_tail"),
     )
+    # No more can be carried on than the units beside a run hold.
+    found = materialize(found.filter(F.col("n_words") + F.col("_head._before") + F.col("_tail._after") >= min_words), "runs")
+    found = _carried_on(found, narrow).filter(F.col("n_words") >= min_words)
+    # Two runs may reach into the same unit.
+    found = found.withColumn("_past", F.lag("end").over(Window.partitionBy("_key", "_doc").orderBy("_run")))
     null_doc = F.when(F.col("_doc") != LAST, F.col("_doc"))
-    return found.filter(F.col("n_words") >= min_words).select(
-        "_key", null_doc.alias("doc_id"), "start", "end", "n_words", "n_units",
+    return found.select(
+        "_key", null_doc.alias("doc_id"), F.greatest("start", "_past").alias("start"), "end", "n_words", "n_units",
         F.transform("kept_doc_ids", lambda d: F.when(d != LAST, d)).alias("kept_doc_ids"),
     )
 
