@@ -156,6 +156,17 @@ def test_extract(spark):
     assert html_crf.extract(pages.limit(0)).collect() == []
 
 
+def test_open_heads_end_where_the_body_begins():
+    body = "<article><h1>A title</h1><p>One two three.</p></article>"
+    whole = f"<html><head><meta charset=x><title>t</title></head><body>{body}</body></html>"
+    blocks = [b.text for b in html_crf.leaf_blocks(whole)]
+    assert blocks == ["A title", "One two three."]
+    for page in (whole.replace("</head>", ""), whole.replace("</head><body>", ""), f"<head><style>p {{}}</style><script>x</script>{body}", f"<head><template><p>no</p></template>{body}"):
+        assert [b.text for b in html_crf.leaf_blocks(page)] == blocks
+    assert html_crf.main_text(whole.replace("</head>", ""), html_crf.trained_field()) == html_crf.main_text(whole, html_crf.trained_field()) != ""
+    assert [b.text for b in html_crf.leaf_blocks("<head><title>t</title>Plain <p>words")] == ["Plain", "words"]
+
+
 # ------------------------------------------------------------------ lattice language model
 
 

@@ -41,6 +41,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 SILENT_TAGS = frozenset("script style template noscript svg math iframe object head title canvas audio video".split())
+#: Start tags that leave an open head open; fixed values of HTML. Any other, and any text, ends it.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: A start tag on the left ends an open element on the right, up to the nearest of SCOPES; fixed values of HTML.
 IMPLIED_ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -99,6 +101,8 @@ def leaf_blocks(page: str) -> list[Block]:
 
     def add(text: str) -> None:
         nonlocal link_chars
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
         if text and not any(t in SILENT_TAGS for t, _ in stack):
             parts.append(text)
             if any(t == "a" for t, _ in stack):
@@ -120,6 +124,8 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag not in VOID_TAGS:
                 close({tag}, frozenset())
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            stack.pop()
         if tag in BLOCK_TAGS and tag != "br":
             close({"p"}, SCOPES - {"p"} | {"li", "td", "th", "blockquote"})
         if tag in IMPLIED_ENDS:
