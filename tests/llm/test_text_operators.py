@@ -234,6 +234,19 @@ def test_word_weights_sum_to_at_most_one():
     assert 0.5 < total <= 1.0 + 1e-9
 
 
+def test_kinds_are_fitted_to_all_training_documents(spark):
+    rng = random.Random(9)
+    rare = {i for i in range(600) if i % 10 == 0}
+    docs = documents(spark, [words(rng, 60, "xzvw" if i in rare else "bdgl") for i in range(600)])
+    train = [i for i in range(600) if zlib.crc32(str(i).encode()) % 7 != 2]
+    first = min(docs.select(F.xxhash64(F.lit(lattice_lm.SEED), "doc_id"), "doc_id").collect(), key=lambda r: r[0] if r[1] in set(train) else 1 << 63)[1]
+    repeated = docs.filter(F.col("doc_id") == first).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("n")
+    for table, more in ((docs, 0), (docs.unionByName(repeated), 40)):
+        _, share = lattice_lm.find_kinds(table, sample=40, kinds=2)
+        n = sum(i in rare for i in train) + (more if first in rare else 0)
+        assert min(np.exp(share)) == pytest.approx((n + 1) / (len(train) + more + 2))
+
+
 # ------------------------------------------------------------------ line dedup
 
 

@@ -40,6 +40,8 @@ from tidemark.llm.common import arrow_rows, crc_mod, held, materialize
 
 KINDS = 6
 SAMPLE = 3_000
+#: Gain in likelihood below which the mixture is left as it is.
+STILL = 1e-4
 BUCKETS = 2_048
 SEED = 97
 ROUNDS = 2
@@ -231,8 +233,8 @@ def held_out() -> Column:
 
 def find_kinds(docs: DataFrame, sample: int = SAMPLE, kinds: int = KINDS) -> tuple[np.ndarray, np.ndarray]:
     order = F.xxhash64(F.lit(SEED), "doc_id")
-    ids = _narrow(docs).filter(~held_out()).select("doc_id").orderBy(order, "doc_id").limit(sample).distinct()
-    chosen = _narrow(docs).join(F.broadcast(ids), "doc_id")  # at most `sample` ids
+    ids = _narrow(docs).filter(~held_out()).select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
+    chosen = _narrow(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("data").alias("data"))  # at most `sample` rows
     schema = pa.schema([("b", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +249,46 @@ def find_kinds(docs: DataFrame, sample: int = SAMPLE, kinds: int = KINDS) -> tup
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for i, r in enumerate(sorted(rows, key=lambda r: (r["b"], r["n"]))):
         x[i, r["b"]] = r["n"]
-    return fit_kinds(x, kinds)
+    return fit_all(docs, *fit_kinds(x, kinds))
+
+
+def fit_all(docs: DataFrame, theta: np.ndarray, share: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """The mixture after rounds over all training documents, until their likelihood stands still; the driver gets sums by bucket."""
+    kinds, before = len(share), -math.inf
+    data = _narrow(docs).filter(~held_out()).select("data")
+    names = [f"s{k}" for k in range(kinds)]
+    for _ in range(rounds):
+        shared = docs.sparkSession.sparkContext.broadcast((theta, share))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            theta, share = shared.value
+            into = np.zeros((BUCKETS + 2, kinds))
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    x = np.stack([np.bincount(buckets(d), minlength=BUCKETS) for d in batch.column(0).slice(start, 256).to_pylist()]).astype(np.float64)
+                    score = x @ theta + share
+                    high = score.max(axis=1, keepdims=True)
+                    belongs = np.exp(score - high)
+                    total = belongs.sum(axis=1, keepdims=True)
+                    belongs /= total
+                    into[:BUCKETS] += x.T @ belongs
+                    into[BUCKETS] += belongs.sum(axis=0)
+                    into[BUCKETS + 1, 0] += (high + np.log(total)).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(into), dtype=np.int32)), *(pa.array(into[:, k]) for k in range(kinds))], names=["bucket", *names])
+
+        summed = data.mapInArrow(run, ", ".join(["bucket int", *(f"{n} double" for n in names)])).groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names))
+        sums = np.zeros((BUCKETS + 2, kinds))
+        for r in summed.collect():  # BUCKETS + 2 rows
+            sums[r["bucket"]] = r[1:]
+        if not sums[BUCKETS].any():
+            break
+        theta = np.log((sums[:BUCKETS] + 0.1) / (sums[:BUCKETS] + 0.1).sum(axis=0))
+        share = np.log((sums[BUCKETS] + 1) / (sums[BUCKETS].sum() + kinds))
+        likelihood = float(sums[BUCKETS + 1, 0])
+        if likelihood - before <= STILL * abs(likelihood):
+            break
+        before = likelihood
+    return theta, share
 
 
 # ------------------------------------------------------------------ counts of all training words
@@ -271,7 +312,7 @@ def count_words(docs: DataFrame, theta: np.ndarray, share: np.ndarray) -> DataFr
             column = batch.column(0)
             for start in range(0, len(column), 256):
                 for data in column.slice(start, 256).to_pylist():
-                    kind = int(np.argmax(theta[buckets(data)].sum(axis=0) + share))
+                    kind = int(np.argmax(np.bincount(buckets(data), minlength=BUCKETS) @ theta + share))
                     tables[kind].update(data.lower().split())
                     tables[kind][b""] += 1
                 if sum(map(len, tables)) >= TABLE_WORDS:
