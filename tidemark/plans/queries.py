@@ -325,9 +325,13 @@ _VECTOR_SQL = (
 )
 
 
-def _vectors(read: Read, metric: str) -> DataFrame:
+#: Every row whose id is divisible by 20 asks.
+_VECTORS_SQL = _VECTOR_SQL.replace("vec_id < 5", "vec_id % 20 = 0")
+
+
+def _vectors(read: Read, metric: str, which: str = "vec_id < 5") -> DataFrame:
     v = read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = v.filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))  # five stated queries
+    asked = v.filter(which).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     return search_index.vector_top(v, asked, metric, 10).select("query_id", "vec_id", rounded(F.col("distance")).alias("distance"))
 
 
@@ -336,16 +340,31 @@ def vector_cosine(read: Read) -> DataFrame:
     return _vectors(read, "cosine")
 
 
+@query(_VECTORS_SQL.format("1 - list_inner_product(embedding::DOUBLE[], q) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)))"))
+def vector_cosine_all(read: Read) -> DataFrame:
+    return _vectors(read, "cosine", "vec_id % 20 = 0")
+
+
 @query(_VECTOR_SQL.format("-list_inner_product(embedding::DOUBLE[], q)"))
 def vector_dot(read: Read) -> DataFrame:
     return _vectors(read, "dot")
 
 
+@query(_VECTORS_SQL.format("-list_inner_product(embedding::DOUBLE[], q)"))
+def vector_dot_all(read: Read) -> DataFrame:
+    return _vectors(read, "dot", "vec_id % 20 = 0")
+
+
 @query(_VECTOR_SQL.format("list_distance(embedding::DOUBLE[], q)"))
 def vector_l2(read: Read) -> DataFrame:
     return _vectors(read, "l2")
 
 
+@query(_VECTORS_SQL.format("list_distance(embedding::DOUBLE[], q)"))
+def vector_l2_all(read: Read) -> DataFrame:
+    return _vectors(read, "l2", "vec_id % 20 = 0")
+
+
 # ------------------------------------------------------------------ ranked lists
 
 
@@ -451,6 +470,15 @@ def evidence_range_join(read: Read) -> DataFrame:
     return retrieval.evidence_neighbours(events, events.filter("session_id % 5 = 0 and ordinal % 4 = 1"), 1, 2).select("session_id", "ordinal", "role")
 
 
+@query(
+    "SELECT DISTINCT c.conv_id AS session_id, c.turn AS ordinal, c.role FROM conversations c JOIN conversations a ON a.conv_id = c.conv_id AND c.turn BETWEEN a.turn - 1 AND a.turn + 2 "
+    "WHERE a.role = 'user'"
+)
+def evidence_range_join_all(read: Read) -> DataFrame:
+    events = read("conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ordinal"), "role")
+    return retrieval.evidence_neighbours(events, events.filter("role = 'user'"), 1, 2).select("session_id", "ordinal", "role")
+
+
 @query(
     "WITH w AS (SELECT unnest([40, 3, 17, 99999, 8]) AS id, unnest([0, 1, 2, 3, 4]) AS pos) SELECT CAST(pos AS INTEGER) AS pos, doc_id, source FROM w JOIN documents ON doc_id = id"
 )
