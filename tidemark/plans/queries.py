@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -429,16 +430,38 @@ def _chronology_sql(order: str) -> str:
     )
 
 
-def _chronology(read: Read, intent: str) -> DataFrame:
-    hits = read("events").filter("event_id < 500").select(
+def _hits(read: Read) -> DataFrame:
+    return read("events").select(
         F.col("event_id").alias("entity_id"),
         F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("observed_at"),
         F.col("value").alias("fused_score"),
         F.element_at(F.array(*map(F.lit, ("superseded", "current_as_of_commit", "unknown_currentness", "historical_unverified"))), (F.col("event_id") % 4 + 1).cast("int")).alias("currentness"),
     )
+
+
+def _chronology(read: Read, intent: str) -> DataFrame:
+    hits = _hits(read).filter("entity_id < 500")
     return hits.select("entity_id", F.row_number().over(Window.orderBy(*retrieval.chronology_order(intent))).alias("place"))
 
 
+def _chronology_all(read: Read, intent: str) -> DataFrame:
+    """Places of all hits: ranks within (currentness, day, range of scores), after the sizes of the groups before."""
+    hits = _hits(read)
+    bounds = sorted(set(hits.approxQuantile("fused_score", [i / 32 for i in range(1, 32)], 0.005)), reverse=True)
+    # A higher score comes first, a null one last.
+    level = sum((F.when(F.col("fused_score") >= b, 0).otherwise(1) for b in bounds), F.when(F.col("fused_score").isNull(), 1).otherwise(0))
+    hits = hits.withColumn("_level", level)
+    order = retrieval.chronology_order(intent)
+    group = [*(["currentness"] if intent == "latest_state" else []), "observed_at", "_level"]
+    sizes = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))  # at most 33 rows a day and currentness
+    before = Window.orderBy(*order[:-2], "_level").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size").withColumnsRenamed({c: f"_g{c}" for c in group})
+    same = functools.reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in group))
+    within = F.row_number().over(Window.partitionBy(*group).orderBy(*order[-2:]))
+    placed = hits.withColumn("_within", within).join(F.broadcast(offsets), same)
+    return placed.select("entity_id", (F.col("_offset") + F.col("_within")).cast("long").alias("place"))
+
+
 @query(_chronology_sql("observed_at ASC NULLS LAST"))
 def chronology(read: Read) -> DataFrame:
     return _chronology(read, "chronology")
@@ -453,6 +476,24 @@ def latest_state(read: Read) -> DataFrame:
     return _chronology(read, "latest_state")
 
 
+def _chronology_all_sql(order: str) -> str:
+    return _chronology_sql(order).replace(" WHERE event_id < 500", "").replace("AS INTEGER) AS place", "AS BIGINT) AS place")
+
+
+@query(_chronology_all_sql("observed_at ASC NULLS LAST"))
+def chronology_all(read: Read) -> DataFrame:
+    return _chronology_all(read, "chronology")
+
+
+@query(
+    _chronology_all_sql(
+        "CASE currentness WHEN 'current_as_of_commit' THEN 1 WHEN 'historical_unverified' THEN 2 WHEN 'unknown_currentness' THEN 3 ELSE 4 END, observed_at DESC NULLS FIRST"
+    )
+)
+def latest_state_all(read: Read) -> DataFrame:
+    return _chronology_all(read, "latest_state")
+
+
 @query(
     "SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS spent FROM conversations QUALIFY spent <= 2000"
 )
