@@ -201,3 +201,25 @@ def test_whole_documents_are_redacted(spark, tmp_path):
             wanted = wanted.replace(secret, "[REDACTED]")
         assert found[i].redacted == wanted and len(found[i].redactions) == wanted.count("[REDACTED]")
         assert cleaned[i] == whole.replace("/home/me/x.txt", "[LOCAL_PATH]").replace("C:\\me\\y", "[LOCAL_PATH]").replace("/srv/data/file.txt", "[LOCAL_PATH]")
+
+
+def test_whole_turns_are_split_and_extracted(spark, tmp_path):
+    import re
+
+    from tidemark.plans import queries
+
+    own = "It rained. We decided to ship the boat because tides turn. TODO: need to mend the sail. " + "Nothing else here. " * 30
+    rows = [(c, t, "user", own if c == 0 else None) for c in range(2) for t in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    split = {(r.session_id, r.chunk_id, r.no): r.sentence for r in run("sentences_all")}
+    wanted = {}
+    for c, t, _, body in rows:
+        whole = f"User: {queries._SAID[(c * 7 + t) % 6]} {body or ''}"
+        wanted |= {(c, t, n): x for n, x in enumerate(x for x in re.split(r"(?<=[.!?])\s+", whole.strip()) if len(x) >= 3)}
+    assert split == wanted
+    decided = {(r.session_id, r.chunk_id) for r in run("decisions_all") if "boat" in r.decision}
+    assert decided == {(0, t) for t in range(6)}
+    assert any(r.session_id == 0 and "mend the sail" in r.item for r in run("open_items_all"))
+    assert {(r.session_id, r.chunk_id) for r in run("decision_timeline_all")} >= decided
+    assert len(run("intent_classify_all")) == len(rows)

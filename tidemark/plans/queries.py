@@ -111,11 +111,12 @@ _SAID = {
 }
 
 
-def _said(read: Read) -> DataFrame:
+def _said(read: Read, whole: bool = False) -> DataFrame:
+    """With whole, the turn's own text follows the planted sentence."""
     said = F.create_map(*(F.lit(x) for kv in _SAID.items() for x in kv))[((F.col("conv_id") * 7 + F.col("turn")) % 6).cast("int")]
     at = F.format_string("2024-01-%02dT00:00:00.000Z", (F.col("turn") + 1).cast("int"))
     return read("conversations").select(
-        F.col("conv_id").alias("session_id"), F.col("turn").alias("chunk_id"), at.alias("observed_at"), F.concat(F.lit("User: "), said).alias("display_text")
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("chunk_id"), at.alias("observed_at"), F.concat(F.lit("User: "), said, *([F.lit(" "), F.coalesce("text", F.lit(""))] if whole else [])).alias("display_text")
     )
 
 
@@ -171,6 +172,33 @@ def decision_timeline(read: Read) -> DataFrame:
     return memory.timeline(found).join(found.select("memory_id", "chunk_id"), "memory_id").select("session_id", "chunk_id", "status")
 
 
+@query()
+def sentences_all(read: Read) -> DataFrame:
+    return memory.sentence_rows(_said(read, True)).select("session_id", "chunk_id", "no", "sentence")
+
+
+@query()
+def decisions_all(read: Read) -> DataFrame:
+    return memory.decisions(_said(read, True)).select("session_id", "chunk_id", "decision", "rationale", "alternative", "supersedes_earlier")
+
+
+@query()
+def open_items_all(read: Read) -> DataFrame:
+    return memory.open_items(_said(read, True)).select("session_id", "item_kind", "item", "chunk_id")
+
+
+@query()
+def decision_timeline_all(read: Read) -> DataFrame:
+    found = memory.decisions(_said(read, True))
+    return memory.timeline(found).join(found.select("memory_id", "chunk_id"), "memory_id").select("session_id", "chunk_id", "status")
+
+
+@query()
+def intent_classify_all(read: Read) -> DataFrame:
+    asked = F.create_map(*(F.lit(x) for kv in _QUESTIONS.items() for x in kv))[((F.col("conv_id") + F.col("turn")) % 9).cast("int")]
+    return read("conversations").select("conv_id", "turn", text.intent(F.concat(asked, F.lit(" "), F.coalesce("text", F.lit("")))).alias("intent"))
+
+
 @query(
     "WITH o AS (SELECT DISTINCT ON (conv_id, text) conv_id, turn, text FROM conversations ORDER BY conv_id, text, turn), u AS (SELECT conv_id, turn, text, "
     "coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM o) "
