@@ -36,9 +36,52 @@ def test_transport_stream_finds_damage():
         transport_stream.parse(bytes(stream[:100]))
 
 
+def packet(pid, counter, payload=b"", flags=None, begins=False):
+    """A transport packet; flags: of an adaptation field that fills what the payload leaves."""
+    room = 184 - len(payload)
+    field_ = b"" if not room else bytes([room - 1]) + (bytes([flags or 0]) + b"\xff" * (room - 2) if room > 1 else b"")
+    control = (2 if room else 0) | (1 if payload else 0)
+    return bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 0xFF, control << 4 | counter]) + field_ + payload
+
+
+def test_null_repeated_and_announced_packets_are_no_errors():
+    payload = transport_stream.pad(bytes(range(256)) * 40)
+    stream = transport_stream.mux(payload)
+    cut = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    null = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    found = transport_stream.parse(b"".join([*cut[:4], null, null, *cut[4:]]))
+    assert found.continuity_errors == 0 and found.payload == payload
+    found = transport_stream.parse(b"".join([*cut[:6], cut[5], *cut[6:]]))
+    assert found.continuity_errors == 0 and found.payload == payload
+    found = transport_stream.parse(b"".join([*cut[:6], cut[5], cut[5], *cut[6:]]))
+    assert found.continuity_errors == 1
+    alone = packet(transport_stream.ES_PID, cut[5][3] & 15)  # without payload: does not count on
+    found = transport_stream.parse(b"".join([*cut[:6], alone, *cut[6:]]))
+    assert found.continuity_errors == 0 and found.payload == payload
+    jump = packet(transport_stream.ES_PID, 9, b"", flags=0x80)
+    again = packet(transport_stream.ES_PID, 10, b"\x00" * 180)
+    assert transport_stream.parse(b"".join([*cut, jump, again])).continuity_errors == 0
+    assert transport_stream.parse(b"".join([*cut, packet(transport_stream.ES_PID, (cut[-1][3] + 5) & 15, b"x" * 184)])).continuity_errors == 1
+
+
+def test_sections_over_several_packets():
+    streams = b"".join(bytes([6, 0xE1, i, 0xF0, 0]) for i in range(60))
+    pmt = transport_stream._section(bytes([0, 1, 0xC1, 0, 0, 0xE1, 0, 0xF0, 0]) + streams, 2)
+    pat = transport_stream._section(bytes([0, 1, 0xC1, 0, 0, 0, 1, 0xF0, 0]), 0)
+    whole = b"\x00" + pmt
+    media = packet(0, 0, b"\x00" + pat, begins=True) + packet(0x1000, 0, whole[:184], begins=True)
+    # The rest ends where a pointer says that the next section begins.
+    rest = whole[184:]
+    media += packet(0x1000, 1, bytes([len(rest)]) + rest + pat[:10], begins=True)
+    found = transport_stream.parse(media)
+    assert sorted(found.streams) == [0x100 + i for i in range(60)] and found.table_errors == 0 and found.continuity_errors == 0
+
+
 def test_media_query_against_plain_python(spark):
     docs = documents(spark, ODD).withColumns({"media": F.lit(1), "feature": F.lit("clash")})
-    rows = {r.doc_id: r for r in transport_stream.probe(transport_stream.to_media(docs)).collect()}
+    lost = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [r.doc_id for r in transport_stream.media_features(lost).collect()] == [None]
+    rows = {r.doc_id: r for r in transport_stream.media_features(docs).collect()}
     assert len(rows) == len(ODD)
     for i, text in enumerate(ODD):
         data = (text or "").encode()

@@ -13,7 +13,7 @@ from tidemark.llm.common import table
 
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return transport_stream.probe(transport_stream.to_media(docs)).select(
+    return transport_stream.media_features(docs).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
 

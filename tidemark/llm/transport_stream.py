@@ -2,16 +2,21 @@
 
 `mux` wraps a payload in PES packets of a private stream inside 188-byte transport packets with
 program tables, continuity counters, clock references and random-access flags. `parse` reads
-such a stream back: program tables (checksums verified), continuity errors per packet, the
-reassembled elementary payload, and each PES packet's timestamp with its random-access point.
-
-Defined results: a null or empty text is one unit of fill bytes; repeated rows give repeated
-results; an empty table gives an empty table; only `doc_id` and `text` are read, so other columns
-never clash. Texts of any length are handled row by row, with memory for one text at a time.
+any such stream back: program tables, also over several packets (checksums verified); continuity
+per packet, where null packets have none, a packet may be sent twice, packets without payload do not
+count on and a discontinuity may be announced; the reassembled elementary payload; and each PES
+packet's timestamp with its random-access point. `store` writes a table's streams to the shared
+folder, `probe` reads them back from there.
+
+Defined results: a null or empty text is one unit of fill bytes; a null doc_id stays null; repeated
+rows give repeated results; ties cannot arise, as each row stands alone; an empty table gives an empty
+table; only `doc_id` and `text` are read, so other columns never clash. Texts of any length are handled
+row by row, with memory for a few copies of one text.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -21,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import arrow_rows
+from tidemark.llm.common import arrow_rows, byte_batches, materialize, scratch, tidy
 
 PACKET = 188
 UNIT = 576
 UNITS_PER_PES = 64
+NULL_PID = 0x1FFF
 PMT_PID = 0x1000
 ES_PID = 0x0100
 PRIVATE_STREAM = 0xBD
@@ -33,6 +39,8 @@ PRIVATE_PES_TYPE = 0x06
 #: 90 kHz ticks from one access unit to the next.
 TICKS_PER_UNIT = 1800
 FIRST_PTS = 90_000
+#: About the bytes of a batch between Spark and a worker; a longer stream is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 def _crc_table() -> list[int]:
@@ -48,7 +56,9 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
+@functools.lru_cache(256)
 def section_crc(data: bytes) -> int:
+    """0 for a whole section with its checksum."""
     value = 0xFFFFFFFF
     for byte in data:
         value = ((value << 8) & 0xFFFFFFFF) ^ _CRC[(value >> 24) ^ byte]
@@ -146,6 +156,8 @@ class Stream:
     pcr_pid: int = -1
     continuity_errors: int = 0
     table_errors: int = 0
+    #: PES packets without their start code.
+    pes_errors: int = 0
     payload: bytes = b""
     timestamps: list[int] = field(default_factory=list)
     #: Packet numbers of random-access points, one for each timestamp that has one.
@@ -153,16 +165,47 @@ class Stream:
     clocks: list[int] = field(default_factory=list)
 
 
-def _sections(packets: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
-    for packet, start in zip(packets, starts):
-        if packet[1] & 0x40:
-            data = packet[start:].tobytes()
-            data = data[1 + data[0] :]
-            yield data[: 3 + ((data[1] & 0x0F) << 8 | data[2])]
+def _sections(payloads: list[tuple[bool, bytes]]) -> Iterator[bytes]:
+    """Whole sections of one PID from (a section begins here, payload) of its packets."""
+    held = b""  # what there is of a section that goes on
+
+    def whole(data: bytes) -> tuple[list[bytes], bytes]:
+        found = []
+        while len(data) >= 3 and data[0] != 0xFF:
+            size = 3 + ((data[1] & 0x0F) << 8 | data[2])
+            if len(data) < size:
+                return found, data
+            found.append(data[:size])
+            data = data[size:]
+        return found, b"" if not data or data[0] == 0xFF else data
+
+    for begins, data in payloads:
+        if begins:
+            pointer = data[0]
+            if held:
+                yield from whole(held + data[1 : 1 + pointer])[0]
+            found, held = whole(data[1 + pointer :])
+        elif held:
+            found, held = whole(held + data)
+        else:
+            continue
+        yield from found
+
+
+def _continuity(packets: np.ndarray, carries: np.ndarray, announced: np.ndarray, starts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Errors among one PID's packets, and which of its packets carry payload that was not there before."""
+    counters = packets[:, 3] & 15
+    step = (counters[1:] - counters[:-1]) & 15
+    twice = np.zeros(len(packets), bool)
+    for i in np.flatnonzero((step == 0) & carries[1:] & carries[:-1]) + 1:
+        at = starts[i]
+        twice[i] = not twice[i - 1] and at == starts[i - 1] and (packets[i, at:] == packets[i - 1, at:]).all()
+    right = np.where(carries[1:], (step == 1) | twice[1:], step == 0) | announced[1:]
+    return int((~right).sum()), carries & ~twice
 
 
 def parse(media: bytes) -> Stream:
-    """Read a transport stream with whole sections in single packets."""
+    """Read a transport stream."""
     if len(media) % PACKET:
         raise ValueError("not a whole number of transport packets")
     all_packets = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
@@ -173,21 +216,32 @@ def parse(media: bytes) -> Stream:
     control = all_packets[:, 3] >> 4 & 3
     adapted = (control & 2) > 0
     starts = np.where(adapted, 5 + all_packets[:, 4].astype(np.int32), 4)
-    carries = (control & 1) > 0
+    has_flags = adapted & (all_packets[:, 4] > 0)
+    announced = has_flags & (all_packets[:, 5] & 0x80 > 0)
+    carries = ((control & 1) > 0) & (starts < PACKET)
+    fresh = np.zeros(len(all_packets), bool)
     for pid in np.unique(pids):
-        counters = (all_packets[(pids == pid) & carries, 3] & 15).astype(np.int16)
-        found.continuity_errors += int(((np.diff(counters) - 1) % 16 != 0).sum())
-    for section in _sections(all_packets[pids == 0], starts[pids == 0]):
-        if section_crc(section):
-            found.table_errors += 1
-            continue
-        for i in range(8, len(section) - 4, 4):
-            number = section[i] << 8 | section[i + 1]
-            found.programs[number] = (section[i + 2] & 0x1F) << 8 | section[i + 3]
-    for pid in set(found.programs.values()):
-        for section in _sections(all_packets[pids == pid], starts[pids == pid]):
+        if pid != NULL_PID:
+            own = np.flatnonzero(pids == pid)
+            errors, fresh[own] = _continuity(all_packets[own], carries[own], announced[own], starts[own])
+            found.continuity_errors += errors
+
+    def sections(pid: int) -> Iterator[bytes]:
+        where = np.flatnonzero((pids == pid) & fresh)
+        for section in _sections([(bool(all_packets[i, 1] & 0x40), all_packets[i, starts[i] :].tobytes()) for i in where]):
             if section_crc(section):
                 found.table_errors += 1
+            else:
+                yield section
+
+    for section in sections(0):
+        for i in range(8, len(section) - 4, 4):
+            number = section[i] << 8 | section[i + 1]
+            if number:  # 0 names the network's table
+                found.programs[number] = (section[i + 2] & 0x1F) << 8 | section[i + 3]
+    for pid in sorted(set(found.programs.values())):
+        for section in sections(pid):
+            if section[0] != 2:
                 continue
             found.pcr_pid = (section[8] & 0x1F) << 8 | section[9]
             i = 12 + ((section[10] & 0x0F) << 8 | section[11])
@@ -196,18 +250,19 @@ def parse(media: bytes) -> Stream:
                 i += 5 + ((section[i + 3] & 0x0F) << 8 | section[i + 4])
     parts: list[bytes] = []
     for pid in found.streams:
-        where = np.flatnonzero((pids == pid) & carries)
+        where = np.flatnonzero((pids == pid) & fresh)
         own, own_starts = all_packets[where], starts[where]
         kept = np.arange(PACKET) >= own_starts[:, None]
         elementary = own[kept].tobytes()
         ends = np.cumsum(PACKET - own_starts)
         first = (own[:, 1] & 0x40) > 0
         begins = (ends - (PACKET - own_starts))[first]
-        flags = np.where(adapted[where] & (own[:, 4] > 0), own[:, 5], 0)[first]
+        flags = np.where(has_flags[where], own[:, 5], 0)[first]
         for packet_no, flag, at, to in zip(where[first], flags, begins, [*begins[1:], len(elementary)]):
             head = elementary[at : at + 14]
-            if head[:3] != b"\x00\x00\x01":
-                raise ValueError("a PES packet without its start code")
+            if len(head) < 9 or head[:3] != b"\x00\x00\x01":
+                found.pes_errors += 1
+                continue
             if head[7] & 0x80:
                 a, b, c, d, e = head[9:14]
                 found.timestamps.append((a & 0x0E) << 29 | b << 22 | (c & 0xFE) << 14 | d << 7 | e >> 1)
@@ -269,9 +324,15 @@ def to_media(docs: DataFrame) -> DataFrame:
             data = data or b""
             return doc_id, len(data), mux(pad(data))
 
-        return arrow_rows(batches, _MEDIA, row)
+        return arrow_rows(batches, _MEDIA, row, at_most_bytes=BATCH_BYTES)
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as binary) as data").mapInArrow(tidy(run), MEDIA_DDL)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as binary) as data").mapInArrow(run, MEDIA_DDL)
+
+def store(docs: DataFrame) -> DataFrame:
+    """to_media, written to the shared folder."""
+    with byte_batches(docs.sparkSession, BATCH_BYTES):
+        return materialize(to_media(docs), "media", compression="zstd")
 
 
 def probe(media: DataFrame) -> DataFrame:
@@ -294,6 +355,14 @@ def probe(media: DataFrame) -> DataFrame:
                 found.access_points,
             )
 
-        return arrow_rows(batches, _PROBED, row)
+        return arrow_rows(batches, _PROBED, row, at_most_bytes=BATCH_BYTES)
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), PROBED_DDL)
+
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PROBED_DDL)
+def media_features(docs: DataFrame) -> DataFrame:
+    """What `probe` reads of the streams that `store` has written; the streams are deleted after."""
+    with scratch(docs.sparkSession):
+        media = store(docs)
+        with byte_batches(docs.sparkSession, BATCH_BYTES):
+            return materialize(probe(media), "probed", keep=True)
