@@ -223,3 +223,53 @@ def test_whole_turns_are_split_and_extracted(spark, tmp_path):
     assert any(r.session_id == 0 and "mend the sail" in r.item for r in run("open_items"))
     assert {(r.session_id, r.chunk_id) for r in run("decision_timeline")} >= decided
     assert len(run("intent_classify")) == len(rows)
+
+
+def test_split_text_follows_the_limit():
+    from tidemark.operators import chunking
+
+    body = " ".join(f"word{i}" for i in range(300)) + "\n" + "x" * 900
+    parts = chunking.split_text("Tool result", body, 60)
+    assert len(parts) > 5 and all(chunking._cost(p) <= 60 for p in parts)
+    assert parts[0].startswith("Tool result: word0") and all(p.startswith("Tool result continued: ") for p in parts[1:])
+    kept = "".join("".join(p.split(": ", 1)[1].split()) for p in parts)
+    assert kept == "".join(body.split())
+    assert chunking.split_text("User", "", 60) == ["User: [empty output]"]
+    with pytest.raises(ValueError):
+        chunking.split_text("Tool result", "abc", 1)
+
+
+def test_chunks_keep_pairs_together_and_split_long_events(spark):
+    from tidemark.operators import chunking
+
+    rows = [
+        (1, 0, "e0", "user_message", None, "start", "t0"), (1, 1, "e1", "tool_call", "c", "run", "t1"), (1, 2, "e2", "user_message", None, "between", "t2"),
+        (1, 3, "e3", "tool_result", "c", "done", "t3"), (1, 4, "e4", "user_message", None, "word " * 400, "t4"), (2, 0, "f0", "tool_result", None, "", "t0"),
+    ]
+    events = spark.createDataFrame(rows, "session_id int, ordinal int, event_id string, kind string, tool_call_id string, text string, observed_at string")
+    found = {(r.session_id, r.sequence): r for r in chunking.chunks(events, "session_id", ["ordinal"], target=5, most=50).collect()}
+    assert found[1, 0].event_ids == ["e0", "e1", "e2", "e3"]
+    rest = [found[k] for k in sorted(found) if k[0] == 1 and k[1]]
+    assert len(rest) > 5 and all(r.event_ids == ["e4"] and r.token_count <= 50 for r in rest) and len({r.chunk_id for r in rest}) == len(rest)
+    assert found[2, 0].display_text == "Tool result: [empty output]"
+
+
+def test_identity_tokens_are_letters_digits_and_dashes():
+    from tidemark.operators import memory
+
+    assert memory.identity_tokens("foo- -bar a--b the ﬁx_1") == {"foo-", "-bar", "a--b", "fix_1"}
+
+
+def test_events_are_redacted_and_capped_before_they_are_told(spark):
+    from tidemark.streaming import ingest
+
+    body = {"timestamp": "2024-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "message", "role": "user", "id": "m1", "content": "password: hunter2hunter ok"}}
+    line = json.dumps(body)
+    lines = spark.createDataFrame([("/x/a.jsonl", 0, len(line), line, None)], "path string, byte_start long, byte_end long, line string, problem string")
+    (event,) = ingest.canonical_events(lines).collect()
+    assert "hunter2" not in event.text and event.text.endswith(" ok")
+    earlier = spark.createDataFrame([("/x/a.jsonl", "s-1")], "path string, session_key string")
+    (again,) = ingest.canonical_events(lines, earlier).collect()
+    assert again.session_key == "s-1" and again.session_id != event.session_id
+    long = spark.createDataFrame([("x" * 200,)], "t string").select(ingest.capped(F.col("t"), 100).alias("c")).first().c
+    assert len(long) == 100 and long.endswith(ingest.CUT_MARK)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, text
 
+TOOL_OUTPUT = 65_536
+#: A split goes back to the last line end or space if that keeps this share of the text.
+USEFUL = 0.6
 LABELS = {"user_message": "User", "assistant_message": "Assistant", "tool_call": "Tool call", "tool_result": "Tool result"}
 
 
@@ -103,42 +110,98 @@ def event_text(kind: Column, value: Column) -> Column:
     return F.concat(label, F.lit(": "), value)
 
 
-def pack_turns(turns: DataFrame, session: str, target: int = 600, most: int = 900) -> DataFrame:
-    """(session, turn, sequence) from (session, turn, tokens): greedy packing of whole turns.
+_TOKEN = regex.compile(text.TOKEN)
+
+
+def _cost(value: str) -> int:
+    """Tokens of a text's embedding form."""
+    return len(_TOKEN.findall(" ".join(unicodedata.normalize("NFKC", value).split())))
+
+
+def split_text(label: str, body: str, most: int) -> list[str]:
+    """body in parts that have at most `most` tokens each with their label; parts after the first are marked as continued."""
+    if not body:
+        return [f"{label}: [empty output]"]
+    parts: list[str] = []
+    while body:
+        head = f"{label}{' continued' if parts else ''}: "
+        chosen = body
+        if _cost(head + body) > most:
+            low, high = 0, len(body)
+            while low < high:
+                middle = -(-(low + high) // 2)
+                low, high = (middle, high) if _cost(head + body[:middle]) <= most else (low, middle - 1)
+            if not low:
+                raise ValueError("the token limit is too small for an event's label")
+            edge = max(body.rfind("\n", 0, low), body.rfind(" ", 0, low))
+            chosen = body[: edge + 1] if edge >= int(low * USEFUL) else body[:low]
+        parts.append(head + chosen)
+        body = body[len(chosen) :].lstrip()
+    return parts
+
+
+def event_parts(kind: Column, value: Column, tokens: Column, most: int) -> Column:
+    """An event's shown text in parts of at most `most` tokens; only longer ones leave the JVM."""
+
+    @F.pandas_udf("array<string>")
+    def split(labels: pd.Series, bodies: pd.Series) -> pd.Series:
+        return pd.Series([split_text(a, b, most) for a, b in zip(labels, bodies)])
 
-    A chunk is closed when it has reached target, or the next turn would take it past most. The
-    fold is over one session's turns, whose number is bounded by the session's.
+    label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[kind]
+    shown = F.concat(label, F.lit(": "), F.when(F.length(value) == 0, "[empty output]").otherwise(value))
+    return F.when(tokens > most, split(label, value)).otherwise(F.array(shown))
+
+
+def pack_turns(parts: DataFrame, session: str, target: int = 600, most: int = 900) -> DataFrame:
+    """(session, turn, part, sequence) from (session, turn, part, tokens): greedy packing of whole turns.
+
+    A chunk is closed when it has reached target, or the next turn would take it past most; a turn that
+    is larger than most is packed part by part. Without a column `part` each turn is one part. The fold is
+    over one session's parts, whose number is bounded by the session's.
     """
-    ordered = turns.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("tokens").cast("long").alias("tokens")))).alias("_turns"))
-    start = F.struct(
-        F.array().cast("array<struct<turn:bigint,sequence:bigint>>").alias("out"), F.lit(0).cast("bigint").alias("sequence"), F.lit(0).cast("bigint").alias("held"), F.lit(False).alias("some")
-    )
+    whole = parts if "part" in parts.columns else parts.withColumn("part", F.lit(0))
+    by_turn = Window.partitionBy(session, "turn")
+    sized = whole.withColumns({"_group": F.sum("tokens").over(by_turn), "_first": F.min("part").over(by_turn)})
+    item = F.struct("turn", "part", F.col("tokens").cast("long").alias("tokens"), F.col("_group").cast("long").alias("group"), (F.col("part") == F.col("_first")).alias("first"))
+    ordered = sized.groupBy(session).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("sequence"), F.lit(0).cast("bigint").alias("held"))
 
     def step(s: Column, t: Column) -> Column:
-        close = s["some"] & ((s["held"] >= target) | (s["held"] + t["tokens"] > most))
+        at_turn = (s["held"] > 0) & t["first"] & ((s["held"] >= target) | (s["held"] + t["group"] > most))
+        inside = ~at_turn & (s["held"] > 0) & (t["group"] > most) & (s["held"] + t["tokens"] > most)
+        close = at_turn | inside
         sequence = s["sequence"] + close.cast("bigint")
-        held = F.when(close, F.lit(0)).otherwise(s["held"]) + t["tokens"]
-        one = F.struct(t["turn"].cast("bigint").alias("turn"), sequence.alias("sequence"))
-        return F.struct(F.concat(s["out"], F.array(one)).alias("out"), sequence.alias("sequence"), held.alias("held"), F.lit(True).alias("some"))
+        return F.struct(F.concat(s["out"], F.array(sequence)).alias("out"), sequence.alias("sequence"), (F.when(close, F.lit(0)).otherwise(s["held"]) + t["tokens"]).alias("held"))
 
-    packed = ordered.select(session, F.explode(F.aggregate("_turns", start, step, lambda s: s["out"])).alias("p"))
-    return packed.select(session, "p.turn", "p.sequence")
+    folded = ordered.select(session, "_items", F.aggregate("_items", start, step, lambda s: s["out"]).alias("_out"))
+    packed = folded.select(session, F.explode(F.arrays_zip("_items", "_out")).alias("p"))
+    found = packed.select(session, F.col("p._items.turn").cast("long").alias("turn"), F.col("p._items.part").alias("part"), F.col("p._out").alias("sequence"))
+    return found if "part" in parts.columns else found.drop("part")
 
 
 def chunks(events: DataFrame, session: str, order: list[str], target: int = 600, most: int = 900) -> DataFrame:
-    """Chunks of a session's events (event_id, kind, text, observed_at): ordered ids, text, tokens and fingerprint."""
-    grouped = turn_groups(events, None, session, order).withColumn("shown", event_text(F.col("kind"), F.col("text")))
-    counted = grouped.withColumn("tokens", text.token_count(F.col("shown")))
-    turns = counted.groupBy(session, "turn").agg(F.sum("tokens").alias("tokens"))
-    placed = counted.join(pack_turns(turns, session, target, most), [session, "turn"])
+    """Chunks of a session's events (event_id, kind, text, observed_at): ordered ids, text, tokens and fingerprint.
+
+    A user's message between a tool's call and its result stays in their turn (events with tool_call_id);
+    a tool's output is compacted; an event of more than `most` tokens is split.
+    """
+    pairs = tool_pairs(events, session, order) if "tool_call_id" in events.columns else None
+    body = F.when(F.col("kind") == "tool_result", compact_output(F.coalesce("text", F.lit("")), TOOL_OUTPUT)).otherwise(F.coalesce("text", F.lit("")))
+    grouped = turn_groups(events, pairs, session, order).withColumn("_body", body)
+    counted = grouped.withColumn("_tokens", text.token_count(event_text(F.col("kind"), F.col("_body"))))
+    split = counted.select("*", F.posexplode(event_parts(F.col("kind"), F.col("_body"), F.col("_tokens"), most)).alias("_no", "shown"))
+    split = split.withColumn("tokens", text.token_count(F.col("shown"))).withColumn("part", F.struct("position", "_no"))
+    placed = split.join(pack_turns(split.select(session, "turn", "part", "tokens"), session, target, most), [session, "turn", "part"])
     made = placed.groupBy(session, "sequence").agg(
-        F.array_sort(F.collect_list(F.struct("position", "event_id", "shown"))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("position", "_no", "event_id", "shown"))).alias("parts"),
         F.sum("tokens").alias("token_count"),
         F.min("observed_at").alias("observed_from"),
         F.max("observed_at").alias("observed_to"),
     )
     made = made.withColumn("event_ids", F.array_distinct("parts.event_id")).withColumn("display_text", F.array_join("parts.shown", "\n\n"))
-    identity = F.concat(F.array(F.col(session).cast("string"), F.element_at("event_ids", 1), F.lit("0"), F.element_at("event_ids", -1), F.lit("0")), F.col("event_ids"))
-    return made.withColumn("chunk_id", ids.stable_id_of_array("chunk", identity)).withColumn(
+    first, last = F.element_at("parts", 1), F.element_at("parts", -1)
+    ends = F.array(F.col(session).cast("string"), first["event_id"], first["_no"].cast("string"), last["event_id"], last["_no"].cast("string"))
+    made = made.withColumn("embedding_text", text.single_spaced(text.nfkc(F.col("display_text"))))
+    return made.withColumn("chunk_id", ids.stable_id_of_array("chunk", F.concat(ends, F.col("event_ids")))).withColumn(
         "fingerprint", F.sha2(ids.encode_array(F.concat(F.array("display_text"), F.col("event_ids"))), 256)
     ).drop("parts")

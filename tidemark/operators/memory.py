@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +41,9 @@ def decisions(chunks: DataFrame) -> DataFrame:
 
 
 def identity_tokens(decision: str) -> frozenset[str]:
-    return frozenset(t for t in re.findall(r"[^\W]+(?:-[^\W]+)*|-", decision.lower()) if len(t) > 1 and t not in STOP_WORDS)
+    """Runs of letters, digits, _ and - in compatibility normal form."""
+    plain = unicodedata.normalize("NFKC", decision).lower()
+    return frozenset(t for t in re.findall(r"[\w-]+", plain) if len(t) > 1 and t not in STOP_WORDS)
 
 
 _TIMELINE = "memory_id string, session_id long, status string, supersedes array<string>, superseded_by string"
@@ -103,7 +105,20 @@ def evidence_faults(memories: DataFrame, known_chunks: DataFrame) -> DataFrame:
     return linked.join(known_chunks.select("chunk_id"), "chunk_id", "left_anti").groupBy("memory_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("missing"))
 
 
-def extractor_rows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The port's default extractor: none, so a session keeps what it had."""
-    for r in rows:
-        yield r.iloc[:0]
+def diff(desired: DataFrame, existing: DataFrame, now: str, owned: list[str]) -> DataFrame:
+    """What turns existing memories into desired ones: rows with change insert, update or delete.
+
+    A memory whose content is as it was keeps its times and is no change; one that changed keeps
+    derived_at and is updated now. Only memories of the extractors in `owned` are ever deleted.
+    """
+    times = ("derived_at", "updated_at")
+    content = [c for c in desired.columns if c not in ("memory_id", *times)]
+    d = desired.select("memory_id", F.struct(*content).alias("_d"), *(F.col(c).alias(f"_d_{c}") for c in times), F.lit(True).alias("_wanted"))
+    e = existing.select("memory_id", F.struct(*content).alias("_e"), *(F.col(c).alias(f"_e_{c}") for c in times), F.lit(True).alias("_there"))
+    both = d.join(e, "memory_id", "full")
+    gone = F.col("_wanted").isNull()
+    change = F.when(F.col("_there").isNull(), "insert").when(gone, "delete").when(~F.col("_d").eqNullSafe(F.col("_e")), "update")
+    kept = both.withColumn("change", change).filter(F.col("change").isNotNull() & (~gone | F.col("_e.extractor_version").isin(*owned)))
+    of = F.when(gone, F.col("_e")).otherwise(F.col("_d"))
+    updated = F.when(F.col("change") == "update", F.lit(now)).when(gone, F.col("_e_updated_at")).otherwise(F.col("_d_updated_at"))
+    return kept.select("memory_id", "change", *(of[c].alias(c) for c in content), F.coalesce("_e_derived_at", "_d_derived_at").alias("derived_at"), updated.alias("updated_at"))

@@ -10,10 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import ids
+from tidemark.functions import ids, redaction
 from tidemark.operators import sync
 from tidemark.sources import rollouts
 
+#: Characters of an event's text; fixed values.
+TEXT_MOST = 1_048_576
+CUT_MARK = "\n[OUTPUT TRUNCATED]"
 KINDS = ("user_message", "assistant_message", "tool_call", "tool_result")
 
 
@@ -48,17 +51,32 @@ class EventTable:
         os.replace(staged, f"{self.root}/manifest.json")
 
 
-def canonical_events(lines: DataFrame) -> DataFrame:
-    """Events of parsed lines: session carried forward, mirrors dropped, identities and hashes set."""
+def capped(value, most: int = TEXT_MOST):
+    """A text of at most `most` characters; one that is cut ends in a mark."""
+    return F.when(F.length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - len(CUT_MARK)), F.lit(CUT_MARK)))
+
+
+def canonical_events(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Events of parsed lines: session carried forward, texts capped and redacted, mirrors dropped, identities and hashes set.
+
+    before: (path, session_key) of what was read of these files earlier; a file goes on with its last session.
+    Nothing that a redaction covers goes on into the event's text, hash or identity.
+    """
     parsed = rollouts.parse_rollouts(lines)
     named = F.regexp_extract("path", r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
     fallback = F.when(named != "", named).otherwise(F.col("path"))
+    if before is not None:  # a row for each file
+        parsed = parsed.join(before.withColumnRenamed("session_key", "_before"), "path", "left")
+        fallback = F.coalesce("_before", fallback)
     carried = sync.carry_forward(parsed, "path", "byte_start", "session_key", fallback)
     kept = carried.filter(F.col("kind").isin(*KINDS) & F.col("error").isNull() & ((F.length(F.trim("text")) > 0) | (F.col("kind") == "tool_result")))
+    clean = redaction.redact_column(kept.withColumn("text", capped(F.col("text"))), "text", "_clean")
+    kept = clean.withColumn("text", F.col("_clean.text")).drop("_clean").filter((F.length("text") > 0) | (F.col("kind") == "tool_result"))
     session = ids.stable_id("session", F.lit("codex"), F.col("carried_session"))
     key = F.coalesce("record_key", F.concat_ws(":", "path", F.col("byte_start").cast("string"), "kind"))
     events = kept.select(
         session.alias("session_id"),
+        F.col("carried_session").alias("session_key"),
         F.col("byte_start").alias("ordinal"),
         "kind", "variant", "tool_call_id", "text", "observed_at", "path", "byte_start", "byte_end",
         F.sha2("text", 256).alias("content_hash"),
@@ -74,7 +92,9 @@ def commit_batch(table: EventTable) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: collisions fail the batch, known events are passed over."""
 
     def run(lines: DataFrame, batch_id: int) -> None:
-        events = canonical_events(lines).persist()
+        known = table.read(canonical_events(lines).schema)
+        last = known.groupBy("path").agg(F.max_by("session_key", "byte_start").alias("session_key"))
+        events = canonical_events(lines, last).persist()
         try:
             if events.isEmpty():
                 return
