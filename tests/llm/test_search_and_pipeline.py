@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, words
 from tidemark.llm import graph_ann, toxicity
@@ -22,7 +23,9 @@ def plain_nearest(ids, x, q, k):
     return [(int(ids[i]), float(d[i])) for i in order if np.isfinite(d[i])]
 
 
-def test_search_small_table_is_exact(spark):
+def test_search_of_parts_that_are_all_visited_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(graph_ann, "RECALL", 1.0)
+    monkeypatch.setattr(graph_ann, "visits_for", lambda ways, true, recall: ways.shape[1])
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 8)).astype(np.float32)
     x[50:90] = x[50]  # equal vectors: ties to smaller ids
@@ -43,6 +46,34 @@ def test_search_small_table_is_exact(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(i + 1, v) for i, (v, _) in enumerate(plain_nearest(ids[:4], x[:4].astype(float), 0, 10))]
 
 
+def test_a_repeated_query_row_asks_once_and_routing_is_used_at_every_size(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8)) * 4
+    x = (centres[np.arange(500) % 12] + rng.normal(size=(500, 8)) / 4).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    lost = [(None, x[0].tolist(), 1)]
+    docs = table(spark, rows + [rows[100]] + [rows[7]] * 2 + lost).withColumns({"part": F.lit("clash"), "v": F.lit(1), "visit": F.lit(2)})
+    got = {}
+    for r in sorted(graph_ann.search(docs).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    ids = np.array([*range(500), 100, 7, 7])
+    wide = np.concatenate([x, x[[100, 7, 7]]]).astype(float)
+    assert sorted(got) == [0, 100, 200, 300, 400] and all(len(v) == 10 for v in got.values())
+    hits = [len(set(got[q]) & {v for v, _ in plain_nearest(ids, wide, q, 10)}) / len({v for v, _ in plain_nearest(ids, wide, q, 10)}) for q in got]
+    assert np.mean(hits) >= 0.9
+
+
+def test_queries_that_find_too_few_ask_all_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph_ann, "visits_for", lambda ways, true, recall: 1)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(160, 4)).astype(np.float32)
+    found = graph_ann.search(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), k=60).collect()
+    ids = np.arange(160)
+    got = {q: [(r.vec_id, r["rank"]) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 100)}
+    for q, own in got.items():
+        assert own == [(v, i + 1) for i, (v, _) in enumerate(plain_nearest(ids, x.astype(float), q, 60))]
+
+
 def test_search_recall_beyond_the_sample(spark, monkeypatch):
     monkeypatch.setattr(graph_ann, "PART_ROWS", 250)
     monkeypatch.setattr(graph_ann, "BLOCK_ROWS", 100)

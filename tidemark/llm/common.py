@@ -94,16 +94,26 @@ def materialize(df: DataFrame, label: str, keep: bool = False, compression: str
     scope = len(_scopes) - 1 - keep
     if scope >= 0:
         _scopes[scope].append(path)
-    df.write.parquet(path, compression=compression)
+    with byte_batches(spark):
+        df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: About the bytes of a batch between Spark and a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on the session gives Python workers batches of about so many bytes at most: for applications."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 @contextlib.contextmanager
-def byte_batches(spark: SparkSession, size: int) -> Iterator[None]:
+def byte_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
     """What runs inside gives Python workers batches of about so many bytes at most."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+    bound_batches(spark, size)
     try:
         yield
     finally:
@@ -197,6 +207,21 @@ def tidy(run: Callable[..., Iterator], keeps: object = None) -> Callable[..., It
     return of
 
 
+def tidy_group(run: Callable[..., pa.Table], large: int = 4 << 20) -> Callable[..., pa.Table]:
+    """run over one group; after a large one freed memory is given back."""
+
+    def of(rows: pa.Table) -> pa.Table:
+        _held.clear()
+        size = rows.nbytes
+        made = run(rows)
+        del rows
+        if size >= large:
+            _trim()
+        return made
+
+    return of
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(

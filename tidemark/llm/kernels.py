@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-#: Bytes of texts that are worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of texts that are worked on at once, in some forty times as much memory; a longer text is worked on alone.
+CHUNK_BYTES = 1 << 18
 CHUNK_ROWS = 4096
 
 
@@ -59,11 +59,40 @@ def _both_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], A-Z lower-cased."""
+    up, down = _both_powers(max(1, len(data)))
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[np.minimum(starts, max(0, len(data) - 1))])
+
+
+def sequence_hashes(hashes: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each sequence hashes[first:last + 1]."""
+    up, down = _both_powers(max(1, len(hashes)))
+    sums = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[lasts + 1] - sums[firsts]) * down[firsts])
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first word of each text) of texts data[offsets[i]:offsets[i + 1]], which lie one after another from 0."""
+    inside = ~_IS_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
+    first[edges] = inside[edges]
+    edges = offsets[1:][offsets[:-1] < offsets[1:]] - 1
+    last[edges] = inside[edges]
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
+
+
 @dataclass
 class Words:
-    """The words of some texts, in order: hash and place in `data`, and for each text the first of its words."""
+    """The words of some texts, in order: hash and place in the texts' bytes, and for each text the first of its words."""
 
-    data: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
@@ -78,24 +107,8 @@ class Words:
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]], which lie one after another from 0."""
-    if not len(data):
-        none = np.zeros(0, np.int64)
-        return Words(data, np.zeros(0, U64), none, none, np.zeros(len(offsets), np.int64))
-    inside = ~_IS_SPACE[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][offsets[:-1] < offsets[1:]]
-    first[edges] = inside[edges]
-    edges = offsets[1:][offsets[:-1] < offsets[1:]] - 1
-    last[edges] = inside[edges]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _both_powers(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_CODES[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, hashes, starts, ends, np.searchsorted(starts, offsets))
+    starts, ends, bounds = word_places(data, offsets)
+    return Words(range_hashes(data, starts, ends), starts, ends, bounds)
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
