@@ -1,47 +1,53 @@
 """Substring dedup by hashing lines.
 
 Units are lines, cut further at sentence ends, so that a passage is found inside a longer line too.
-A unit's digest is taken of its normalised words (lower case, single spaces, outer punctuation
-dropped). Digests are grouped over the whole corpus and the occurrence of smallest (doc_id, start)
+A unit's digest is taken of its normalised words (A-Z lower-cased, outer punctuation dropped, white
+space apart). Digests are grouped over the whole corpus and the occurrence of smallest (doc_id, start)
 stays; the others are repeats. Adjacent repeats of a document are a run. A run is carried on, word by
 word, into the units beside it as far as they agree with the units beside the occurrences that stay,
-so a passage that begins or ends inside a sentence counts with its edges. Runs that then have at
-least MIN_WORDS words are removed, with their offsets in the original text retained. Consecutive units of
-fewer than UNIT_WORDS words make one unit, which ends at a word of chosen digest, so that two copies
-of a word list fall into step wherever they begin. Every word lies in a unit, and only units that
-repeat are removed.
+so a passage that begins or ends inside a sentence counts with its edges. Runs of at least `min_words`
+words are removed (1, the default, removes every repeat), with their offsets in the original text
+retained. Consecutive units of fewer than UNIT_WORDS words make one unit, which ends at a word of
+chosen digest, so that two copies of a word list fall into step wherever they begin. Every word lies
+in a unit, and only units that repeat are removed.
 
 Minima and counts are taken before shuffling, so a digest that fills the corpus is one row from
 each task; only digests that occur twice are joined back to their places.
 
 Defined results: null and empty texts have no units and stay as they are; rows that repeat both
-doc_id and text are one document listed more than once; a null doc_id ranks last; an empty table
-gives an empty table; other columns are carried and never clash, as working columns start with an
-underscore.
+doc_id and text are one document listed more than once; a null doc_id ranks last; equal doc_ids of
+different texts rank by a hash of the text, so no tie is left; a long text is worked on alone, in
+time and memory in proportion to its length; an empty table gives an empty table; other columns are
+carried, and working columns take names that they lack. A text changes only where it is cut.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, materialize, scratch
+from tidemark.llm.common import materialize, scratch, tidy, unused
+from tidemark.llm.kernels import U64, chunks, range_hashes, sequence_hashes, word_places
 
-MIN_WORDS = 30
+#: Words of a run from which on it is removed: every repeat, and passages as corpora remove them.
+MIN_WORDS = 1
+PASSAGE_WORDS = 30
 UNIT_WORDS = 3
-GROUP_WORDS = 24
+GROUP_UNITS = 24
+#: Units beside runs up to which their numbers are broadcast to the texts (about 50 bytes each); beyond, a shuffle join.
+BROADCAST_UNITS = 1_000_000
 LAST = (1 << 63) - 1
 
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
-_TOKEN = re.compile(r"\S+")
-_OUTER = ".,;:!?()[]{}\"'«»„“”…"
+_OUTER = np.zeros(256, bool)
+_OUTER[list(b".,;:!?()[]{}\"'")] = True
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".!?")] = True
 
 _UNITS = pa.schema(
     [
@@ -61,33 +67,66 @@ _EDGES = pa.schema([("_k", pa.int64()), ("_n", pa.int32()), ("_hashes", pa.binar
 _EDGES_DDL = "_k long, _n int, _hashes binary, _starts binary, _ends binary"
 
 
-def spans_of(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, normalised words) of each unit; offsets in code points."""
-    short: tuple[int, int, list[str]] | None = None
-    for found in _SENTENCE.finditer(text):
-        words = [w for w in (w.strip(_OUTER) for w in found[0].lower().split()) if w]
-        if not words:
-            continue
-        start = found.start() + len(found[0]) - len(found[0].lstrip())
-        if len(words) >= UNIT_WORDS:
-            if short:
-                yield short
-                short = None
-            yield start, found.end(), words
-            continue
-        short = (short[0], found.end(), short[2] + words) if short else (start, found.end(), words)
-        n = len(short[2])
-        if n >= GROUP_WORDS or (n >= UNIT_WORDS and xxhash.xxh3_64_intdigest(words[-1].encode()) % 4 == 0):
-            yield short
-            short = None
-    if short:
-        yield short
-
-
-def units_of(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, words, digest) of each unit."""
-    for start, end, words in spans_of(text):
-        yield start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
+def _is_outer(data: np.ndarray) -> np.ndarray:
+    """Bytes of punctuation that may stand around a word: ASCII, guillemets, raised quotes and the ellipsis."""
+    outer = _OUTER[data]
+    two = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0xAB) | (data[1:] == 0xBB)))
+    three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & np.isin(data[2:], [0x9C, 0x9D, 0x9E, 0xA6]))
+    outer[two] = outer[two + 1] = True
+    outer[three] = outer[three + 1] = outer[three + 2] = True
+    return outer
+
+
+@dataclass
+class Units:
+    """The units of some texts, in order; words are numbered over all texts, offsets are code points of a unit's own text."""
+
+    hashes: np.ndarray  # of each normalised word
+    word_starts: np.ndarray
+    word_ends: np.ndarray
+    row: np.ndarray
+    no: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    digest: np.ndarray
+
+    @property
+    def words(self) -> np.ndarray:
+        return self.last - self.first + 1
+
+
+def units_of(data: np.ndarray, offsets: np.ndarray) -> Units:
+    starts, ends, bounds = word_places(data, offsets)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    # A word's ends without outer punctuation; a word of punctuation alone stays whole.
+    place, inner = np.arange(len(data), dtype=np.int32), ~_is_outer(data) if len(data) > 2 else ~_OUTER[data]
+    following = np.minimum.accumulate(np.where(inner, place, len(data))[::-1])[::-1]
+    preceding = np.maximum.accumulate(np.where(inner, place, -1))
+    own_starts, own_ends = following[starts], preceding[ends - 1] + 1
+    bare = own_starts >= own_ends
+    hashes = range_hashes(data, np.where(bare, starts, own_starts), np.where(bare, ends, own_ends))
+    n = len(starts)
+    new_lines = np.cumsum(data == 10)
+    stops = _STOPS[data[ends - 1]]
+    stops[:-1] |= (owner[1:] != owner[:-1]) | (new_lines[starts[1:]] > new_lines[ends[:-1] - 1])
+    stops[-1:] = True
+    # Sentences, by their last words.
+    last = np.flatnonzero(stops)
+    first = np.concatenate([[0], last[:-1] + 1]) if n else last
+    short = last - first + 1 < UNIT_WORDS
+    closes = ~short | (hashes[last] % U64(4) == 0)
+    closes[:-1] |= ~short[1:] | (owner[last[1:]] != owner[last[:-1]])
+    closes[-1:] = True
+    number = np.arange(len(last))
+    since = number - np.maximum.accumulate(np.where(closes, number, -1)) if n else number
+    closes |= (since > 0) & (since % GROUP_UNITS == 0)
+    last = last[closes]
+    first = np.concatenate([[0], last[:-1] + 1]) if n else last
+    row = owner[last]
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    begin = points[offsets[owner]]
+    no = np.arange(len(row)) - np.searchsorted(row, row)
+    return Units(hashes, points[starts] - begin, points[ends] - begin, row, no, first, last, sequence_hashes(hashes, first, last))
 
 
 def _key() -> Column:
@@ -95,37 +134,50 @@ def _key() -> Column:
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def row(key: int, doc_id: int | None, text: str | None) -> list[tuple]:
-        doc = LAST if doc_id is None else doc_id
-        units = list(units_of(text or ""))
-        sizes = [0, *(u[2] for u in units), 0]
-        return [(key, doc, no, *unit, sizes[no], sizes[no + 2]) for no, unit in enumerate(units)]
-
-    return arrow_rows(batches, _UNITS, row, at_most=8192)
+    for batch in batches:
+        for at, data, offsets in chunks(batch.column(2)):
+            units = units_of(data, offsets)
+            keys, docs = (batch.column(i).slice(at, len(offsets) - 1).to_numpy() for i in (0, 1))
+            words = units.words
+            beside = np.concatenate([[0], words, [0]])
+            same = np.concatenate([[False], units.row[1:] == units.row[:-1], [False]]) if len(words) else np.zeros(1, bool)
+            columns = (
+                keys[units.row], docs[units.row], units.no, units.word_starts[units.first], units.word_ends[units.last], words,
+                units.digest.view(np.int64), np.where(same[:-1], beside[:-2], 0), np.where(same[1:], beside[2:], 0),
+            )
+            for start in range(0, len(words), 1 << 16):
+                part = [pa.array(c[start : start + (1 << 16)], f.type) for c, f in zip(columns, _UNITS)]
+                yield pa.RecordBatch.from_arrays(part, schema=_UNITS)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_key, doc_id, start, end, n_words, n_units, kept_doc_ids): what is to be removed, one row a passage."""
-    narrow = docs.select(_key().alias("_key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(
+        _key().alias("_key"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_doc"),
+        F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("data"),
+    )
     with scratch(docs.sparkSession):
         return materialize(_passages(narrow, min_words), "passages", keep=True)
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, text, unit numbers): each unit's words as hashes, with their offsets in the text."""
-
-    def row(key: int, text: str | None, wanted: list[int]) -> list[tuple]:
-        text, asked, made = text or "", set(wanted), []
-        for no, (start, end, _) in enumerate(spans_of(text)):
-            if no not in asked:
-                continue
-            places = [(m.start(), m.end(), w) for m in _TOKEN.finditer(text, start, end) if (w := m[0].lower().strip(_OUTER))]
-            hashes = np.array([xxhash.xxh32_intdigest(w.encode()) for _, _, w in places], np.uint32)
-            starts, ends = (np.array([p[i] for p in places], np.int64) for i in (0, 1))
-            made.append((key, no, hashes.tobytes(), starts.tobytes(), ends.tobytes()))
-        return made
-
-    return arrow_rows(batches, _EDGES, row)
+    """Of (key, text, unit numbers): each such unit's words as hashes, with their offsets in the text."""
+    for batch in batches:
+        for at, data, offsets in chunks(batch.column(1)):
+            units = units_of(data, offsets)
+            firsts = np.searchsorted(units.row, np.arange(len(offsets) - 1))
+            keys, wanted = (batch.column(i).slice(at, len(offsets) - 1).to_pylist() for i in (0, 2))
+            hashes = (units.hashes >> U64(32)).astype(np.uint32)
+            made = []
+            for row, numbers in enumerate(wanted):
+                for no in numbers:
+                    if (u := firsts[row] + no) < len(units.row) and units.row[u] == row:
+                        own = slice(units.first[u], units.last[u] + 1)
+                        made.append((keys[row], no, hashes[own].tobytes(), units.word_starts[own].tobytes(), units.word_ends[own].tobytes()))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), _EDGES)], schema=_EDGES)
 
 
 def _agreeing(left: pd.Series, own: pd.Series, kept: pd.Series, starts: pd.Series, ends: pd.Series, least: pd.Series) -> pd.DataFrame:
@@ -156,8 +208,10 @@ def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
     )
     edges = runs.select("_key", "_doc", "_run", F.explode(sides).alias("_s")).select("_key", "_doc", "_run", "_s.*").filter("_no >= 0 and _kept_no >= 0")
     wanted = edges.select("_key", "_no").union(edges.select("_kept_key", "_kept_no")).distinct()
-    by_doc = wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_list("_no").alias("_wanted"))
-    texts = narrow.join(by_doc, narrow["_key"] == by_doc["_k"]).select("_k", "text", "_wanted").mapInArrow(_words_of, _EDGES_DDL)
+    by_doc = materialize(wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_list("_no").alias("_wanted")), "wanted")
+    asked = by_doc.agg(F.sum(F.size("_wanted"))).first()[0] or 0
+    by_doc = F.broadcast(by_doc) if asked <= BROADCAST_UNITS else by_doc
+    texts = narrow.join(by_doc, narrow["_key"] == by_doc["_k"]).select("_k", "data", "_wanted").mapInArrow(tidy(_words_of), _EDGES_DDL)
     texts = materialize(texts.dropDuplicates(["_k", "_n"]), "edges")
     own = texts.withColumnsRenamed({"_k": "_key", "_n": "_no", "_hashes": "_own"})
     kept = texts.select(F.col("_k").alias("_kept_key"), F.col("_n").alias("_kept_no"), F.col("_hashes").alias("_theirs"))
@@ -173,7 +227,7 @@ def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
 
 
 def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
-    units = materialize(narrow.mapInArrow(_split, _UNITS_DDL), "units")
+    units = materialize(narrow.select("_key", "_doc", "data").mapInArrow(tidy(_split), _UNITS_DDL), "units")
     place = F.struct("_doc", "_start", "_key", "_no", "_end")
     digests = (
         units.groupBy("_digest")
@@ -214,34 +268,46 @@ def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
 
 
 def without_passages(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without the spans; lines that a span empties go too."""
-    parts, at = [], 0
+    """text without the spans; of the white space on both sides of a cut the one with more lines stays, at either end of the text none."""
+    whole: list[list[int]] = []
     for start, end in sorted(spans):
-        parts.append(text[at:start])
-        at = end
-    parts.append(text[at:])
-    joined = "".join(parts)
-    return re.sub(r"\n\s*\n+", "\n", joined).strip() if spans else text
-
-
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text cut, and the removed spans of the original text in _removed."""
-    spans = (
-        repeated_passages(docs, min_words)
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_removed"))
-    )
-    spans = materialize(spans, "spans")
+        if whole and not text[whole[-1][1] : start].strip():
+            whole[-1][1] = max(whole[-1][1], end)
+        else:
+            whole.append([start, end])
+    if not whole:
+        return text
+    kept = text[: whole[0][0]]
+    for (_, at), (to, _) in zip(whole, [*whole[1:], [len(text), 0]]):
+        kept = _joined(kept, text[at:to])
+    return kept
+
+
+def _joined(left: str, right: str) -> str:
+    before, after = left.rstrip(), right.lstrip()
+    if not before or not after:
+        return before + after if before else after
+    gaps = left[len(before) :], right[: len(right) - len(after)]
+    return before + max(gaps, key=lambda g: g.count("\n")) + after
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "_removed") -> DataFrame:
+    """docs with text cut, and the removed spans of the original text in a new column."""
+    key, = unused(docs, "_key")
+    with scratch(docs.sparkSession):
+        spans = repeated_passages(docs, min_words).groupBy(F.col("_key").alias(key))
+        spans = materialize(spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(removed)), "spans", keep=True)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series(
-            [without_passages(t, [(s["start"], s["end"]) for s in r]) if t is not None and r is not None else t for t, r in zip(texts, removed)],
-            dtype=object,
-        )
-
-    keyed = docs.withColumn("_key", _key()).join(spans, "_key", "left")
-    changed = F.col("_removed").isNotNull()
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for texts, where in batches:
+                yield pd.Series([without_passages(t, [(s["start"], s["end"]) for s in r]) if t is not None and r is not None else t for t, r in zip(texts, where)], dtype=object)
+
+        yield from tidy(run)(batches)
+
+    keyed = docs.withColumn(key, _key()).join(spans, key, "left")
+    changed = F.col(removed).isNotNull()
     whole = keyed.filter(~changed)
-    touched = keyed.filter(changed).withColumn("text", cut("text", "_removed"))
-    return whole.unionByName(touched).drop("_key")
+    touched = keyed.filter(changed).withColumn("text", cut(F.col("text").cast("string"), F.col(removed)))
+    return whole.unionByName(touched).drop(key)
