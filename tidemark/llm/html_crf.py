@@ -9,8 +9,10 @@ with menus, headers, footers, sidebars, notices, adverts, forms and reader comme
 inside the article. Training is bounded (PAGES pages) and happens on the driver; weights are broadcast.
 
 Defined results: null and empty pages, and pages without article blocks, give the empty text; repeated
-rows give repeated results; an empty table gives an empty table; columns besides page_id, url and html
-are not read. Whole pages are parsed, whatever their length.
+rows give repeated results; a null page_id or url stays null; ties cannot arise, as each page stands
+alone (labels of equal score: other); an empty table gives an empty table; columns besides page_id, url
+and html are not read. Whole pages are parsed in time in proportion to their length; as in browsers, an
+element deeper than DEPTH is the sibling of the one above it, and a tag that the page's end cuts off is none.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import held, tidy
+
 PAGES = 400
+DEPTH = 512
 EPOCHS = 12
 SEED = 11
 
@@ -51,10 +56,17 @@ IMPLIED_ENDS = {
 }
 SCOPES = frozenset("ul ol menu dl table select body html article section nav aside div main form footer header".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+#: Tags that end an open svg or math element; fixed values of HTML.
+BREAKOUT_TAGS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+    "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main header footer nav aside".split()
 )
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+
+_TAG_NAME = re.compile(r"</?+([a-zA-Z][^\s/>]*+)")
+_GAP = re.compile(r"[\s/]*+")
+_ATTRIBUTE_NAME = re.compile(r"=?+[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_UNQUOTED = re.compile(r"[^\s>]*+")
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "title", "textarea", "noscript", "iframe")}
 
@@ -68,20 +80,72 @@ class Block:
         self.text, self.path, self.link_chars = text, path, link_chars
 
 
-def _names(attributes: str) -> frozenset[str]:
-    found = set()
-    for m in _ATTRIBUTE.finditer(attributes):
-        found.update(w.lower() for w in _NAME_WORD.findall(m[2] or m[3] or m[4] or ""))
-    return frozenset(found)
+def _tag(page: str, at: int) -> tuple[int, frozenset[str], bool] | None:
+    """(end, words of class, id and role, whether it closes itself) of a tag whose name ends at `at`; None if the page ends in it."""
+    words: set[str] = set()
+    while True:
+        at = _GAP.match(page, at).end()
+        if at >= len(page):
+            return None
+        if page[at] == ">":
+            return at + 1, frozenset(words), page[at - 1] == "/"
+        name = _ATTRIBUTE_NAME.match(page, at)
+        at, value = name.end(), ""
+        if equals := _EQUALS.match(page, at):
+            at = equals.end()
+            if at < len(page) and page[at] in "\"'":  # a quote counts only where a value begins
+                end = page.find(page[at], at + 1)
+                if end < 0:
+                    return None
+                value, at = page[at + 1 : end], end + 1
+            else:
+                found = _UNQUOTED.match(page, at)
+                value, at = found[0], found.end()
+        if value and name[0].lower() in ("class", "id", "role"):
+            words.update(w.lower() for w in _NAME_WORD.findall(value))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str], bool, int]]:
+    """(kind, text or tag, words of its names, whether it closes itself, end): kinds are text, open and close.
+
+    A caller may send the place from which to go on, as after raw text.
+    """
+    at = begin = 0  # text since begin is not yet told
+    while (at := page.find("<", at)) >= 0:
+        name = _TAG_NAME.match(page, at)
+        if name is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1
+            continue
+        if at > begin:
+            yield "text", page[begin:at], frozenset(), False, at
+        if name is None:
+            if page.startswith("<!--", at):
+                short = next((e for e in ("<!-->", "<!--->") if page.startswith(e, at)), None)
+                end = at + len(short) - 3 if short else page.find("-->", at + 4)
+                end = end + 3 if end >= 0 else len(page)
+            else:
+                end = page.find(">", at) + 1 or len(page)
+            at = begin = end
+            continue
+        tag = _tag(page, name.end())
+        if tag is None:
+            return
+        at = begin = tag[0]
+        to = yield "close" if page[name.start() + 1] == "/" else "open", name[1].lower(), tag[1], tag[2], at
+        if to is not None:
+            at = begin = to
+            yield "text", "", frozenset(), False, at
+    if begin < len(page):
+        yield "text", page[begin:], frozenset(), False, len(page)
 
 
 def leaf_blocks(page: str) -> list[Block]:
     """The page's leaf blocks in page order, character references decoded and white space single."""
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    silent = links = 0  # how many such elements are open
     parts: list[str] = []
     link_chars = 0
-    at = 0
 
     def flush() -> None:
         nonlocal link_chars
@@ -91,52 +155,61 @@ def leaf_blocks(page: str) -> list[Block]:
         parts.clear()
         link_chars = 0
 
+    def cut(size: int) -> None:
+        nonlocal silent, links
+        for tag, _ in stack[size:]:
+            silent -= tag in SILENT_TAGS
+            links -= tag == "a"
+        del stack[size:]
+
     def close(tags: set[str] | frozenset[str], within: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in within:
                 return
 
-    def add(text: str) -> None:
-        nonlocal link_chars
-        if stack and stack[-1][0] == "head" and text.strip():
-            stack.pop()
-        if text and not any(t in SILENT_TAGS for t, _ in stack):
-            parts.append(text)
-            if any(t == "a" for t, _ in stack):
-                link_chars += len(text)
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
-        if tag in BLOCK_TAGS:
-            flush()
-        if m[1]:
-            if tag not in VOID_TAGS:
-                close({tag}, frozenset())
-            continue
-        if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
-            stack.pop()
-        if tag in BLOCK_TAGS and tag != "br":
-            close({"p"}, SCOPES - {"p"} | {"li", "td", "th", "blockquote"})
-        if tag in IMPLIED_ENDS:
-            close(IMPLIED_ENDS[tag], SCOPES)
-        if tag in VOID_TAGS or (m[3].endswith("/") and tag in SILENT_TAGS):
-            continue
-        if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        stack.append((tag, _names(m[3])))
+    reader = tokens(page)
+    token = next(reader, None)
+    while token is not None:
+        kind, tag, names, closed, at = token
+        token = None
+        if kind == "text":
+            if stack and stack[-1][0] == "head" and tag.strip():
+                cut(len(stack) - 1)
+            if tag and not silent:
+                parts.append(tag)
+                if links:
+                    link_chars += len(tag)
+        else:
+            if tag in BLOCK_TAGS:
+                flush()
+            if kind == "close":
+                if tag not in VOID_TAGS:
+                    close({tag}, frozenset())
+            else:
+                if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+                    cut(len(stack) - 1)
+                if silent and tag in BREAKOUT_TAGS:
+                    foreign = next((i for i, (t, _) in enumerate(stack) if t in SILENT_TAGS), 0)
+                    if stack[foreign][0] in ("svg", "math"):
+                        cut(foreign)
+                if tag in BLOCK_TAGS and tag != "br":
+                    close({"p"}, SCOPES - {"p"} | {"li", "td", "th", "blockquote"})
+                if tag in IMPLIED_ENDS:
+                    close(IMPLIED_ENDS[tag], SCOPES)
+                if tag in _RAW_END and not closed:
+                    end = _RAW_END[tag].search(page, at)
+                    token = reader.send(end.end() if end else len(page))
+                elif tag not in VOID_TAGS and not (closed and tag in SILENT_TAGS):
+                    if len(stack) >= DEPTH:
+                        cut(DEPTH - 1)
+                    stack.append((tag, names))
+                    silent += tag in SILENT_TAGS
+                    links += tag == "a"
+        if token is None:
+            token = next(reader, None)
     flush()
     return blocks
 
@@ -212,6 +285,20 @@ def _log_add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
 
+def log_likelihood(field: Field, features: list[list[str]], gold: list[int]) -> float:
+    """Log of the conditional probability of a page's labels."""
+    scores, t = field.scores(features), field.transition.tolist()
+    forward, path, before = None, 0.0, 2
+    for (a, b), y in zip(scores, gold):
+        if forward is None:
+            forward = (t[2][0] + a, t[2][1] + b)
+        else:
+            forward = tuple(_log_add(forward[0] + t[0][z], forward[1] + t[1][z]) + (a, b)[z] for z in (0, 1))
+        path += t[before][y] + (a, b)[y]
+        before = y
+    return path - _log_add(*forward) if forward else 0.0
+
+
 def train(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EPOCHS, rate: float = 0.3) -> Field:
     """Conditional likelihood by adaptive gradient steps, a page at a time; gradients from forward-backward."""
     weights: dict[str, list[float]] = {}
@@ -397,23 +484,20 @@ def main_text(page: str, field: Field) -> str:
     return " ".join(b.text for b, y in zip(blocks, labels) if y)
 
 
-_shared: dict[str, Field] = {}
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each page; no shuffle."""
     field = trained_field()
-    model_id = uuid.uuid4().hex
+    key = ("html", uuid.uuid4().hex)
     table = pages.sparkSession.sparkContext.broadcast((field.emission, field.transition))
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if model_id not in _shared:
-            _shared.clear()
-            _shared[model_id] = Field(*table.value)
-        mine = _shared[model_id]
-        for whole in batches:
-            yield pd.Series([main_text(p, mine) if p else "" for p in whole], dtype=object)
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            mine = held(key, lambda: Field(*table.value))
+            for whole in batches:
+                yield pd.Series([main_text(p, mine) if p else "" for p in whole], dtype=object)
+
+        yield from tidy(run, key)(batches)
 
     return (
         pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
