@@ -8,10 +8,15 @@ lengths still in stock meets the rest as nearly as it can. Documents of a chosen
 taken in a seeded order. Only lengths and counts meet in a task, one source at a time; the order
 within a length is decided by seeded buckets, so a common length is never ranked in one task.
 
+The words that a source takes miss its target by at most half its shortest document still in stock
+where that is shorter than FIT_WORDS, and else by less than one document; FIT_WORDS is a parameter, and a
+larger one is an exact fit of larger budgets.
+
 Defined results: a null text has size 0 and is taken 0 words; the null source is a source of its
-own, last; repeated rows are separate documents, of which any may be taken; an empty table gives an
-empty table; sources without words have target 0; other columns are carried by `mix_documents` and
-never clash with its working columns, which start with an underscore and are dropped.
+own, last; documents of one length and source rank by a seeded hash of doc_id and text, so reruns
+agree; repeated rows tie there, and as they are equal any of them may be taken; a null doc_id is
+hashed as null; a long text is one size; an empty table gives an empty table; sources without words
+have target 0; other columns are carried by `mix_documents` under their own names, whatever they are.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, materialize
+from tidemark.llm.common import WORD, materialize, scratch, tidy_group
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -128,26 +133,33 @@ def _choose(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PICKS)], schema=_PICKS)
 
 
-def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies (0, 1 or 2) of each document."""
-    sized = docs.withColumns({"_source": F.col("source").cast("string"), "_size": word_count()})
-    small = materialize(sized.select("_source", "_size"), "sizes")
-    histogram = materialize(small.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_rows")), "histogram")
-    targets = source_targets(histogram.select(F.col("_source").alias("source"), (F.col("_size") * F.col("_rows")).alias("size")))
-    targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    targets = materialize(targets, "targets")
-    same_source = F.col("h._source").eqNullSafe(F.col("t._source"))
-    with_target = histogram.alias("h").join(targets.alias("t"), same_source).select("h._source", "_size", "_rows", "_target")
-    picks = materialize(with_target.groupBy("_source").applyInArrow(_choose, _PICKS_DDL), "picks").alias("p")
+def mix_documents(docs: DataFrame, seed: int = SEED, size: str = "_size", source_size: str = "_source_size", target: str = "_target", copies: str = "_copies") -> DataFrame:
+    """docs with four new columns: its size, its source's size and target, and how often each document is taken (0, 1 or 2)."""
+    spark = docs.sparkSession
+    row = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the caller's columns, out of the way of ours
+    sized = docs.select(
+        *(F.col(f"`{c}`").alias(r) for c, r in row.items()),
+        F.col("source").cast("string").alias("_source"),
+        word_count().alias("_size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")).alias("_order"),
+    )
+    with scratch(spark):
+        small = materialize(sized.select("_source", "_size"), "sizes")
+        histogram = materialize(small.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_rows")), "histogram")
+        targets = source_targets(histogram.select(F.col("_source").alias("source"), (F.col("_size") * F.col("_rows")).alias("size")))
+        targets = targets.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+        targets = materialize(targets, "targets", keep=True)
+        same_source = F.col("h._source").eqNullSafe(F.col("t._source"))
+        with_target = histogram.alias("h").join(targets.alias("t"), same_source).select("h._source", "_size", "_rows", "_target")
+        picks = materialize(with_target.groupBy("_source").applyInArrow(tidy_group(_choose), _PICKS_DDL), "picks", keep=True).alias("p")
 
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_size"))
     keyed = (
-        sized.withColumn("_order", order)
-        .alias("d")
+        sized.alias("d")
         .join(picks, F.col("d._source").eqNullSafe(F.col("p._source")) & (F.col("d._size") == F.col("p._size")))
         .select("d.*", "_rows", "_picked", "_passes")
     )
-    return _rank(keyed, targets)
+    ours = {"_size": size, "_source_size": source_size, "_target": target, "_copies": copies}
+    return _rank(keyed, targets).select(*(F.col(r).alias(c) for c, r in row.items()), *(F.col(c).alias(n) for c, n in ours.items()))
 
 
 def _rank(keyed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -165,7 +177,7 @@ def _rank(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     started = open_rows.join(
         starts, open_rows["_source"].eqNullSafe(starts["_s"]) & (open_rows["_size"] == starts["_z"]) & (open_rows["_bucket"] == starts["_b"]), "left"
     ).withColumn("_start", F.coalesce("_start", F.lit(0)))
-    within = Window.partitionBy("_source", "_size", "_bucket").orderBy("_order", "doc_id")
+    within = Window.partitionBy("_source", "_size", "_bucket").orderBy("_order")
     chosen = started.withColumn("_more", (F.row_number().over(within) + F.col("_start") <= F.col("_picked")).cast("long"))
     columns = [c for c in settled.columns if c not in ("_order", "_bucket", "_rows", "_picked")]
     both = settled.select(columns).unionByName(chosen.select(columns)).withColumn("_copies", F.col("_passes") + F.col("_more"))

@@ -8,8 +8,10 @@ The plan is a list of patterns with a number of bins each. Each piece then finds
 rank among the pieces of its length: ranks come from per-task counters and offsets of tasks, so
 no length, however common, is gathered or sorted in one task.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed each; an empty
-table gives an empty table; columns besides doc_id and text are not read.
+Defined results: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are
+packed each; pieces of one length tie, and any of them may take a place of that length; a long text is
+encoded whole and cut into pieces; an empty table gives an empty table; columns besides doc_id and text
+are not read, so none clashes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, materialize
+from tidemark.llm.common import arrow_rows, materialize, scratched, tidy
 from tidemark.llm.unit_tokens import worker_ids
 
 CAPACITY = 1024
@@ -131,9 +133,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_i
 
         return arrow_rows(batches, _PIECES, row)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, _PIECES_DDL)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(tidy(run, ("ids", vocabulary)), _PIECES_DDL)
 
 
+@scratched
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece."""
     spark = docs.sparkSession

@@ -1,14 +1,17 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a compact table of the corpus's most frequent units and their token counts. It is
-found in one pass over all documents: each task keeps a bounded summary of its units' counts, and
-summaries (never the units of texts) are merged in a tree, at most FAN_IN to a task, until one of
-at most TABLE_SIZE entries is left. The table is broadcast: at most TABLE_SIZE units of at most
-UNIT_BYTES bytes. Tier two is a bounded cache in each Python worker in front of the library. No
-unit of a text is ever shuffled, and the table affects speed only: counts are the library's.
-
-Defined results: a null or empty text has 0 tokens and 0 bytes; repeated rows give repeated
-results; an empty table gives an empty table; columns besides doc_id and text are not read.
+Tier one is a compact hash table of the corpus's most frequent pre-tokens and their token counts. It
+is found in one pass over all documents: each task keeps a bounded summary of its units (runs between
+spaces), splits what is left into pre-tokens with their counts, and summaries (never the pre-tokens of
+texts) are merged in a tree, at most FAN_IN to a task, until one of at most TABLE_SIZE entries is left.
+The table is broadcast: at most TABLE_SIZE pre-tokens of at most UNIT_BYTES bytes. Tier two are bounded
+caches in each Python worker in front of the library. No pre-token of a text is ever shuffled, and the
+table affects speed only, so that summaries are bounded costs no exactness: counts are the library's.
+
+Defined results: a null or empty text has 0 tokens and 0 bytes; a null doc_id stays null; repeated rows
+give repeated results; ties in frequency go to the smaller pre-token; a long text is counted unit by
+unit in memory for its units; an empty table gives an empty table; columns besides doc_id and text are
+not read, so none clashes.
 """
 
 from __future__ import annotations
@@ -24,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, held
-from tidemark.llm.unit_tokens import UnitCounts, load_tokenizer
+from tidemark.llm.common import arrow_rows, held, tidy
+from tidemark.llm.unit_tokens import UnitCounts, load_tokenizer, pre_tokens
 
 TABLE_SIZE = 16_384
 UNIT_BYTES = 48
@@ -53,8 +56,11 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts.update(text.split(" "))
                 if len(counts) > SUMMARY_UNITS:
                     counts = Counter(_largest(counts, SUMMARY_UNITS // 2))
-    del counts[""]
-    kept = {u: n for u, n in _largest(counts, TABLE_SIZE).items() if len(u.encode()) <= UNIT_BYTES}
+    tokens: Counter = Counter()
+    for unit, n in counts.items():
+        for token in pre_tokens(unit):
+            tokens[token] += n
+    kept = {u: n for u, n in _largest(tokens, TABLE_SIZE).items() if len(u.encode()) <= UNIT_BYTES}
     part = TaskContext.get().partitionId()
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([json.dumps(kept)])], schema=_SUMMARY)
 
@@ -67,10 +73,10 @@ def _merge(summaries: pa.Table) -> pa.Table:
     return pa.table([pa.array([part], pa.int32()), pa.array([json.dumps(_largest(counts, TABLE_SIZE))])], schema=_SUMMARY)
 
 
-def frequent_units(docs: DataFrame) -> list[str]:
-    """The corpus's frequent units, most frequent first, from bounded summaries of all documents."""
+def frequent_pre_tokens(docs: DataFrame) -> list[str]:
+    """The corpus's frequent pre-tokens, most frequent first, from bounded summaries of all documents."""
     texts = docs.selectExpr("cast(text as string) as text")
-    level = texts.mapInArrow(_summarise, _SUMMARY_DDL)
+    level = texts.mapInArrow(tidy(_summarise), _SUMMARY_DDL)
     parts = max(1, texts.rdd.getNumPartitions())
     while parts > 1:
         level = level.groupBy(F.floor(F.col("part") / FAN_IN).alias("to")).applyInArrow(_merge, _SUMMARY_DDL)
@@ -81,14 +87,13 @@ def frequent_units(docs: DataFrame) -> list[str]:
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each document's whole text."""
-    units = frequent_units(docs)
     tokenizer = load_tokenizer(vocabulary)
-    lengths = {u: len(tokenizer.encode(u, add_special_tokens=False)) for u in units}
+    lengths = {t: len(tokenizer.encode(t, add_special_tokens=False)) for t in frequent_pre_tokens(docs)}
     table = docs.sparkSession.sparkContext.broadcast(lengths)
-    model_id = uuid.uuid4().hex
+    key = ("counts", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = held(("counts", model_id), lambda: UnitCounts(vocabulary, table.value))
+        count = held(key, lambda: UnitCounts(vocabulary, table.value))
 
         def row(doc_id: int | None, text: str | None) -> tuple:
             text = text or ""
@@ -96,5 +101,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
 
         return arrow_rows(batches, _COUNTS, row)
 
-    counted = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(run, _COUNTS_DDL)
+    counted = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").mapInArrow(tidy(run, key), _COUNTS_DDL)
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import arrow_rows, byte_batches, materialize, scratch, tidy
+from tidemark.llm.common import BATCH_BYTES, arrow_rows, materialize, scratch, tidy
 
 PACKET = 188
 UNIT = 576
@@ -39,8 +39,6 @@ PRIVATE_PES_TYPE = 0x06
 #: 90 kHz ticks from one access unit to the next.
 TICKS_PER_UNIT = 1800
 FIRST_PTS = 90_000
-#: About the bytes of a batch between Spark and a worker; a longer stream is a batch of its own.
-BATCH_BYTES = 8 << 20
 
 
 def _crc_table() -> list[int]:
@@ -331,8 +329,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 def store(docs: DataFrame) -> DataFrame:
     """to_media, written to the shared folder."""
-    with byte_batches(docs.sparkSession, BATCH_BYTES):
-        return materialize(to_media(docs), "media", compression="zstd")
+    return materialize(to_media(docs), "media", compression="zstd")
 
 
 def probe(media: DataFrame) -> DataFrame:
@@ -363,6 +360,4 @@ def probe(media: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """What `probe` reads of the streams that `store` has written; the streams are deleted after."""
     with scratch(docs.sparkSession):
-        media = store(docs)
-        with byte_batches(docs.sparkSession, BATCH_BYTES):
-            return materialize(probe(media), "probed", keep=True)
+        return materialize(probe(store(docs)), "probed", keep=True)

@@ -3,12 +3,13 @@
 Ids: a byte-level vocabulary's merge ranks drive the faster encoder of the same algorithm; texts
 with special strings go to the vocabulary's own library. Counts: a unit is a run between two
 U+0020, and the counting vocabulary drops white space, so a text's tokens are its units' tokens in
-order; units of Latin letters, digits and plain punctuation are split into pre-tokens that the
-vocabulary's model encodes, all others are encoded by the whole library.
+order; units of Latin letters, digits and plain punctuation are split into pre-tokens, which are looked
+up or encoded by the vocabulary's model, all others are encoded by the whole library.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -26,6 +27,12 @@ LONGEST = 64
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9.,;:!?()\[\]\"/%&#$*+=@_-]*")
 _PRE_TOKENS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
+
+def pre_tokens(unit: str) -> list[str]:
+    """The pre-tokens of a unit; none of one that only the whole library can split."""
+    return _PRE_TOKENS.findall(unit.lower()) if _PLAIN.fullmatch(unit) else []
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level vocabularies' letter for each byte: printable bytes stand for themselves, others follow from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,10 +56,9 @@ def load_tokenizer(path: str):
 class Generations(dict):
     """A cache in two generations: what was used since the last turn survives the next."""
 
-    def __init__(self, make, first: dict | None = None) -> None:
-        super().__init__(first or {})
+    def __init__(self, make) -> None:
+        super().__init__()
         self.make = make
-        self.first = first or {}
         self.old: dict = {}
 
     def __missing__(self, key: str):
@@ -61,10 +67,9 @@ class Generations(dict):
             value = self.make(key)
             if len(key) > LONGEST:
                 return value
-        if len(self) >= GENERATION + len(self.first):
+        if len(self) >= GENERATION:
             self.old = dict(self)
             self.clear()
-            self.update(self.first)
         self[key] = value
         return value
 
@@ -78,14 +83,20 @@ class TextIds:
     def __init__(self, path: str) -> None:
         import tiktoken
 
-        self.tokenizer = load_tokenizer(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        self.special = [t["content"] for t in whole["added_tokens"]]
+        vocabulary = whole["model"]["vocab"]
         to_byte = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in vocabulary.items() if t not in self.special}
         self.encoder = tiktoken.Encoding(path, pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Only texts with special strings need it."""
+        return load_tokenizer(self.path)
+
     def __call__(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -95,22 +106,26 @@ class TextIds:
 class UnitCounts:
     """Token counts of whole texts for a vocabulary that lower-cases and drops white space.
 
-    lengths is the broadcast first tier; misses go to the worker's caches, then the vocabulary.
+    lengths is the broadcast first tier, of pre-tokens; misses go to the worker's caches, then the
+    vocabulary. Counts of whole units are cached too.
     """
 
     def __init__(self, path: str, lengths: dict[str, int]) -> None:
         self.tokenizer = load_tokenizer(path)
         self.model = self.tokenizer.model
-        self.pre_tokens = Generations(self._count_pre_token)
-        self.units = Generations(self._count, lengths)
+        self.lengths = lengths
+        self.missed = Generations(self._encode)
+        self.units = Generations(self._count)
 
-    def _count_pre_token(self, token: str) -> int:
+    def _encode(self, token: str) -> int:
         return len(self.model.tokenize(token.encode().decode("latin-1").translate(_TO_LETTERS)))
 
     def _count(self, unit: str) -> int:
-        if _PLAIN.fullmatch(unit):
-            return sum(map(self.pre_tokens.__getitem__, _PRE_TOKENS.findall(unit.lower())))
-        return len(self.tokenizer.encode(unit, add_special_tokens=False))
+        found = pre_tokens(unit)
+        if not found and unit:
+            return len(self.tokenizer.encode(unit, add_special_tokens=False))
+        get, missed = self.lengths.get, self.missed
+        return sum(get(t) or missed[t] for t in found)
 
     def __call__(self, text: str) -> int:
         return sum(map(self.units.__getitem__, text.split(" ")))
