@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -100,7 +101,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False, compression: str
 
 
 #: About the bytes of a batch between Spark and a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
@@ -185,6 +186,7 @@ def held(key: object, make: Callable[[], object]):
 
 def _trim() -> None:
     """Give freed memory back: a reused worker else keeps the most it ever held."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
