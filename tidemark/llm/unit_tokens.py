@@ -19,8 +19,8 @@ from tidemark.llm.common import held
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a cache generation and the longest string kept in it: at most about 25 MB a worker.
-GENERATION = 60_000
+#: Entries of a cache generation and the longest string kept in it: at most about 100 MB a worker.
+GENERATION = 240_000
 LONGEST = 64
 
 #: Units whose normal form is their lower case: no combining marks, apostrophes or special strings.
