@@ -838,4 +838,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["search_flagship"] = flagship
 
 # The other query modules register themselves.
-from tidemark.plans import session_queries  # noqa: E402, F401
+from tidemark.plans import session_queries, synopsis_queries  # noqa: E402, F401
