@@ -52,7 +52,7 @@ def test_engine_verbs(spark, tmp_path):
         again = e.search("lantern", {"project_id": "p"}, limit=3, cursor=found.cursor)
         assert not {i["id"] for i in again.items} & {i["id"] for i in found.items}
     told = e.overview({"project_id": "p"}).collect()
-    assert {r.type for r in told} == {"decision", "open_item"} and "superseded" in {r.status for r in told}
+    assert {r.type for r in told} == {"session_synopsis", "decision", "open_item"} and "superseded" in {r.status for r in told}
     evidence = e.get_evidence([found.items[0]["id"]], {"project_id": "p"}).collect()
     assert evidence == sorted(evidence, key=lambda r: r.ordinal)
     sessions = spark.createDataFrame([(1,)], "session_id long")

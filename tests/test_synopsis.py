@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 import re
 
-from tidemark.operators import synopsis
+from tidemark.operators import memory, synopsis
 
 SCHEMA = "session_id string, chunk_id string, observed_from string, observed_to string, display_text string"
 
@@ -89,3 +89,26 @@ def test_synopses_of_empty_and_titled_chunks(spark):
     assert [r["session_id"] for r in made] == ["s"]
     assert made[0]["body"] == f"Goal\nWe must ship\n\nCurrent state\nDone\n\nConstraints\nWe must ship\n\nRecent changes\n{' '.join(shown.split())}"
     assert (made[0]["evidence_ids"], made[0]["observed_from"], made[0]["observed_to"]) == (["c"], "2024-01-01", "2024-01-02")
+
+
+def test_decisions_carry_what_stands_beside_them(spark):
+    told = (
+        "We decided to use src/a.ts instead of b.ts because it is fast. We rejected the queue because it is slow. "
+        "Redis was weighed. It must stay small. It can't grow."
+    )
+    rows = [(1, "c", "2024-01-01", told), (1, "d", None, "Decision: keep plain files."), (2, "e", None, None), (2, "f", None, "")]
+    chunks = spark.createDataFrame(rows, "session_id long, chunk_id string, observed_at string, display_text string")
+    found = memory.decisions(chunks)
+    made = {r["chunk_id"]: r for r in found.collect()}
+    assert set(made) == {"c", "d"}
+    one = made["c"]
+    assert (one["decision"], one["rationale"]) == ("use src/a.ts instead of b.ts", "it is fast.")
+    assert [tuple(a) for a in one["alternatives"]] == [("b.ts", None), ("the queue", "it is slow.")]
+    assert one["constraints"] == ["It must stay small.", "It can't grow."]
+    assert one["entities"] == ["src/a.ts", "b.ts"]
+    assert one["body"].split("\n")[1:] == [
+        "Decision: use src/a.ts instead of b.ts", "Rationale: it is fast.", "Alternative rejected: b.ts", "Alternative rejected: the queue — it is slow.",
+    ]
+    assert one["supersedes_earlier"] and not made["d"]["supersedes_earlier"]
+    assert made["d"]["body"].endswith("Rationale: No explicit rationale was captured.")
+    assert [r["chunk_id"] for r in memory.decisions(chunks, 1).collect()] == ["d"]

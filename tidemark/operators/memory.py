@@ -17,26 +17,64 @@ STOP_WORDS = frozenset(
 )
 RELATED = 0.2
 
+# What a constraint, a rejected alternative and an entity look like.
+CONSTRAINT = text.ascii_bounds(r"(?i)\b(must|cannot|can't|required?|constraint)\b")
+INSTEAD = text.ascii_bounds(r"(?i)\binstead of\s+(.+)$")
+REJECTED = (r"(?i)(?:we\s+)?rejected\s+(.+?)(?:\s+because\s+(.+))?$", r"(?i)^(.+?)\s+was rejected(?:\s+because\s+(.+))?$")
+ENTITY = text.ascii_bounds(r"(?:[A-Za-z0-9_.-]+/)+(?:[A-Za-z0-9_.-]+)|\b[A-Za-z_$][\w$]*\.(?:ts|tsx|js|mjs|cjs|json|sql|md)\b")
+
 
 def sentence_rows(chunks: DataFrame) -> DataFrame:
     """(session_id, chunk_id, observed_at, no, sentence) of chunks with display_text."""
     return chunks.select("session_id", "chunk_id", "observed_at", F.posexplode(text.sentences(F.col("display_text"))).alias("no", "sentence"))
 
 
-def decisions(chunks: DataFrame) -> DataFrame:
-    """Decision sentences with rationale, identity and what they say about earlier ones."""
-    found = sentence_rows(chunks).withColumn("decided", text.decision(F.col("sentence"))).filter(F.col("decided").isNotNull())
-    split = found.withColumn("_r", text.rationale(F.col("decided")))
-    decision = text.bounded(F.col("_r.decision"), 1200)
-    normalized = F.lower(text.single_spaced(F.col("_r.decision")))
-    return split.select(
+def _rejected(sentence: Column) -> Column:
+    """What a sentence says was rejected, and why; null where it says no such thing."""
+    first, second = (sentence.rlike(p) for p in REJECTED)
+
+    def part(n: int) -> Column:
+        return F.nullif(F.when(first, F.regexp_extract(sentence, REJECTED[0], n)).otherwise(F.regexp_extract(sentence, REJECTED[1], n)), F.lit(""))
+
+    made = F.struct(text.bounded(part(1), 300).alias("name"), text.bounded(part(2), 1200).alias("reason"))
+    return F.when(sentence.rlike("(?i)rejected") & (first | second), made)
+
+
+def decisions(chunks: DataFrame, most: int = 200) -> DataFrame:
+    """Decision sentences with rationale, alternatives, constraints, entities, identity and what they say about earlier ones.
+
+    A session has at most `most` decisions, the first in (observed_at, chunk_id, sentence), which bounds the timeline.
+    """
+    said = text.sentences(F.col("display_text"))
+    beside = chunks.withColumn("_all", said).select(
+        "session_id", "chunk_id", "observed_at", "_all",
+        F.transform(F.slice(F.filter("_all", lambda s: s.rlike(CONSTRAINT)), 1, 8), lambda s: text.bounded(s, 300)).alias("constraints"),
+        F.slice(F.filter(F.transform("_all", _rejected), lambda r: r.isNotNull()), 1, 8).alias("_rejected"),
+    )
+    rows = beside.select("session_id", "chunk_id", "observed_at", "constraints", "_rejected", F.posexplode("_all").alias("no", "sentence"))
+    found = rows.withColumn("decided", text.decision(F.col("sentence"))).filter(F.col("decided").isNotNull())
+    split = found.withColumn("_r", text.rationale(F.col("decided"))).withColumn("decision", text.bounded(F.col("_r.decision"), 1200)).filter("decision != ''")
+    by = Window.partitionBy("session_id").orderBy(F.asc_nulls_first("observed_at"), "chunk_id", "no")
+    first = split.withColumn("_n", F.row_number().over(by)).filter(F.col("_n") <= most)
+    instead = F.nullif(F.regexp_extract("decision", INSTEAD, 1), F.lit(""))
+    own = F.struct(text.bounded(instead, 300).alias("name"), F.lit(None).cast("string").alias("reason"))
+    other = F.when(instead.isNull(), F.col("_rejected")).otherwise(F.slice(F.concat(F.array(own), F.col("_rejected")), 1, 8))
+    told = first.withColumn("alternatives", other).withColumn("alternative", instead)
+    lines = F.transform("alternatives", lambda r: F.concat(F.lit("Alternative rejected: "), r["name"], F.coalesce(F.concat(F.lit(" — "), r["reason"]), F.lit(""))))
+    why = text.bounded(F.coalesce("_r.rationale", F.lit("No explicit rationale was captured.")), 1200)
+    head = F.array(F.lit("Heuristic decision candidate; verify against the linked evidence."), F.concat(F.lit("Decision: "), F.col("decision")), F.concat(F.lit("Rationale: "), why))
+    body = told.withColumn("body", F.array_join(F.concat(head, lines), "\n"))
+    normalized = F.lower(text.single_spaced(text.nfkc(F.col("decision"))))
+    return body.select(
         ids.stable_id("memory", F.lit("decision"), F.col("session_id").cast("string"), F.col("chunk_id").cast("string"), normalized).alias("memory_id"),
-        "session_id", "chunk_id", "observed_at", "no",
-        decision.alias("decision"),
+        "session_id", "chunk_id", "observed_at", "no", "decision",
         F.col("_r.rationale").alias("rationale"),
-        F.nullif(F.regexp_extract("_r.decision", r"(?i)\binstead of\s+(.+)$", 1), F.lit("")).alias("alternative"),
-        F.col("sentence").rlike(text.SUPERSEDES).alias("supersedes_earlier"),
-        (F.col("sentence").rlike(text.CONFLICTS) & ~F.col("sentence").rlike(text.SUPERSEDES)).alias("conflicts_earlier"),
+        "alternative", "alternatives", "constraints",
+        F.slice(F.array_distinct(F.regexp_extract_all("sentence", F.lit(ENTITY), 0)), 1, 20).alias("entities"),
+        F.concat(F.lit("Decision candidate: "), text.bounded(F.col("decision"), 120)).alias("title"),
+        "body",
+        F.col("body").rlike(text.SUPERSEDES).alias("supersedes_earlier"),
+        (F.col("body").rlike(text.CONFLICTS) & ~F.col("body").rlike(text.SUPERSEDES)).alias("conflicts_earlier"),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, text
-from tidemark.operators import chunking, memory, retrieval, scope, search_index, sync
+from tidemark.operators import chunking, memory, retrieval, scope, search_index, sync, synopsis
 
 #: Bounds of a request: least, most and default; fixed values.
 ITEMS, TOKENS, BYTES = (1, 20, 12), (128, 6000, 6000), 131_072
@@ -140,14 +140,17 @@ class Engine:
         told = chunks.select("session_id", "chunk_id", F.col("observed_from").alias("observed_at"), "display_text")
         found = memory.decisions(told)
         decided = found.join(memory.timeline(found).drop("session_id"), "memory_id").select(
-            "memory_id", "session_id", F.lit("decision").alias("type"), F.col("decision").alias("body"), "status", "observed_at", F.array("chunk_id").alias("evidence_ids")
+            "memory_id", "session_id", F.lit("decision").alias("type"), "body", "status", "observed_at", F.array("chunk_id").alias("evidence_ids")
         )
         items = memory.open_items(told).select(
             ids.stable_id("memory", F.lit("open_item"), F.col("session_id").cast("string"), F.col("chunk_id"), F.lower("item")).alias("memory_id"),
             "session_id", F.lit("open_item").alias("type"), F.col("item").alias("body"), F.lit("candidate").alias("status"),
             F.lit(None).cast("string").alias("observed_at"), F.array("chunk_id").alias("evidence_ids"),
         )
-        return decided.unionByName(items)
+        told = synopsis.synopses(chunks).select(
+            "memory_id", "session_id", F.lit("session_synopsis").alias("type"), "body", F.lit("active").alias("status"), F.col("observed_from").alias("observed_at"), "evidence_ids"
+        )
+        return decided.unionByName(items).unionByName(told)
 
     def _visible_chunks(self, boundary: Mapping[str, str | None]) -> DataFrame:
         sessions = self.t.scopes.filter("scope_kind = 'session'").select(F.col("scope_id").alias("session_key"), "project_id", "workstream_id")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import synopsis
-from tidemark.plans.queries import Read, query
+from tidemark.operators import memory, synopsis
+from tidemark.plans.queries import _SENTENCE_SQL, Read, _said, query
 
 _LAST = {0: "It must stay small", 1: "We decided on src/main.ts", 2: "TODO remaining work", 3: "An error came up", 4: "Nothing"}
 _CASE = "CASE CAST((conv_id + turn) % 5 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _LAST.items()) + " END"
@@ -68,3 +68,16 @@ def labelled_blocks(read: Read) -> DataFrame:
         return F.array_join(synopsis.labelled_blocks(F.col("display_text"), label), "|")
 
     return _chunks(read).select("session_id", "chunk_id", of("User").alias("asked"), of("Assistant").alias("answered"))
+
+
+_FLAT = r"trim(regexp_replace(sentence, '\s+', ' ', 'g'))"
+
+
+@query(
+    f"WITH s AS ({_SENTENCE_SQL}), d AS (SELECT session_id, chunk_id, no FROM s WHERE regexp_matches(sentence, '(?i)^(User: )?(decision\\s*:|(we\\s+)?decided|we\\s+(choose|chose|selected|agreed)|(we\\s+)?will\\s+use\\s)')), "
+    f"c AS (SELECT session_id, chunk_id, no, {_FLAT} AS f, row_number() OVER (PARTITION BY session_id, chunk_id ORDER BY no) AS n FROM s WHERE regexp_matches(sentence, '(?i)\\b(must|cannot|can''t|required?|constraint)\\b')), "
+    "g AS (SELECT session_id, chunk_id, string_agg(CASE WHEN length(f) <= 300 THEN f ELSE rtrim(substr(f, 1, 299)) || '…' END, '|' ORDER BY no) AS constraints FROM c WHERE n <= 8 GROUP BY 1, 2) "
+    "SELECT d.session_id, d.chunk_id, d.no, coalesce(constraints, '') AS constraints FROM d LEFT JOIN g ON d.session_id = g.session_id AND d.chunk_id = g.chunk_id"
+)
+def decision_constraints(read: Read) -> DataFrame:
+    return memory.decisions(_said(read)).select("session_id", "chunk_id", "no", F.array_join("constraints", "|").alias("constraints"))
