@@ -101,6 +101,17 @@ def test_visibility_nulls_and_specificity(spark):
     assert [r.reason for r in scope.most_specific(rows, gone, "k").collect()] == ["one"]
 
 
+def test_levels_of_many_tombstones_agree_with_the_one_broadcast(spark):
+    parts = lambda n: (f"p{n % 3}", [None, "v", "w"][n // 3 % 3], [None, "s", "t"][n // 9 % 3])
+    schema = "project_id string, workstream_id string, session_id string"
+    rows = spark.createDataFrame([parts(n) for n in range(27)] + [(None, "v", "s")], schema).withColumn("k", F.monotonically_increasing_id())
+    gone = spark.createDataFrame([(*parts(n), f"r{n}") for n in (0, 4, 10, 13, 14, 23, 23)] + [(None, None, None, "none")], schema + ", reason string")
+    few, many = (sorted(r.k for r in scope.visible(rows, gone, n).collect()) for n in (100, 1))
+    assert few == many and 0 < len(few) < 28
+    few, many = (sorted(map(tuple, scope.most_specific(rows, gone, "k", n).collect())) for n in (100, 1))
+    assert few == many and {level for _, level, _ in few} == {1, 2, 3}
+
+
 def test_ignore_last_rule_wins(spark):
     rules = ignore.parse_rules("*.log\n!keep.log\n/build/\n")
     paths = ["a/x.log", "a/keep.log", "build/out.txt", "src/main.py"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,18 +42,47 @@ def _covers(x: str, c: str) -> Column:
     return found
 
 
-def visible(content: DataFrame, tombstones: DataFrame) -> DataFrame:
+def _by_level(tombstones: DataFrame) -> list[tuple[Column, DataFrame]]:
+    """Tombstones by which parts they set, each with the equalities alone that it hides rows by."""
+    levels = []
+    for workstream in (False, True):
+        for session in (False, True):
+            named = [c for c, there in zip(PARTS, (True, workstream, session)) if there]
+            of = tombstones.filter(F.col("workstream_id").isNotNull() == workstream).filter(F.col("session_id").isNotNull() == session)
+            met = F.lit(True)
+            for c in named:
+                met &= F.col(f"c.{c}") == F.col(f"x.{c}")
+            levels.append((met, of))
+    return levels
+
+
+def _joins(tombstones: DataFrame, rows: int) -> list[tuple[Column, DataFrame]]:
+    """The joins that meet all tombstones: one broadcast where they are few, else one on all set parts for each level.
+
+    Beyond the bound a join on the project alone would put a large project's rows in one task.
+    """
+    if tombstones.limit(rows + 1).count() <= rows:
+        return [(_covers("x", "c"), F.broadcast(tombstones))]
+    return [(met, small(of, rows)) for met, of in _by_level(tombstones)]
+
+
+def visible(content: DataFrame, tombstones: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Rows that no tombstone hides, whatever its status."""
-    marks = small(tombstones.select(*PARTS).distinct())
-    return content.alias("c").join(marks.alias("x"), _covers("x", "c"), "left_anti")
+    kept = content
+    for met, marks in _joins(tombstones.select(*PARTS).distinct(), rows):
+        kept = kept.alias("c").join(marks.alias("x"), met, "left_anti")
+    return kept
 
 
-def most_specific(rows: DataFrame, tombstones: DataFrame, key: str) -> DataFrame:
+def most_specific(hidden: DataFrame, tombstones: DataFrame, key: str, rows: int = SMALL_ROWS) -> DataFrame:
     """Each hidden row with the narrowest tombstone that hides it."""
     level = F.when(F.col("x.session_id").isNotNull(), 3).when(F.col("x.workstream_id").isNotNull(), 2).otherwise(1)
-    met = rows.alias("c").join(small(tombstones).alias("x"), _covers("x", "c")).select(f"c.{key}", level.alias("level"), F.col("x.reason").alias("reason"))
-    best = Window.partitionBy(key).orderBy(F.desc("level"), "reason")
-    return met.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
+    found = [
+        hidden.alias("c").join(marks.alias("x"), met).select(f"c.{key}", F.struct((-level).alias("at"), F.col("x.reason").alias("reason")).alias("_best"))
+        for met, marks in _joins(tombstones, rows)
+    ]
+    best = functools.reduce(DataFrame.union, found).groupBy(key).agg(F.min("_best").alias("_best"))
+    return best.select(key, (-F.col("_best.at")).alias("level"), F.col("_best.reason").alias("reason"))
 
 
 def scopes(projects: DataFrame, workstreams: DataFrame, sessions: DataFrame) -> DataFrame:
