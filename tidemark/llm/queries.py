@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fill_middle, graph_ann, html_crf, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import dual_tree, fill_middle, graph_ann, html_crf, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -70,6 +70,35 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Every round by plain comparison of all vectors with all centroids."""
+    near = """
+    a{n} AS MATERIALIZED (SELECT row, vec_id, v, c AS cluster, d AS distance FROM (
+      SELECT k.row, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d,
+        row_number() OVER (PARTITION BY k.row ORDER BY list_sum(list_transform(list_zip(k.v, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), c.c) AS place
+      FROM kept AS k CROSS JOIN c{n} AS c) AS t WHERE place = 1)"""
+    move = """
+    m{n} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS i FROM a{n}) AS t GROUP BY cluster, i),
+    c{next} AS MATERIALIZED (SELECT c.c, coalesce(f.m, c.m) AS m FROM c{n} AS c LEFT JOIN (
+      SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS m FROM m{n} GROUP BY cluster) AS f ON f.cluster = c.c)"""
+    steps = ",".join(near.format(n=n) + "," + move.format(n=n, next=n + 1) for n in range(dual_tree.ROUNDS))
+    last = dual_tree.ROUNDS
+    return f"""
+    WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    c0 AS MATERIALIZED (SELECT place - 1 AS c, v AS m FROM (
+      SELECT v, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) AS place FROM kept) AS t WHERE place <= 16),
+    {steps},{near.format(n=last)}
+    SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.distance AS BIGINT) AS distance,
+      CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c.m, ',')) AS centroid_sha256
+    FROM a{last} AS a JOIN c{last} AS c ON c.c = a.cluster"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
@@ -119,7 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_graph_ann": op8_graph_ann,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {"op13_fill_in_middle": OP13_SQL}
+ORACLES: dict[str, str] = {"op12_dual_tree_lloyd": _op12_sql(), "op13_fill_in_middle": OP13_SQL}
