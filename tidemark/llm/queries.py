@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import dual_tree, fill_middle, graph_ann, html_crf, jaccard_join, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
+from tidemark.llm import dual_tree, fill_middle, graph_ann, html_crf, jaccard_join, language_id, lattice_lm, line_dedup, mixing, packing, token_counts, toxicity, transport_stream
 from tidemark.llm.common import table
 
 
@@ -70,6 +70,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op12_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dual_tree.cluster(table(spark, sf_dir, "embeddings"))
 
@@ -148,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_graph_ann": op8_graph_ann,
     "op9_line_dedup": op9_line_dedup,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_language_id": op11_language_id,
     "op12_dual_tree_lloyd": op12_dual_tree_lloyd,
     "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
