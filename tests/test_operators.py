@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,10 +73,14 @@ def test_tool_pair_keeps_a_turn_together(spark):
 
 def test_compaction(spark):
     said = "\n".join(["a", "a", "a", "a", "b", "", "", "", "", "b"])
-    assert one(spark, chunking.compact_lines(F.col("t")), t=said) == "a\na\n... [2 repeated lines omitted] ...\nb\n\n\n\n\nb"
+    compacted = one(spark, chunking.compact_lines(F.col("t")), t=said)
+    assert compacted.text == "a\na\n... [2 repeated lines omitted] ...\nb\n\n\n\n\nb" and compacted.omitted == 4
+    for plain in ("", "a", "a\n", "\n\n\n\n\n", "a\na\na"):
+        assert tuple(one(spark, chunking.compact_lines(F.col("t")), t=plain)) == (plain, 0)
     long = "\n".join(f"line {i}" for i in range(200)) + "\nfatal: boom\n" + "z" * 300
     cut = one(spark, chunking.compact_output(F.col("t"), 200), t=long)
-    assert len(cut) <= 200 and "fatal: boom" in cut and cut.count("[output omitted]") == 2
+    assert len(cut.text) <= 200 and "fatal: boom" in cut.text and cut.text.count("[output omitted]") == 2
+    assert cut.repeated == 0 and cut.beyond == len(long) - (200 - 2 * 26)
 
 
 def test_chunks_replay_alike(spark):
@@ -236,16 +242,40 @@ def test_whole_turns_are_split_and_extracted(spark, tmp_path):
     assert len(run("intent_classify")) == len(rows)
 
 
+def plain_split(label, body, most):
+    """The parts by trying every beginning: the longest that fits, cut back to a line end or a space."""
+    from tidemark.operators import chunking
+
+    if not body:
+        return [(f"{label}:\n[empty output]", f"{label}: [empty output]")]
+    parts = []
+    while body:
+        head = label + (" continued" if parts else "") + ": "
+        chosen = body
+        if chunking._cost(head + body) > most:
+            low = max(n for n in range(len(body) + 1) if chunking._cost(head + body[:n]) <= most)
+            edge = max(body.rfind("\n", 0, low), body.rfind(" ", 0, low))
+            chosen = body[: edge + 1] if edge >= int(low * 0.6) else body[:low]
+        parts.append((label + (" (continued)" if parts else "") + ":\n" + chosen, head + " ".join(unicodedata.normalize("NFKC", chosen).split())))
+        body = body[len(chosen) :].lstrip()
+    return parts
+
+
 def test_split_text_follows_the_limit():
     from tidemark.operators import chunking
 
     body = " ".join(f"word{i}" for i in range(300)) + "\n" + "x" * 900
     parts = chunking.split_text("Tool result", body, 60)
-    assert len(parts) > 5 and all(chunking._cost(p) <= 60 for p in parts)
-    assert parts[0].startswith("Tool result: word0") and all(p.startswith("Tool result continued: ") for p in parts[1:])
-    kept = "".join("".join(p.split(": ", 1)[1].split()) for p in parts)
-    assert kept == "".join(body.split())
-    assert chunking.split_text("User", "", 60) == ["User: [empty output]"]
+    assert len(parts) > 5 and all(chunking._cost(e) <= 60 for _, e in parts)
+    assert parts[0][0].startswith("Tool result:\nword0") and all(s.startswith("Tool result (continued):\n") and e.startswith("Tool result continued: ") for s, e in parts[1:])
+    assert "".join("".join(s.split(":\n", 1)[1].split()) for s, _ in parts) == "".join(body.split())
+    rng = random.Random(4)
+    signs = ["a", "bcd", "1", "23", " ", "    ", "\n", ".", "ﬁ", "é", "½", "日本"]
+    for _ in range(150):
+        said = "".join(rng.choice(signs) for _ in range(rng.randint(0, 90)))
+        assert chunking.split_text("User", said, 12) == plain_split("User", said, 12)
+    spaced = ("a" + " " * 5000) * 9
+    assert [e for _, e in chunking.split_text("User", spaced, 7)] == ["User: a a a a a", "User continued: a a", "User continued: a a"]
     with pytest.raises(ValueError):
         chunking.split_text("Tool result", "abc", 1)
 
@@ -262,7 +292,31 @@ def test_chunks_keep_pairs_together_and_split_long_events(spark):
     assert found[1, 0].event_ids == ["e0", "e1", "e2", "e3"]
     rest = [found[k] for k in sorted(found) if k[0] == 1 and k[1]]
     assert len(rest) > 5 and all(r.event_ids == ["e4"] and r.token_count <= 50 for r in rest) and len({r.chunk_id for r in rest}) == len(rest)
-    assert found[2, 0].display_text == "Tool result: [empty output]"
+    assert found[2, 0].display_text == "Tool result:\n[empty output]" and found[2, 0].embedding_text == "Tool result: [empty output]"
+    assert rest[0].display_text.startswith("User:\nword") and rest[1].display_text.startswith("User (continued):\n") and rest[1].embedding_text.startswith("User continued: ")
+
+
+def test_chunks_tell_what_was_left_out_and_hold_versions(spark):
+    from tidemark.operators import chunking
+
+    rows = [("s", 0, "e0", "tool_result", "x\n" * 9 + "end", "t0"), ("s", 1, "e1", "tool_result", "y" * 70_000, "t1"), ("s", 2, "e2", "assistant_message", "a\r\nb", "t2")]
+    events = spark.createDataFrame(rows, "session_id string, ordinal int, event_id string, kind string, text string, observed_at string")
+    found = chunking.chunks(events, "session_id", ["ordinal"]).collect()
+    told = {tuple(o) for r in found for o in r.omissions}
+    assert told == {("e0", "repetitive_output", 2 * 7), ("e1", "output_limit", 70_000 - (65_536 - 26))}
+    assert any(r.display_text.endswith("Assistant:\na\nb") and r.embedding_text.endswith("Assistant: a b") for r in found)
+    other = chunking.chunks(events, "session_id", ["ordinal"], chunker="chunks-3").collect()
+    assert {r.chunk_id for r in other} == {r.chunk_id for r in found} and not {r.fingerprint for r in other} & {r.fingerprint for r in found}
+
+
+def test_timeline_takes_any_type_of_session_id(spark):
+    from tidemark.operators import memory
+
+    rows = [("ku::session:x", "c1", "t1", "Decision: use the red cache."), ("ku::session:x", "c2", "t2", "We decided to use disk instead of the red cache.")]
+    for kind, cast in (("string", str), ("long", lambda v: 7)):
+        told = spark.createDataFrame([(cast(s), *r) for s, *r in rows], f"session_id {kind}, chunk_id string, observed_at string, display_text string")
+        found = memory.timeline(memory.decisions(told)).collect()
+        assert sorted(r.status for r in found) == ["candidate", "superseded"] and {r.session_id for r in found} == {cast("ku::session:x")}
 
 
 def test_identity_tokens_are_letters_digits_and_dashes():

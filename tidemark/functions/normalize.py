@@ -5,6 +5,9 @@ A value that is not allowed becomes null; lengths are code points.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +35,16 @@ def search_query(value: Column) -> Column:
     return F.when(~value.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), _bounded(clean, QUERY_MOST))
 
 
+def plain_query(value: str) -> str:
+    """search_query on the driver: the plain query, or ValueError for one that is not allowed."""
+    if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", value):
+        raise ValueError("a search query holds no control characters")
+    clean = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", value).strip())
+    if not 1 <= len(clean) <= QUERY_MOST:
+        raise ValueError(f"a search query has from 1 to {QUERY_MOST} characters")
+    return clean
+
+
 def commit_hash(value: Column) -> Column:
     return F.when(value.rlike(r"^[0-9a-fA-F]{7,64}$"), F.lower(value))
 
@@ -55,9 +68,13 @@ def session_title(title: Column, last_activity: Column, started: Column, branch:
     return F.when(F.length(F.trim(title)) > 0, title).otherwise(F.concat_ws(" · ", F.lit("Codex session"), day, branch))
 
 
-def session_uri(session_id: Column) -> Column:
+#: Scheme of the addresses under which sessions are found.
+SESSION_SCHEME = "tidemark"
+
+
+def session_uri(session_id: Column, scheme: str = SESSION_SCHEME) -> Column:
     # The form encoding writes a space as +, an address as %20.
-    return F.concat(F.lit("context-bridge://sessions/"), F.replace(F.url_encode(session_id.cast("string")), F.lit("+"), F.lit("%20")))
+    return F.concat(F.lit(f"{scheme}://sessions/"), F.replace(F.url_encode(session_id.cast("string")), F.lit("+"), F.lit("%20")))
 
 
 def scope_address(kind: Column, scope_id: Column, project_id: Column, workstream_id: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids, text
 
 TOOL_OUTPUT = 65_536
+#: Versions that a chunk's fingerprint holds: a new one makes all chunks new.
+CHUNKER_VERSION, REDACTION_VERSION = "chunks-2", "redaction-1"
 #: A split goes back to the last line end or space if that keeps this share of the text.
 USEFUL = 0.6
 LABELS = {"user_message": "User", "assistant_message": "Assistant", "tool_call": "Tool call", "tool_result": "Tool result"}
@@ -71,28 +74,35 @@ def repeated_line_runs(docs: DataFrame, key: str, column: str, more_than: int =
     return runs.filter((F.col("run_length") > more_than) & (F.length("line") > 0)).drop("_run")
 
 
-def compact_lines(value: Column, more_than: int = 3) -> Column:
-    """Runs of equal lines cut to two and a marker, as a fold over lines."""
+def line_runs(value: Column) -> Column:
+    """Array of (line, n): the maximal runs of equal lines of a text, in order."""
     lines = F.split(value, "\n", -1)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("n"))
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | (F.element_at(lines, i) != F.element_at(lines, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(lines) + 1))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(lines, a).alias("line"), (b - a).alias("n")))
 
-    def closed(s: Column) -> Column:
-        marker = F.concat(F.lit("... ["), (s["n"] - 2).cast("string"), F.lit(" repeated lines omitted] ..."))
-        short = F.array_repeat(s["line"], s["n"])
-        return F.when((s["n"] > more_than) & (F.length(s["line"]) > 0), F.array(s["line"], s["line"], marker)).otherwise(short)
 
-    def step(s: Column, line: Column) -> Column:
-        same = s["line"].eqNullSafe(line)
-        return F.when(same, F.struct(s["out"].alias("out"), s["line"].alias("line"), (s["n"] + 1).alias("n"))).otherwise(
-            F.struct(F.concat(s["out"], closed(s)).alias("out"), line.alias("line"), F.lit(1).alias("n"))
-        )
+def compact_lines(value: Column, more_than: int = 3) -> Column:
+    """(text, omitted): runs of equal lines cut to two and a marker, and the characters that this left out."""
+    runs = line_runs(value)
+    is_cut = lambda r: (r["n"] > more_than) & (F.length(r["line"]) > 0)
+    marker = lambda r: F.concat(F.lit("... ["), (r["n"] - 2).cast("string"), F.lit(" repeated lines omitted] ..."))
+    shown = F.transform(runs, lambda r: F.when(is_cut(r), F.array(r["line"], r["line"], marker(r))).otherwise(F.array_repeat(r["line"], r["n"])))
+    left_out = F.aggregate(runs, F.lit(0), lambda sum_, r: sum_ + F.when(is_cut(r), (F.length(r["line"]) + 1) * (r["n"] - 2)).otherwise(0))
+    return F.struct(F.array_join(F.flatten(shown), "\n").alias("text"), left_out.alias("omitted"))
 
-    return F.aggregate(lines, start, step, lambda s: F.array_join(F.concat(s["out"], closed(s)), "\n"))
+
+def one_line_end(value: Column) -> Column:
+    return F.regexp_replace(value, "\r\n?", "\n")
 
 
 def compact_output(value: Column, most: int) -> Column:
-    """Tool output within most characters: head, error lines and tail around omission markers."""
-    flat = compact_lines(F.regexp_replace(value, "\r\n?", "\n"))
+    """(text, repeated, beyond): tool output within most characters, as head, error lines and tail around omission markers.
+
+    repeated and beyond are the characters that repeated lines and the limit left out.
+    """
+    compacted = compact_lines(one_line_end(value))
+    flat = compacted["text"]
     marker = "\n... [output omitted] ...\n"
     errors = F.array_join(F.filter(F.split(flat, "\n"), lambda s: s.rlike(r"(?i)error|exception|fail(?:ed|ure)?|fatal|panic|traceback")), "\n")
     markers = F.when(F.length(errors) == 0, 1).otherwise(2)
@@ -102,54 +112,108 @@ def compact_output(value: Column, most: int) -> Column:
     head, tail = F.ceil(edges / 2).cast("int"), F.floor(edges / 2).cast("int")
     middle = F.when(for_errors == 0, F.lit(marker)).otherwise(F.concat(F.lit(marker), F.substring(errors, F.lit(1), for_errors), F.lit(marker)))
     ends = F.when(tail == 0, F.lit("")).otherwise(F.substring(flat, F.length(flat) - tail + 1, tail))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.substring(flat, F.lit(1), head), middle, ends))
+    fits = F.length(flat) <= most
+    return F.struct(
+        F.when(fits, flat).otherwise(F.concat(F.substring(flat, F.lit(1), head), middle, ends)).alias("text"),
+        compacted["omitted"].alias("repeated"),
+        F.when(fits, 0).otherwise(F.greatest(F.lit(1), F.length(flat) - source)).alias("beyond"),
+    )
+
+
+def _label(kind: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[kind]
+
+
+def flat_text(value: Column) -> Column:
+    """A text as it is embedded: compatibility normal form in single spaces."""
+    return text.single_spaced(text.nfkc(value))
 
 
 def event_text(kind: Column, value: Column) -> Column:
-    label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[kind]
-    return F.concat(label, F.lit(": "), value)
+    """An event as it is embedded."""
+    return F.concat(_label(kind), F.lit(": "), value)
+
+
+def event_display(kind: Column, value: Column) -> Column:
+    """An event as it is shown."""
+    return F.concat(_label(kind), F.lit(":\n"), value)
 
 
 _TOKEN = regex.compile(text.TOKEN)
+EMPTY = "[empty output]"
+
+
+def _flat(value: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", value).split())
 
 
 def _cost(value: str) -> int:
     """Tokens of a text's embedding form."""
-    return len(_TOKEN.findall(" ".join(unicodedata.normalize("NFKC", value).split())))
+    return len(_TOKEN.findall(_flat(value)))
+
+
+def _longest_prefix(body: str, most: int) -> int:
+    """The characters of the longest beginning of body that has at most `most` tokens; its whole length if all fits."""
+    if unicodedata.is_normalized("NFKC", body):
+        # A beginning's tokens are those that start in it.
+        after = next(itertools.islice(_TOKEN.finditer(body), most, None), None)
+        return len(body) if after is None else after.start()
+    high = 1
+    while high < len(body) and _cost(body[:high]) <= most:
+        high *= 2
+    low, high = high // 2, min(high, len(body))
+    while low < high:
+        middle = -(-(low + high) // 2)
+        low, high = (middle, high) if _cost(body[:middle]) <= most else (low, middle - 1)
+    return low
+
 
+def split_text(label: str, body: str, most: int) -> list[tuple[str, str]]:
+    """body in parts, each as it is shown and as it is embedded, that have at most `most` tokens with their label.
 
-def split_text(label: str, body: str, most: int) -> list[str]:
-    """body in parts that have at most `most` tokens each with their label; parts after the first are marked as continued."""
+    Parts after the first are marked as continued. Only a part's own tokens are looked at for it.
+    """
     if not body:
-        return [f"{label}: [empty output]"]
-    parts: list[str] = []
-    while body:
+        return [(f"{label}:\n{EMPTY}", f"{label}: {EMPTY}")]
+    parts: list[tuple[str, str]] = []
+    at = 0
+    while at < len(body):
         head = f"{label}{' continued' if parts else ''}: "
-        chosen = body
-        if _cost(head + body) > most:
-            low, high = 0, len(body)
-            while low < high:
-                middle = -(-(low + high) // 2)
-                low, high = (middle, high) if _cost(head + body[:middle]) <= most else (low, middle - 1)
-            if not low:
-                raise ValueError("the token limit is too small for an event's label")
-            edge = max(body.rfind("\n", 0, low), body.rfind(" ", 0, low))
-            chosen = body[: edge + 1] if edge >= int(low * USEFUL) else body[:low]
-        parts.append(head + chosen)
-        body = body[len(chosen) :].lstrip()
+        room = most - len(_TOKEN.findall(head))
+        # A token has at most four characters, so more than this is only looked at where white space is long.
+        size = 8 * most
+        while True:
+            window = body[at : at + size]
+            low = _longest_prefix(window, room) if room > 0 else 0
+            if low < len(window) or at + size >= len(body):
+                break
+            size *= 4
+        if not low:
+            raise ValueError("the token limit is too small for an event's label")
+        if at + low < len(body):
+            edge = max(body.rfind("\n", at, at + low), body.rfind(" ", at, at + low)) - at
+            low = edge + 1 if edge >= int(low * USEFUL) else low
+        chosen = body[at : at + low]
+        parts.append((f"{label}{' (continued)' if parts else ''}:\n{chosen}", head + _flat(chosen)))
+        at += low
+        while at < len(body) and body[at].isspace():
+            at += 1
     return parts
 
 
+_PARTS = "array<struct<shown string, embedding string>>"
+
+
 def event_parts(kind: Column, value: Column, tokens: Column, most: int) -> Column:
-    """An event's shown text in parts of at most `most` tokens; only longer ones leave the JVM."""
+    """An event's text in parts (shown, embedding) of at most `most` tokens; only longer ones leave the JVM."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(_PARTS)
     def split(labels: pd.Series, bodies: pd.Series) -> pd.Series:
-        return pd.Series([split_text(a, b, most) for a, b in zip(labels, bodies)])
+        return pd.Series([[{"shown": s, "embedding": e} for s, e in split_text(a, b, most)] for a, b in zip(labels, bodies)])
 
-    label = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))[kind]
-    shown = F.concat(label, F.lit(": "), F.when(F.length(value) == 0, "[empty output]").otherwise(value))
-    return F.when(tokens > most, split(label, value)).otherwise(F.array(shown))
+    said = F.when(F.length(value) == 0, EMPTY).otherwise(value)
+    whole = F.array(F.struct(event_display(kind, said).alias("shown"), event_text(kind, flat_text(said)).alias("embedding")))
+    return F.when(tokens > most, split(_label(kind), value)).otherwise(whole)
 
 
 def pack_turns(parts: DataFrame, session: str, target: int = 600, most: int = 900) -> DataFrame:
@@ -179,29 +243,46 @@ def pack_turns(parts: DataFrame, session: str, target: int = 600, most: int = 90
     return found if "part" in parts.columns else found.drop("part")
 
 
-def chunks(events: DataFrame, session: str, order: list[str], target: int = 600, most: int = 900) -> DataFrame:
-    """Chunks of a session's events (event_id, kind, text, observed_at): ordered ids, text, tokens and fingerprint.
+def prepared(events: DataFrame, most_output: int = TOOL_OUTPUT) -> DataFrame:
+    """events with _body, their text with one kind of line end and tools' output compacted, and what that left out."""
+    said = F.coalesce("text", F.lit(""))
+    output = F.when(F.col("kind") == "tool_result", compact_output(said, most_output))
+    omitted = lambda reason, n: F.when(n > 0, F.struct("event_id", F.lit(reason).alias("reason"), n.cast("long").alias("characters")))
+    left_out = F.array_compact(F.array(omitted("repetitive_output", F.col("_output.repeated")), omitted("output_limit", F.col("_output.beyond"))))
+    with_output = events.withColumn("_output", output)
+    return with_output.withColumns({"_body": F.coalesce("_output.text", one_line_end(said)), "_omissions": left_out}).drop("_output")
+
+
+def chunks(
+    events: DataFrame, session: str, order: list[str], target: int = 600, most: int = 900, chunker: str = CHUNKER_VERSION, redaction: str = REDACTION_VERSION
+) -> DataFrame:
+    """Chunks of a session's events (event_id, kind, text, observed_at): ordered ids, both texts, tokens, omissions and fingerprint.
 
     A user's message between a tool's call and its result stays in their turn (events with tool_call_id);
-    a tool's output is compacted; an event of more than `most` tokens is split.
+    a tool's output is compacted; an event of more than `most` tokens is split. The fingerprint is of the
+    embedded text, the events and both versions.
     """
     pairs = tool_pairs(events, session, order) if "tool_call_id" in events.columns else None
-    body = F.when(F.col("kind") == "tool_result", compact_output(F.coalesce("text", F.lit("")), TOOL_OUTPUT)).otherwise(F.coalesce("text", F.lit("")))
-    grouped = turn_groups(events, pairs, session, order).withColumn("_body", body)
-    counted = grouped.withColumn("_tokens", text.token_count(event_text(F.col("kind"), F.col("_body"))))
-    split = counted.select("*", F.posexplode(event_parts(F.col("kind"), F.col("_body"), F.col("_tokens"), most)).alias("_no", "shown"))
-    split = split.withColumn("tokens", text.token_count(F.col("shown"))).withColumn("part", F.struct("position", "_no"))
+    grouped = turn_groups(prepared(events), pairs, session, order)
+    counted = grouped.withColumn("_tokens", text.token_count(event_text(F.col("kind"), flat_text(F.col("_body")))))
+    split = counted.select("*", F.posexplode(event_parts(F.col("kind"), F.col("_body"), F.col("_tokens"), most)).alias("_no", "_part"))
+    split = split.withColumn("tokens", text.token_count(F.col("_part.embedding"))).withColumn("part", F.struct("position", "_no"))
     placed = split.join(pack_turns(split.select(session, "turn", "part", "tokens"), session, target, most), [session, "turn", "part"])
     made = placed.groupBy(session, "sequence").agg(
-        F.array_sort(F.collect_list(F.struct("position", "_no", "event_id", "shown"))).alias("parts"),
+        F.array_sort(F.collect_list(F.struct("position", "_no", "event_id", "_part", "_omissions"))).alias("parts"),
         F.sum("tokens").alias("token_count"),
         F.min("observed_at").alias("observed_from"),
         F.max("observed_at").alias("observed_to"),
     )
-    made = made.withColumn("event_ids", F.array_distinct("parts.event_id")).withColumn("display_text", F.array_join("parts.shown", "\n\n"))
+    made = made.withColumns(
+        {
+            "event_ids": F.array_distinct("parts.event_id"),
+            "display_text": F.array_join("parts._part.shown", "\n\n"),
+            "embedding_text": F.array_join("parts._part.embedding", "\n\n"),
+            "omissions": F.array_distinct(F.flatten("parts._omissions")),
+        }
+    )
     first, last = F.element_at("parts", 1), F.element_at("parts", -1)
     ends = F.array(F.col(session).cast("string"), first["event_id"], first["_no"].cast("string"), last["event_id"], last["_no"].cast("string"))
-    made = made.withColumn("embedding_text", text.single_spaced(text.nfkc(F.col("display_text"))))
-    return made.withColumn("chunk_id", ids.stable_id_of_array("chunk", F.concat(ends, F.col("event_ids")))).withColumn(
-        "fingerprint", F.sha2(ids.encode_array(F.concat(F.array("display_text"), F.col("event_ids"))), 256)
-    ).drop("parts")
+    told = F.concat(F.array("embedding_text"), F.col("event_ids"), F.array(F.lit(chunker), F.lit(redaction)))
+    return made.withColumn("chunk_id", ids.stable_id_of_array("chunk", F.concat(ends, F.col("event_ids")))).withColumn("fingerprint", F.sha2(ids.encode_array(told), 256)).drop("parts")

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import ids, text
 
@@ -84,9 +85,6 @@ def identity_tokens(decision: str) -> frozenset[str]:
     return frozenset(t for t in re.findall(r"[\w-]+", plain) if len(t) > 1 and t not in STOP_WORDS)
 
 
-_TIMELINE = "memory_id string, session_id long, status string, supersedes array<string>, superseded_by string"
-
-
 def timeline(found: DataFrame) -> DataFrame:
     """Status of each decision after its session's later ones: superseded, conflicted or candidate.
 
@@ -115,7 +113,10 @@ def timeline(found: DataFrame) -> DataFrame:
         return pd.DataFrame(out)
 
     narrow = found.select("memory_id", "session_id", "observed_at", "decision", "supersedes_earlier", "conflicts_earlier")
-    return narrow.groupBy("session_id").applyInPandas(run, _TIMELINE)
+    made = T.StructType([narrow.schema["memory_id"], narrow.schema["session_id"]])
+    for name, kind in (("status", T.StringType()), ("supersedes", T.ArrayType(T.StringType())), ("superseded_by", T.StringType())):
+        made = made.add(name, kind)
+    return narrow.groupBy("session_id").applyInPandas(run, made)
 
 
 def open_items(chunks: DataFrame) -> DataFrame:

@@ -30,16 +30,21 @@ def lexical_merge(exact: DataFrame, full_text: DataFrame, limit: int) -> DataFra
     return kept.withColumn("rank", F.row_number().over(Window.orderBy("_p", "rank", "entity_id"))).drop("_p", "_n")
 
 
-def fuse(candidates: DataFrame, intent: str, explicit_scope: bool, limit: int) -> DataFrame:
-    """Reciprocal-rank fusion of (branch, entity_id, channel, rank, position): one contribution a branch."""
-    first = Window.partitionBy("branch", "entity_id").orderBy("position")
-    once = candidates.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+def contribution(intent: str) -> Column:
+    """What a candidate (channel, rank) adds to its entity's score."""
     part = 1.0 / (RRF_K + F.col("rank"))
     if intent in ("exact_error", "exact_identifier"):
         part += F.when(F.col("channel") == "exact", EXACT_BOOST).otherwise(0.0)
     if intent != "general":
         part += F.when(F.col("channel") == "structured", STRUCTURED_BOOST).otherwise(0.0)
-    fused = once.groupBy("entity_id").agg(F.sum(part).alias("fused_score"), F.count(F.lit(1)).alias("branches"))
+    return part
+
+
+def fuse(candidates: DataFrame, intent: str, explicit_scope: bool, limit: int) -> DataFrame:
+    """Reciprocal-rank fusion of (branch, entity_id, channel, rank, position): one contribution a branch."""
+    first = Window.partitionBy("branch", "entity_id").orderBy("position")
+    once = candidates.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    fused = once.groupBy("entity_id").agg(F.sum(contribution(intent)).alias("fused_score"), F.count(F.lit(1)).alias("branches"))
     fused = fused.withColumn("fused_score", F.col("fused_score") + (SCOPE_BOOST if explicit_scope else 0.0))
     return fused.orderBy(F.desc("fused_score"), "entity_id").limit(limit)
 

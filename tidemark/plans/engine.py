@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import hmac
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import ids, text
-from tidemark.operators import chunking, memory, retrieval, scope, search_index, sync, synopsis
-
+from tidemark.errors import EngineError
+from tidemark.functions import ids, normalize, text
+from tidemark.operators import chunking, evidence, filters, memory, retrieval, scope, search_index, sync, synopsis
+from tidemark.operators.stored_index import StoredIndex
+from tidemark.sources import workspace
+
+#: Extractors of memories with their versions; a new one makes their memories new.
+EXTRACTORS = {"decision": "decisions-2", "open_item": "open-items-1", "session_synopsis": "synopsis-1"}
+#: Candidates of a channel, and intents that look at a session's latest chunks; fixed values.
+CANDIDATES, RECENT = 50, 10
+RECENT_INTENTS = ("latest_state", "chronology", "debugging_history")
 #: Bounds of a request: least, most and default; fixed values.
 ITEMS, TOKENS, BYTES = (1, 20, 12), (128, 6000, 6000), 131_072
 RESERVE = 512
@@ -37,6 +46,8 @@ class Tables:
     scopes: DataFrame
     tombstones: DataFrame
     aliases: DataFrame
+    #: (session_id, branch) of what is known of sessions; filters by branch need it.
+    sessions: DataFrame | None = None
     chunks: DataFrame | None = None
     memories: DataFrame | None = None
 
@@ -112,91 +123,176 @@ def pack(items: list[dict], most: int, tokens: int, snippet: str = "snippet") ->
 
 
 class Engine:
-    """Four read verbs and the upkeep verbs. Plans are lazy; a request collects at most twice its items."""
+    """Four read verbs and the upkeep verbs. Plans are lazy; a request collects at most twice its items.
+
+    Chunks, memories and the index are written to the shared folder, so that a search reads them and derives nothing.
+    """
 
-    def __init__(self, spark: SparkSession, tables: Tables, secret: bytes = b"local") -> None:
+    def __init__(self, spark: SparkSession, tables: Tables, secret: bytes = b"local", root: str | None = None) -> None:
         self.spark, self.t, self.secret = spark, tables, secret
+        self.root = root or workspace.new_folder(spark, "engine")
+        self.stored = StoredIndex(spark, f"{self.root}/index")
+        self.written = 0
 
     def list_scopes(self, query: str | None = None, limit: int = 20) -> DataFrame:
         return scope.ambiguous(scope.candidates(self.t.scopes, self.t.aliases, query, min(20, limit)))
 
+    def _store(self, df: DataFrame, label: str) -> DataFrame:
+        self.written += 1
+        path = f"{self.root}/{label}/{self.written}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def index(self, target: int = 600, most: int = 900) -> None:
-        """Chunks and memories from all events."""
-        self.t.chunks = chunking.chunks(self.t.events, "session_id", ["ordinal"], target, most)
-        self.t.memories = self._derive(self.t.chunks)
+        """Chunks, memories and the search index from all events."""
+        self.t.chunks = self._store(chunking.chunks(self.t.events, "session_id", ["ordinal"], target, most), "chunks")
+        self.t.memories = self._store(self._derive(self.t.chunks), "memories")
+        self.stored.update(self._content())
 
     def reindex(self, sessions: DataFrame, target: int = 600, most: int = 900) -> DataFrame:
-        """(chunk_id, change) after rebuilding the given sessions, which replace their old chunks."""
-        events = self.t.events.join(scope.small(sessions), "session_id", "left_semi")
-        built = chunking.chunks(events, "session_id", ["ordinal"], target, most)
-        touched = self.t.chunks.join(scope.small(sessions), "session_id", "left_semi")
-        change = sync.diff(touched, built, "chunk_id", "fingerprint")
-        self.t.chunks = self.t.chunks.join(scope.small(sessions), "session_id", "left_anti").unionByName(built)
-        self.t.memories = self._derive(self.t.chunks)
+        """(chunk_id, change) after rebuilding the given sessions: only their chunks, memories and postings are derived anew."""
+        own = scope.small(sessions.select("session_id"))
+        built = self._store(chunking.chunks(self.t.events.join(own, "session_id", "left_semi"), "session_id", ["ordinal"], target, most), "rebuilt")
+        change = self._store(sync.diff(self.t.chunks.join(own, "session_id", "left_semi"), built, "chunk_id", "fingerprint"), "changes")
+        derived = self._derive(built)
+        self.t.chunks = self._store(self.t.chunks.join(own, "session_id", "left_anti").unionByName(built), "chunks")
+        self.t.memories = self._store(self.t.memories.join(own, "session_id", "left_anti").unionByName(derived), "memories")
+        self.stored.update(self._content().join(own, "session_id", "left_semi"), sessions.select("session_id"))
         return change
 
     @staticmethod
     def _derive(chunks: DataFrame) -> DataFrame:
+        """(memory_id, session_id, type, title, body, status, observed_at, evidence_ids, extractor) of chunks."""
         told = chunks.select("session_id", "chunk_id", F.col("observed_from").alias("observed_at"), "display_text")
         found = memory.decisions(told)
         decided = found.join(memory.timeline(found).drop("session_id"), "memory_id").select(
-            "memory_id", "session_id", F.lit("decision").alias("type"), "body", "status", "observed_at", F.array("chunk_id").alias("evidence_ids")
+            "memory_id", "session_id", F.lit("decision").alias("type"), "title", "body", "status", "observed_at", F.array("chunk_id").alias("evidence_ids")
         )
         items = memory.open_items(told).select(
             ids.stable_id("memory", F.lit("open_item"), F.col("session_id").cast("string"), F.col("chunk_id"), F.lower("item")).alias("memory_id"),
-            "session_id", F.lit("open_item").alias("type"), F.col("item").alias("body"), F.lit("candidate").alias("status"),
-            F.lit(None).cast("string").alias("observed_at"), F.array("chunk_id").alias("evidence_ids"),
+            "session_id", F.lit("open_item").alias("type"), F.concat(F.lit("Open item: "), text.bounded(F.col("item"), 120)).alias("title"), F.col("item").alias("body"),
+            F.lit("candidate").alias("status"), F.lit(None).cast("string").alias("observed_at"), F.array("chunk_id").alias("evidence_ids"),
         )
         told = synopsis.synopses(chunks).select(
-            "memory_id", "session_id", F.lit("session_synopsis").alias("type"), "body", F.lit("active").alias("status"), F.col("observed_from").alias("observed_at"), "evidence_ids"
-        )
-        return decided.unionByName(items).unionByName(told)
+            "memory_id", "session_id", F.lit("session_synopsis").alias("type"), F.lit("Session synopsis").alias("title"), "body",
+            F.lit("active").alias("status"), F.col("observed_to").alias("observed_at"), "evidence_ids",
+        )
+        version = F.create_map(*(F.lit(x) for kv in EXTRACTORS.items() for x in kv))[F.col("type")]
+        return decided.unionByName(items).unionByName(told).withColumn("extractor", version)
+
+    def _content(self) -> DataFrame:
+        """What a search may find: chunks, and memories with their types."""
+        at = F.coalesce("observed_to", "observed_from")
+        dated = lambda c: F.when(c.isNull(), "unknown_currentness").otherwise("historical_unverified")
+        chunks = self.t.chunks.select(
+            F.col("chunk_id").alias("entity_id"), "session_id", F.lit("chunk").alias("type"), F.lit("").alias("title"), F.col("display_text").alias("body"),
+            at.alias("observed_at"), "fingerprint", F.col("event_ids").alias("evidence_ids"), dated(at).alias("currentness"), "sequence",
+        )
+        current = F.when(F.col("status") == "superseded", "superseded").otherwise("historical_unverified")
+        memories = self.t.memories.select(
+            F.col("memory_id").alias("entity_id"), "session_id", "type", "title", "body", "observed_at",
+            ids.fingerprint(F.col("title"), F.col("body"), F.col("extractor")).alias("fingerprint"), "evidence_ids", current.alias("currentness"), F.lit(None).cast("long").alias("sequence"),
+        )
+        return chunks.unionByName(memories)
 
-    def _visible_chunks(self, boundary: Mapping[str, str | None]) -> DataFrame:
+    def _placed(self, rows: DataFrame, boundary: Mapping[str, str | None]) -> DataFrame:
+        """Rows of sessions inside a boundary that no tombstone hides; their own session id is in _session."""
         sessions = self.t.scopes.filter("scope_kind = 'session'").select(F.col("scope_id").alias("session_key"), "project_id", "workstream_id")
-        placed = self.t.chunks.withColumn("session_key", F.col("session_id").cast("string")).join(sessions, "session_key", "left")
-        marked = placed.withColumnsRenamed({"session_id": "_session"}).withColumnRenamed("session_key", "session_id")
+        placed = rows.withColumn("session_key", F.col("session_id").cast("string")).join(sessions, "session_key", "left")
+        marked = placed.withColumnRenamed("session_id", "_session").withColumnRenamed("session_key", "session_id")
         return scope.visible(marked.filter(scope.within(boundary)), self.t.tombstones)
 
-    def search(self, asked: str, boundary: Mapping[str, str | None], limit: float | None = None, tokens: float | None = None, cursor: str | None = None) -> Packed:
-        """Exact, full-text and structured results of a scope, fused, ordered by intent, spread and packed."""
+    def _visible_chunks(self, boundary: Mapping[str, str | None]) -> DataFrame:
+        return self._placed(self.t.chunks, boundary)
+
+    def search(
+        self,
+        asked: str,
+        boundary: Mapping[str, str | None],
+        limit: float | None = None,
+        tokens: float | None = None,
+        cursor: str | None = None,
+        types: Sequence[str] | None = None,
+        start: str | None = None,
+        end: str | None = None,
+        paths: Sequence[str] | None = None,
+        branch: str | None = None,
+    ) -> Packed:
+        """What of a scope meets a query: exact, full-text, structured and recent candidates, narrowed, fused, checked and packed.
+
+        A hit counts where its entity is still what it was when it was indexed. Order follows the intent, and
+        hits are spread over sessions. The cursor goes on with this request on this state of the index.
+        """
+        try:
+            query = normalize.plain_query(asked)
+            search_index.query_phrases(query)
+        except ValueError as e:
+            raise EngineError("LIMIT_EXCEEDED", str(e)) from e
+        if types and not set(types) <= set(filters.MEMORY_TYPES):
+            raise EngineError("NOT_FOUND", "no such type of memory")
+        generation = self.stored.generation()
+        if generation < 0 or self.t.chunks is None:
+            return Packed([], False, status="no_source")
         items, budget = clamp(limit, ITEMS), clamp(tokens, TOKENS)
-        context = json.dumps([asked, dict(boundary)], sort_keys=True)
+        narrow = {"types": sorted(types or ()), "start": start, "end": end, "paths": sorted(paths or ()), "branch": branch}
+        context = json.dumps([query, dict(boundary), narrow, generation], sort_keys=True)
         offset = decode_cursor(cursor, context, self.secret) if cursor else 0
         if self.t.tombstones.filter(scope.within({"project_id": boundary["project_id"]}) & F.col("workstream_id").isNull() & F.col("session_id").isNull()).limit(1).count():
             return Packed([], False, status="excluded")
-        intent = self.spark.range(1).select(text.intent(F.lit(asked)).alias("i")).collect()[0]["i"]
-        content = self.t.chunks.select(F.col("chunk_id").alias("entity_id"), F.lit("").alias("title"), F.col("display_text").alias("body"))
-        index = search_index.tokenized(content)
-        seen = self._visible_chunks(boundary).select(F.col("chunk_id").alias("entity_id"), F.col("session_id").alias("group_key"), F.col("event_ids").alias("evidence_ids"), "display_text", F.col("observed_to").alias("observed_at"))
-        ids_seen = seen.select("entity_id")
-        full = search_index.top(search_index.bm25(index, asked).join(ids_seen, "entity_id", "left_semi").select("entity_id", "bm25"), [F.desc("bm25"), F.col("entity_id").asc()], 50)
-        terms = search_index.exact_term_table(content).join(ids_seen, "entity_id", "left_semi")
-        exact = search_index.top(search_index.exact_search(terms, asked), [F.col("score").asc(), F.col("entity_id").asc()], 50)
-        lexical = retrieval.lexical_merge(exact, full, 50).select("entity_id", "channel", "rank", F.lit(0).alias("branch_no"))
-        wanted = retrieval.STRUCTURED_TYPES.get(intent, ())
-        linked = self.t.memories.filter(F.col("type").isin(*wanted)).select(F.explode("evidence_ids").alias("entity_id"), "observed_at") if wanted else None
-        if linked is not None:
-            near = linked.join(ids_seen, "entity_id", "left_semi").groupBy("entity_id").agg(F.max("observed_at").alias("at"))
-            structured = search_index.top(near, [F.desc_nulls_last("at"), F.col("entity_id").asc()], 50)
-            lexical = lexical.unionByName(structured.select("entity_id", F.lit("structured").alias("channel"), "rank", F.lit(1).alias("branch_no")))
-        branch = retrieval.interleave(lexical, 100).select("entity_id", "channel", "rank", F.col("place").alias("position"), F.lit("lexical").alias("branch"))
-        fused = retrieval.fuse(branch, intent, boundary.get("session_id") is not None, 2 * items + offset)
-        hits = fused.join(seen, "entity_id").withColumn("currentness", F.lit("historical_unverified"))
-        hits = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused_score"), "entity_id")))
+        intent = self.spark.range(1).select(text.intent(F.lit(query)).alias("i")).first()["i"]
+        seen = self._placed(self._content(), boundary)
+        seen = filters.narrowed(seen.withColumn("_shown", F.concat_ws("\n", "title", "body")).withColumnsRenamed({"body": "_body", "_shown": "body"}), self.t.sessions, types, start, end, paths, branch)
+        seen = seen.withColumnsRenamed({"body": "_shown", "_body": "body"})
+        lexical = self._lexical(query, intent, seen, boundary, types, paths, generation)
+        merged = retrieval.interleave(lexical, CANDIDATES).select("entity_id", "channel", "rank", "fingerprint", F.col("place").alias("position"))
+        fused = self._fused(merged, seen, intent, boundary)
+        hits = fused.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused_score"), "entity_id")))
         ordered = hits.withColumn("position", F.row_number().over(Window.orderBy(*retrieval.chronology_order(intent))))
-        rows = retrieval.diversify(ordered, 2 * items + offset).orderBy("place").collect()
-        found = [{"id": r["entity_id"], "session": r["group_key"], "score": round(r["fused_score"], 9), "evidence": list(r["evidence_ids"]), "snippet": r["display_text"]} for r in rows[offset:]]
+        rows = retrieval.diversify(ordered.withColumn("group_key", F.col("session_id")), 2 * items + offset).filter(F.col("place") > offset).orderBy("place").collect()
+        found = [{"id": r["entity_id"], "type": r["type"], "title": r["title"], "session": r["session_id"], "score": round(r["fused_score"], 9), "evidence": list(r["evidence_ids"]), "snippet": r["body"]} for r in rows]
         packed, cut = pack(found, items, budget)
         more = cut or len(found) > len(packed)
-        status = "partial" if more else "ok" if packed else "no_results"
-        return Packed(packed, more, encode_cursor(offset + len(packed), context, self.secret) if more and packed else None, status, {"intent": intent})
+        status = "partial" if more else "ok" if packed else "empty"
+        return Packed(packed, more, encode_cursor(offset + len(packed), context, self.secret) if more and packed else None, status, {"intent": intent, "generation": generation})
+
+    def _lexical(
+        self, query: str, intent: str, seen: DataFrame, boundary: Mapping[str, str | None], types: Sequence[str] | None, paths: Sequence[str] | None, generation: int
+    ) -> DataFrame:
+        """(branch_no, entity_id, channel, rank, fingerprint) of the candidates: ranks are those inside what may be seen."""
+        among = seen.select("entity_id")
+        if paths:  # the index knows which entities hold a path
+            wanted = [F.lower(F.trim(text.nfkc(F.lit(p)))) for p in paths]
+            among = among.join(self.stored.exact_terms(["path"], generation).filter(F.col("normalized_term").isin(*wanted)).select("entity_id"), "entity_id", "left_semi")
+        full = search_index.top(self.stored.bm25(query, generation).join(among, "entity_id", "left_semi").select("entity_id", "bm25"), [F.desc("bm25"), F.col("entity_id").asc()], CANDIDATES)
+        terms = self.stored.exact_terms(generation=generation).join(among, "entity_id", "left_semi")
+        exact = search_index.top(search_index.exact_search(terms, query), [F.col("score").asc(), F.col("entity_id").asc()], CANDIDATES)
+        indexed = retrieval.lexical_merge(exact, full, CANDIDATES).join(self.stored.marks(generation), "entity_id")
+        branches = [indexed.select(F.lit(0).alias("branch_no"), "entity_id", "channel", "rank", "fingerprint")]
+        wanted_types = types or retrieval.STRUCTURED_TYPES.get(intent, ())
+        if wanted_types:
+            of_type = search_index.top(seen.filter(F.col("type").isin(*wanted_types)), [F.desc_nulls_last("observed_at"), F.col("entity_id").asc()], CANDIDATES)
+            branches.append(of_type.select(F.lit(1).alias("branch_no"), "entity_id", F.lit("structured").alias("channel"), "rank", "fingerprint"))
+        if boundary.get("session_id") is not None and intent in RECENT_INTENTS:
+            latest = search_index.top(seen.filter("type = 'chunk'"), [F.desc("sequence"), F.col("entity_id").asc()], RECENT)
+            branches.append(latest.select(F.lit(2).alias("branch_no"), "entity_id", F.lit("recent").alias("channel"), "rank", "fingerprint"))
+        return functools.reduce(DataFrame.unionByName, branches)
+
+    @staticmethod
+    def _fused(merged: DataFrame, seen: DataFrame, intent: str, boundary: Mapping[str, str | None]) -> DataFrame:
+        """seen rows with the score of their candidate, if that was of what the row still is."""
+        first = Window.partitionBy("entity_id").orderBy("position")
+        best = merged.withColumn("_n", F.row_number().over(first)).filter("_n = 1")  # lists of one branch: one contribution
+        match = F.struct("channel", "fingerprint", retrieval.contribution(intent).alias("part"))
+        boost = F.lit(retrieval.SCOPE_BOOST if boundary.get("session_id") is not None else 0.0)
+        return evidence.survivors(best.select("entity_id", F.array(match).alias("matches"), boost.alias("boost")), seen.select("entity_id", "fingerprint")).select(
+            "entity_id", "fused_score"
+        ).join(seen, "entity_id")
 
     def overview(self, boundary: Mapping[str, str | None], limit: float | None = None) -> DataFrame:
         """The scope's memories: open ones before settled ones, latest first."""
         sessions = self._visible_chunks(boundary).select("_session").distinct()
         rank = F.when(F.col("type") == "session_synopsis", 0).when(F.col("type") == "decision", 1).otherwise(2)
-        settled = F.col("status").isin("superseded", "rejected", "completed").cast("int")
+        settled = filters.is_terminal(F.col("status")).cast("int")
         found = self.t.memories.join(sessions, F.col("session_id") == F.col("_session"), "left_semi")
         return found.orderBy(rank, settled, F.desc_nulls_last("observed_at"), "memory_id").limit(clamp(limit, ITEMS))
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids, redaction, remotes, text
 from tidemark.operators import chunking, evidence, ignore, ledger, memory, projects, retrieval, scope, search_index, sync
-from tidemark.sources import policy
+from tidemark.operators.stored_index import StoredIndex
+from tidemark.sources import policy, workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -604,6 +605,39 @@ def chunk_pack(read: Read) -> DataFrame:
     return packed.groupBy("session_id", "sequence").agg(F.sum("tokens").alias("token_count"), F.count(F.lit(1)).alias("turns"))
 
 
+_FLAT_SQL = r"trim(regexp_replace(@, '\s+', ' ', 'g'))"
+_SPEAKER_SQL = "CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END"
+
+
+@query(
+    _CHUNK_TOKENS_SQL + ", j AS (SELECT g.conv_id, g.turn, g.tokens, w.sequence, " + _id_sql("event", _CONV.replace("conv_id", "g.conv_id"), "g.role", "CAST(g.turn AS VARCHAR)") + " AS event_id, "
+    f"c.role, c.text FROM g JOIN walk w ON w.conv_id = g.conv_id AND w.grp = g.grp JOIN conversations c ON c.conv_id = g.conv_id AND c.turn = g.turn), "
+    f"a AS (SELECT conv_id, sequence, string_agg({_SPEAKER_SQL} || ':' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS display_text, "
+    f"string_agg({_SPEAKER_SQL} || ': ' || {_FLAT_SQL.replace('@', 'text')}, chr(10) || chr(10) ORDER BY turn) AS embedding_text, CAST(sum(tokens) AS BIGINT) AS token_count, "
+    "string_agg(strlen(event_id) || ':' || event_id, '|' ORDER BY turn) AS members, min(event_id) FILTER (turn = lo) AS first, min(event_id) FILTER (turn = hi) AS last, format('{:04d}', min(turn)) AS observed_from, format('{:04d}', max(turn)) AS observed_to "
+    "FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id, sequence) AS lo, max(turn) OVER (PARTITION BY conv_id, sequence) AS hi FROM j) GROUP BY 1, 2) "
+    "SELECT conv_id AS session_id, sequence, 'ku::chunk:' || sha256('chunk' || chr(0) || strlen(CAST(conv_id AS VARCHAR)) || ':' || conv_id || '|' || strlen(first) || ':' || first || '|1:0|' || strlen(last) || ':' || last || '|1:0|' || members) AS chunk_id, "
+    f"display_text, embedding_text, token_count, observed_from, observed_to, sha256(strlen(embedding_text) || ':' || embedding_text || '|' || members || '|{len(chunking.CHUNKER_VERSION)}:{chunking.CHUNKER_VERSION}|{len(chunking.REDACTION_VERSION)}:{chunking.REDACTION_VERSION}') AS fingerprint FROM a"
+)
+def chunk_assembly(read: Read) -> DataFrame:
+    """Whole chunks of the conversations: identities, both texts, tokens, times and fingerprints."""
+    return chunking.chunks(_turn_events(read), "session_id", ["ordinal"]).select(
+        "session_id", "sequence", "chunk_id", "display_text", "embedding_text", F.col("token_count").cast("long").alias("token_count"), "observed_from", "observed_to", "fingerprint"
+    )
+
+
+_PART_TOKENS = 120
+
+
+@query()
+def chunk_split(read: Read) -> DataFrame:
+    """Whole documents in parts of 120 tokens, as they are shown and as they are embedded; SQL that follows it is too slow on whole tables."""
+    body = chunking.one_line_end(F.coalesce("text", F.lit("")))
+    docs = read("documents").select("doc_id", body.alias("body")).withColumn("tokens", text.token_count(F.concat(F.lit("Tool result: "), F.col("body"))))
+    parts = chunking.event_parts(F.lit("tool_result"), F.col("body"), F.col("tokens"), _PART_TOKENS)
+    return docs.select("doc_id", F.posexplode(parts).alias("no", "part")).select("doc_id", "no", "part.shown", "part.embedding")
+
+
 @query(
     "WITH l AS (SELECT doc_id, unnest(range(len(p))) AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)), "
     "r AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, line ORDER BY no) AS run FROM l) "
@@ -818,24 +852,40 @@ def scope_filter(read: Read) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations to chunks, indexed and searched: exact and full-text ranks fused, then spread over sessions."""
+    """Conversations to chunks, written and indexed once; then searched: exact and full-text ranks fused, spread over sessions."""
     read: Read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    made = chunking.chunks(_turn_events(read), "session_id", ["ordinal"])
-    content = made.select(F.col("chunk_id").alias("entity_id"), F.lit("").alias("title"), F.col("display_text").alias("body"), "session_id", "event_ids")
-    index = search_index.tokenized(content)
-    best = search_index.top(search_index.bm25(index, "the").select("entity_id", "bm25"), [F.desc("bm25"), F.col("entity_id").asc()], 50)
-    terms = search_index.exact_term_table(content)
-    exact = search_index.top(search_index.exact_search(terms, "the"), [F.col("score").asc(), F.col("entity_id").asc()], 50)
+    root = workspace.new_folder(spark, "flagship")
+    chunking.chunks(_turn_events(read), "session_id", ["ordinal"]).write.parquet(f"{root}/chunks")
+    made = spark.read.parquet(f"{root}/chunks")
+    index = StoredIndex(spark, f"{root}/index", buckets=16)
+    index.update(made.select(F.col("chunk_id").alias("entity_id"), "session_id", F.lit("").alias("title"), F.col("display_text").alias("body"), "fingerprint"))
+    best = search_index.top(index.bm25("the").select("entity_id", "bm25"), [F.desc("bm25"), F.col("entity_id").asc()], 50)
+    exact = search_index.top(search_index.exact_search(index.exact_terms(), "the"), [F.col("score").asc(), F.col("entity_id").asc()], 50)
     lexical = retrieval.lexical_merge(exact, best, 50)
     branch = lexical.select("entity_id", "rank", "channel", F.lit("lexical").alias("branch"), F.col("rank").alias("position"))
     fused = retrieval.fuse(branch, "general", False, 50)
-    hits = fused.join(content.select("entity_id", "session_id", "event_ids"), "entity_id")
+    hits = fused.join(made.select(F.col("chunk_id").alias("entity_id"), "session_id", "event_ids"), "entity_id")
     placed = hits.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused_score"), "entity_id")))
     out = retrieval.diversify(placed.withColumnsRenamed({"event_ids": "evidence_ids"}).withColumn("group_key", F.col("session_id").cast("string")), 12)
     return out.select("place", "entity_id", "session_id", rounded(F.col("fused_score")).alias("fused_score"))
 
 
+_FLAGSHIP_SQL = (
+    f"WITH c AS MATERIALIZED ({ORACLES['chunk_assembly']}), "
+    + _terms_sql("html").removeprefix("WITH ").replace("FROM pages", "FROM (SELECT chunk_id AS page_id, display_text AS html FROM c)")
+    + ", x AS (SELECT entity_id, min(CASE WHEN normalized_term = 'the' THEN 0 WHEN starts_with(normalized_term, 'the') THEN 1 ELSE 2 END) AS score FROM t WHERE contains(normalized_term, 'the') GROUP BY entity_id), "
+    "xr AS (SELECT entity_id, row_number() OVER (ORDER BY score, entity_id) AS rank FROM x QUALIFY rank <= 50), "
+    f"k AS (SELECT chunk_id AS entity_id, {_tokens_sql('display_text')} AS bt FROM c), n AS (SELECT entity_id, len(bt) AS size, len(list_filter(bt, lambda w: w = 'the')) AS f FROM k), "
+    "s AS (SELECT count(*) AS n, avg(size) AS average, count(*) FILTER (f > 0) AS d FROM n), "
+    "br AS (SELECT entity_id, row_number() OVER (ORDER BY CASE WHEN ln((s.n - d + 0.5) / (d + 0.5)) > 0 THEN ln((s.n - d + 0.5) / (d + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / average)) DESC, entity_id) AS rank FROM n, s WHERE f > 0 QUALIFY rank <= 50), "
+    "u AS (SELECT entity_id, rank, 0 AS p FROM xr UNION ALL SELECT entity_id, rank, 1 FROM br WHERE entity_id NOT IN (SELECT entity_id FROM xr)), "
+    "l AS (SELECT entity_id, row_number() OVER (ORDER BY p, u.rank, entity_id) AS rank FROM u QUALIFY rank <= 50), "
+    "h AS (SELECT l.entity_id, l.rank, c.session_id FROM l JOIN c ON c.chunk_id = l.entity_id), "
+    "v AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank) AS turn, min(rank) OVER (PARTITION BY session_id) AS lead FROM h) "
+    "SELECT CAST(row_number() OVER (ORDER BY turn, lead) AS INTEGER) AS place, entity_id, session_id, round(1.0 / (60 + rank), 9) AS fused_score FROM v QUALIFY place <= 12"
+)
+ORACLES["search_flagship"] = _FLAGSHIP_SQL
 QUERIES["search_flagship"] = flagship
 
 # The other query modules register themselves.
-from tidemark.plans import session_queries, synopsis_queries  # noqa: E402, F401
+from tidemark.plans import index_queries, session_queries, synopsis_queries  # noqa: E402, F401

@@ -39,7 +39,7 @@ _TITLE_SQL = "coalesce(title, 'Codex session' || coalesce(' · ' || substr(coale
 
 
 @query(
-    f"SELECT session_id, 'context-bridge://sessions/' || session_id AS uri, {_TITLE_SQL} AS title, concat_ws(' · ', project_name, branch, substr(last_activity_at, 1, 10)) AS subtitle, "
+    f"SELECT session_id, 'tidemark://sessions/' || session_id AS uri, {_TITLE_SQL} AS title, concat_ws(' · ', project_name, branch, substr(last_activity_at, 1, 10)) AS subtitle, "
     f"last_activity_at AS last_modified FROM ({_SESSIONS_SQL}) WHERE availability = 'selected' AND (lower(session_id) LIKE '%build%' OR lower(title) LIKE '%build%' OR lower(branch) LIKE '%build%') "
     "ORDER BY coalesce(last_activity_at, '') DESC, session_id LIMIT 20"
 )
@@ -47,7 +47,7 @@ def session_references(read: Read) -> DataFrame:
     return sessions.references(_session_rows(read), " Build ")
 
 
-@query(f"SELECT session_id, {_TITLE_SQL} AS title, 'context-bridge://sessions/' || session_id AS uri FROM ({_SESSIONS_SQL})")
+@query(f"SELECT session_id, {_TITLE_SQL} AS title, 'tidemark://sessions/' || session_id AS uri FROM ({_SESSIONS_SQL})")
 def session_titles(read: Read) -> DataFrame:
     rows = _session_rows(read)
     title = normalize.session_title(F.col("title"), F.col("last_activity_at"), F.col("started_at"), F.col("branch"))
