@@ -24,10 +24,11 @@ besides doc_id, text and lang are not read. Languages are classes: one string of
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ STEPS = 8
 #: Longer words are spelt for their n-grams each time; others are kept while a worker's cache has room.
 LONGEST_KEPT = 40
 CACHE_VALUES = 1_000_000
+#: Characters of texts that are worked on together.
+CHUNK_CHARACTERS = 1 << 18
 #: (word, language) counts that a task gathers before it hands them on.
 TASK_COUNTS = 200_000
 
@@ -73,28 +76,24 @@ _COUNTED = pa.schema([("item", pa.string()), ("lang", pa.string()), ("n", pa.int
 _COUNTED_DDL = "item string, lang string, n long"
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    pairs = list(counts)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array(counts.values(), pa.int64())], schema=_COUNTED
-    )
+def _counted(lang: str, counts: Counter) -> pa.RecordBatch:
+    columns = [pa.array(counts.keys(), pa.string()), pa.repeat(pa.scalar(lang, pa.string()), len(counts)), pa.array(counts.values(), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, schema=_COUNTED)
 
 
 def _counts_of(items_of: Callable[[str | None], list[str]]) -> Callable[[Iterator], Iterator]:
     """Counts of (item, lang) of a task's (text, lang) rows, in batches of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                for text, lang in zip(*(batch.column(i).slice(start, 256).to_pylist() for i in (0, 1))):
-                    for item, n in Counter(items_of(text)).items():
-                        counts[item, lang] += n
-                    if len(counts) >= TASK_COUNTS:
-                        yield _counted(counts)
-                        counts = Counter()
-        if counts:
-            yield _counted(counts)
+            for start in range(0, batch.num_rows, 64):
+                for text, lang in zip(*(batch.column(i).slice(start, 64).to_pylist() for i in (0, 1))):
+                    counts[lang].update(items_of(text))
+                if sum(map(len, counts.values())) >= TASK_COUNTS:
+                    yield from map(_counted, counts, counts.values())
+                    counts.clear()
+        yield from map(_counted, counts, counts.values())
 
     return run
 
@@ -151,55 +150,88 @@ class Table:
         self.gain = np.array([max(0.0, math.log(r[2] / r[3]) - FLOOR) for r in rows], np.float64)
         self.languages = len(languages)
 
-    def sums(self, rows: list[int], times: list[int]) -> np.ndarray:
-        """By language, the sum of some items' log frequencies, each so many times."""
-        at, n = np.array(rows, np.int64), np.array(times, np.float64)
+    def sums(self, owners: Sequence[int], rows: Sequence[int], times: Sequence[float], n: int) -> np.ndarray:
+        """By owner (of n) and language, the sum of log frequencies of the owner's items, each so many times."""
+        at, owner, times = np.array(rows, np.int64), np.array(owners, np.int64), np.array(times, np.float64)
         sizes = self.bounds[at + 1] - self.bounds[at]
         pair = np.arange(sizes.sum()) + np.repeat(self.bounds[at] - np.cumsum(sizes) + sizes, sizes)
-        return FLOOR * n.sum() + np.bincount(self.lang[pair], self.gain[pair] * np.repeat(n, sizes), self.languages)
+        cell = np.repeat(owner, sizes) * self.languages + self.lang[pair]
+        gained = np.bincount(cell, self.gain[pair] * np.repeat(times, sizes), n * self.languages).reshape(n, self.languages)
+        return gained + FLOOR * np.bincount(owner, times, n)[:, None]
 
 
 class Model:
     def __init__(self, languages: list[str], words: Table, grams: Table) -> None:
         self.languages, self.words, self.grams = languages, words, grams
-        self.kept: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        """A word's scores by the longest n-grams of which one is known; zeros where none is."""
-        found = self.kept.get(word)
-        if found is not None:
-            return found
-        found = np.zeros(len(self.languages))
-        for length in range(LONGEST_GRAM, 0, -1):
-            rows = [r for r in map(self.grams.row.get, grams_of(word, length)) if r is not None]
-            if rows:
-                found = self.grams.sums(rows, [1] * len(rows)) / len(rows)
-                break
-        if len(word) <= LONGEST_KEPT:
-            if len(self.kept) * len(self.languages) >= CACHE_VALUES:
-                self.kept.clear()
-            self.kept[word] = found
+        #: Rows of known words, then those of unseen ones that are kept, whose scores are in one matrix.
+        self.row = dict(words.row)
+        self.kept: list[str] = []
+        self.scores = np.zeros((0, len(languages)))
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Words' scores by the longest n-grams of which one is known; zeros where none is."""
+        get = self.grams.row.get
+        owners, rows, times = [], [], []
+        for i, word in enumerate(words):
+            for length in range(LONGEST_GRAM, 0, -1):
+                found = [r for r in map(get, grams_of(word, length)) if r is not None]
+                if found:
+                    owners += [i] * len(found)
+                    rows += found
+                    times += [1.0 / len(found)] * len(found)
+                    break
+        return self.grams.sums(owners, rows, times, len(words))
+
+    def _forget(self) -> None:
+        for word in self.kept:
+            self.row.pop(word, None)
+        self.kept, self.scores = [], self.scores[:0]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and probability of some texts, which are worked on together."""
+        counts = [Counter(words_of(t)) for t in texts]
+        met = set().union(*counts)
+        if (len(self.kept) + len(met)) * len(self.languages) > CACHE_VALUES:
+            self._forget()
+        new = list(met - self.row.keys())
+        first_unseen = len(self.words.row)
+        self.row.update(zip(new, range(first_unseen + len(self.scores), first_unseen + len(self.scores) + len(new))))
+        self.scores = np.concatenate([self.scores, self.unseen(new)])
+        self.kept += new
+        row, times = (np.fromiter(c, np.int64) for c in (map(self.row.__getitem__, itertools.chain(*counts)), itertools.chain(*(c.values() for c in counts))))
+        owner = np.repeat(np.arange(len(counts)), [len(c) for c in counts])
+        is_known = row < first_unseen
+        total = self.words.sums(owner[is_known], row[is_known], times[is_known], len(texts))
+        rest = ~is_known
+        if rest.any():  # owners ascend
+            owners, first = np.unique(owner[rest], return_index=True)
+            total[owners] += np.add.reduceat(self.scores[row[rest] - first_unseen] * times[rest][:, None], first)
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del self.row[word]
+        found = []
+        for own, scores in zip(counts, total):
+            size = own.total()
+            if not size or not self.languages:
+                found.append((UNKNOWN, 0.0))
+                continue
+            best = int(scores.argmax())  # languages ascend: ties to the smaller one
+            odds = np.exp((scores - scores[best]) / math.sqrt(size))
+            found.append((self.languages[best], float(1.0 / odds.sum())))
         return found
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """The mean score of words by language."""
-        counts = Counter(words)
-        get = self.words.row.get
-        known = [(r, n) for r, n in ((get(w), n) for w, n in counts.items()) if r is not None]
-        total = self.words.sums(*zip(*known)) if known else np.zeros(len(self.languages))
-        for word, n in counts.items():
-            if word not in self.words.row:
-                total += n * self.unseen(word)
-        return total / len(words)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNKNOWN, 0.0
-        scores = self.scores(words)
-        best = int(scores.argmax())  # languages ascend: ties to the smaller one
-        odds = np.exp((scores - scores[best]) * math.sqrt(len(words)))
-        return self.languages[best], float(1.0 / odds.sum())
+
+def bounded_runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in runs of about CHUNK_CHARACTERS at most; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > CHUNK_CHARACTERS:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
 
 
 def fit(training: DataFrame, word_entries: int = WORD_ENTRIES, gram_entries: int = GRAM_ENTRIES) -> Model:
@@ -232,7 +264,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 ids, texts = (batch.column(i).slice(start, 512) for i in (0, 1))
-                found = [mine.predict(t) for t in texts.to_pylist()]
+                found = [f for run in bounded_runs(texts.to_pylist()) for f in mine.predict(run)]
                 yield pa.RecordBatch.from_arrays([ids, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema=_PREDICTED)
 
     narrow = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
