@@ -159,18 +159,39 @@ def _message(i, role="user"):
 
 
 def test_lines_leave_tails_and_resume(tmp_path):
-    from tidemark.sources.rollouts import complete_lines, continuity, fingerprint
+    import io
+
+    from tidemark.sources import rollouts
 
     path = tmp_path / "rollout-a.jsonl"
-    path.write_bytes(b'{"a":1}\r\nxx\n' + b"\xff\n" + b"unfinished")
-    rows, at = complete_lines(str(path), 0)
-    assert [(r[1], r[2], r[3], r[5]) for r in rows] == [(0, 9, '{"a":1}', None), (9, 12, "xx", None), (12, 14, None, "INVALID_UTF8")] and at == 14
-    rows, _ = complete_lines(str(path), 0, most_bytes=5)
-    assert rows[0][5] == "OVERSIZED_RECORD"
-    cursor = {"fingerprint": fingerprint(str(path)), "offset": 999, "last_start": 0, "last_hash": None}
-    assert continuity(str(path), cursor) == (0, "TRUNCATED")
-    assert continuity(str(path), cursor | {"fingerprint": "x"}) == (0, "ROTATED")
-    assert continuity(str(path), cursor | {"offset": 12, "last_start": 9, "last_hash": "no"}) == (0, "MISMATCH")
+    body = b'{"a":1}\r\nxx\n' + b"\xff\n" + b"unfinished"
+    path.write_bytes(body)
+    rows = list(rollouts.whole_lines(io.BytesIO(body)))
+    assert [(r[0], r[1], r[2], r[4]) for r in rows] == [(0, 9, '{"a":1}', None), (9, 12, "xx", None), (12, 14, None, "INVALID_UTF8")]
+    assert [(r[0], r[1], r[4]) for r in rollouts.whole_lines(io.BytesIO(body), 5)] == [(0, 9, "OVERSIZED_RECORD"), (9, 12, None), (12, 14, "INVALID_UTF8")]
+    assert rollouts.lines_end(str(path), 0, None) == 14 and rollouts.lines_end(str(path), 0, 3) == 9 and rollouts.lines_end(str(path), 14, None) == 14
+    cursor = {"fingerprint": rollouts.fingerprint(str(path)), "offset": 999, "tail": ""}
+    assert rollouts.continuity(str(path), cursor) == (0, "TRUNCATED")
+    assert rollouts.continuity(str(path), cursor | {"fingerprint": "x"}) == (0, "ROTATED")
+    assert rollouts.continuity(str(path), cursor | {"offset": 12, "tail": "no"}) == (0, "MISMATCH")
+    assert rollouts.continuity(str(path), cursor | {"offset": 12, "tail": rollouts.tail_hash(str(path), 12)}) == (12, None)
+
+
+def test_ranges_hold_every_line_once(tmp_path):
+    from tidemark.sources import rollouts
+
+    rng = random.Random(2)
+    files = []
+    for n in range(6):
+        path = tmp_path / f"{n}.jsonl"
+        path.write_bytes(b"".join(b"x" * rng.randint(0, 40) + b"\n" for _ in range(rng.randint(0, 60))) + b"tail")
+        files.append((str(path), 0, rollouts.lines_end(str(path), 0, None)))
+    whole = [row for path, _, end in files for row in rollouts.lines_between(path, 0, end, end)]
+    for split in (1, 7, 64, 1 << 20):
+        parts = rollouts.dealt(files, [], split)
+        assert [row for part in parts for row in rollouts._read(part)] == whole
+        assert all(sum(stop - at for _, at, stop, _ in part.ranges) <= split for part in parts)
+    assert len(rollouts.dealt(files, [], 1 << 20)) == 1 and len(rollouts.dealt(files, [("told",)], 64)) > 10
 
 
 def test_stream_commits_once(spark, tmp_path):

@@ -7,54 +7,58 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 MOST_BYTES = 64 << 20
-MOST_LINES = 10_000
+#: Bytes of a task, and of a file in a batch of a stream.
+SPLIT_BYTES = 16 << 20
+BATCH_BYTES = 16 << 20
 LINE_SCHEMA = "path string, byte_start long, byte_end long, line string, line_sha256 string, problem string"
 
 
-def complete_lines(path: str, start: int, most_bytes: int = MOST_BYTES, most_lines: int = MOST_LINES) -> tuple[list[tuple], int]:
-    """Whole lines from a byte offset, and where the next read begins: a tail without its newline stays behind.
+def whole_lines(f: BinaryIO, most_bytes: int = MOST_BYTES) -> Iterator[tuple[int, int, str | None, str | None, str | None]]:
+    """(start, end, text, hash, problem) of the lines from where f stands; a tail without its newline stays behind.
 
     A line longer than most_bytes is passed over with a problem, as is one that is not UTF-8.
     """
-    rows, at = [], start
-    with open(path, "rb") as f:
-        f.seek(start)
-        spent = 0
-        while len(rows) < most_lines and spent < most_bytes:
-            line = f.readline(most_bytes + 1)
-            if not line:
-                break
-            if not line.endswith(b"\n"):
-                if len(line) <= most_bytes:
-                    break  # unfinished
-                size, ended = len(line), False
-                while more := f.readline(1 << 20):
-                    size += len(more)
-                    if more.endswith(b"\n"):
-                        ended = True
-                        break
-                if not ended:
+    at = f.tell()
+    while line := f.readline(most_bytes + 1):
+        end = at + len(line)
+        if not line.endswith(b"\n"):
+            if len(line) <= most_bytes:
+                return  # unfinished
+            while more := f.readline(1 << 20):
+                end += len(more)
+                if more.endswith(b"\n"):
                     break
-                rows.append((path, at, at + size, None, None, "OVERSIZED_RECORD"))
-                at += size
-                spent += size
-                continue
-            end = at + len(line)
+            else:
+                return
+            yield at, end, None, None, "OVERSIZED_RECORD"
+        else:
             body = line[:-1].removesuffix(b"\r")
             try:
                 text, problem = body.decode("utf-8"), None
             except UnicodeDecodeError:
                 text, problem = None, "INVALID_UTF8"
-            rows.append((path, at, end, text, hashlib.sha256(body).hexdigest(), problem))
-            at = end
-            spent += len(line)
-    return rows, at
+            yield at, end, text, hashlib.sha256(body).hexdigest(), problem
+        at = end
+
+
+def lines_between(path: str, start: int, stop: int, until: int) -> Iterator[tuple]:
+    """The lines that begin in [start, stop) and end by `until`, as rows of LINE_SCHEMA."""
+    with open(path, "rb") as f:
+        if start:  # the line that holds the byte before belongs to the range before
+            f.seek(start - 1)
+            while (passed := f.readline(1 << 20)) and not passed.endswith(b"\n"):
+                pass
+        for at, end, *rest in whole_lines(f):
+            if at >= stop or end > until:
+                return
+            yield (path, at, end, *rest)
 
 
 def fingerprint(path: str) -> str:
@@ -62,80 +66,150 @@ def fingerprint(path: str) -> str:
     return f"{s.st_dev}:{s.st_ino}"
 
 
+#: Bytes before a cursor whose hash tells whether a file is still what was read.
+TAIL_BYTES = 4096
+BLOCK = 1 << 16
+
+
+def tail_hash(path: str, offset: int) -> str:
+    with open(path, "rb") as f:
+        f.seek(max(0, offset - TAIL_BYTES))
+        return hashlib.sha256(f.read(min(offset, TAIL_BYTES))).hexdigest()
+
+
 def continuity(path: str, cursor: dict | None) -> tuple[int, str | None]:
-    """Where to read on, and why a cursor was not kept: another file, a shorter one, or another last line."""
+    """Where to read on, and why a cursor was not kept: another file, a shorter one, or other bytes before it."""
     if not cursor:
         return 0, None
     if cursor["fingerprint"] != fingerprint(path):
         return 0, "ROTATED"
     if cursor["offset"] > os.path.getsize(path):
         return 0, "TRUNCATED"
-    if cursor["last_hash"] and cursor["offset"]:
-        with open(path, "rb") as f:
-            f.seek(cursor["last_start"])
-            body = f.read(cursor["offset"] - cursor["last_start"])
-        if hashlib.sha256(body.removesuffix(b"\n").removesuffix(b"\r")).hexdigest() != cursor["last_hash"]:
-            return 0, "MISMATCH"
+    if cursor["tail"] != tail_hash(path, cursor["offset"]):
+        return 0, "MISMATCH"
     return cursor["offset"], None
 
 
-class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
+def lines_end(path: str, start: int, most: int | None) -> int:
+    """Where the last line ends that does within `most` bytes from start, or else the first one after; start where none has ended.
+
+    Blocks are looked at for line ends only; none is kept.
+    """
+    size = os.path.getsize(path)
+    edge = size if most is None else min(size, start + most)
+    with open(path, "rb") as f:
+        at = edge
+        while at > start:
+            low = max(start, at - BLOCK)
+            f.seek(low)
+            if (found := f.read(at - low).rfind(b"\n")) >= 0:
+                return low + found + 1
+            at = low
+        f.seek(edge)
+        while block := f.read(BLOCK):
+            if (found := block.find(b"\n")) >= 0:
+                return f.tell() - len(block) + found + 1
+    return start
+
+
+class _Ranges(InputPartition):
+    """One task's reading: problems to tell, and (path, start, stop, until) of byte ranges."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int]], told: list[tuple]) -> None:
+        super().__init__(ranges)
+        self.ranges, self.told = ranges, told
+
+
+def dealt(spans: list[tuple[str, int, int]], told: list[tuple], split_bytes: int) -> list[InputPartition]:
+    """(path, start, end) spans as tasks of about split_bytes: long spans are cut, short ones put together."""
+    parts, held, size = [], [], 0
+    for path, start, end in spans:
+        for at in range(start, end, split_bytes):
+            stop = min(end, at + split_bytes)
+            if held and size + stop - at > split_bytes:
+                parts.append(_Ranges(held, []))
+                held, size = [], 0
+            held.append((path, at, stop, end))
+            size += stop - at
+    if held:
+        parts.append(_Ranges(held, []))
+    if told:
+        parts.append(_Ranges([], told))
+    return parts
+
+
+def _read(partition: _Ranges) -> Iterator[tuple]:
+    yield from partition.told
+    for one in partition.ranges:
+        yield from lines_between(*one)
 
 
 class _BatchReader(DataSourceReader):
-    def __init__(self, pattern: str) -> None:
-        self.pattern = pattern
+    def __init__(self, pattern: str, split_bytes: int) -> None:
+        self.pattern, self.split_bytes = pattern, split_bytes
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in sorted(glob.glob(self.pattern, recursive=True))]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        at = 0
-        while True:
-            rows, to = complete_lines(partition.path, at)
-            yield from rows
-            if to == at:
-                return
-            at = to
+        return dealt([(p, 0, os.path.getsize(p)) for p in sorted(glob.glob(self.pattern, recursive=True))], [], self.split_bytes)
+
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        return _read(partition)
 
 
-class _StreamReader(SimpleDataSourceStreamReader):
-    """Offsets are a cursor for each file; a batch takes at most so many bytes and lines of each."""
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are a cursor for each file. The driver plans byte ranges; tasks read them, so no line passes the driver.
 
-    def __init__(self, pattern: str, most_bytes: int, most_lines: int) -> None:
-        self.pattern, self.most_bytes, self.most_lines = pattern, most_bytes, most_lines
+    A batch takes at most most_bytes of each file (a longer line is taken whole). Where a stream goes on after a
+    restart is read from the offsets in its checkpoint; where those cannot be read, the first batch takes all there is.
+    """
+
+    def __init__(self, pattern: str, most_bytes: int, split_bytes: int, checkpoint: str | None) -> None:
+        self.pattern, self.most_bytes, self.split_bytes, self.checkpoint = pattern, most_bytes, split_bytes, checkpoint
+        self.planned: dict[str, dict] | None = None
 
     def initialOffset(self) -> dict:
+        self.planned = {}
         return {"files": "{}"}
 
-    def _read(self, start: dict, until: dict | None) -> tuple[list[tuple], dict]:
-        cursors, out = json.loads(start["files"]), []
-        for path in sorted(until or glob.glob(self.pattern, recursive=True)):
-            at, reason = continuity(path, cursors.get(path))
+    def _last_planned(self) -> dict[str, dict] | None:
+        """The cursors of the newest batch that the checkpoint knows of."""
+        folder = f"{(self.checkpoint or '').removeprefix('file:')}/offsets"
+        batches = [int(n) for n in os.listdir(folder) if n.isdigit()] if self.checkpoint and os.path.isdir(folder) else []
+        if not batches:
+            return None
+        with open(f"{folder}/{max(batches)}", encoding="utf-8") as f:
+            return json.loads(json.loads(f.read().splitlines()[-1])["files"])
+
+    def latestOffset(self) -> dict:
+        if self.planned is None:
+            self.planned = self._last_planned()
+        cursors = {}
+        for path in sorted(glob.glob(self.pattern, recursive=True)):
+            at, most = (0, None) if self.planned is None else (continuity(path, self.planned.get(path))[0], self.most_bytes)
+            end = lines_end(path, at, most)
+            cursors[path] = {"fingerprint": fingerprint(path), "offset": end, "tail": tail_hash(path, end)}
+        self.planned = cursors
+        return {"files": json.dumps(cursors, sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, after = json.loads(start["files"]), json.loads(end["files"])
+        spans, told = [], []
+        for path, cursor in after.items():
+            at, reason = continuity(path, before.get(path))
             if reason:
-                out.append((path, at, at, None, None, reason))
-            rows, to = complete_lines(path, at, self.most_bytes, self.most_lines)
-            if until is not None:
-                rows = [r for r in rows if r[2] <= until[path]["offset"]]
-            out += rows
-            last = rows[-1] if rows else None
-            if last or path not in cursors or reason:
-                cursors[path] = {"fingerprint": fingerprint(path), "offset": to, "last_start": last[1] if last else 0, "last_hash": last[4] if last else None}
-        return out, {"files": json.dumps(cursors, sort_keys=True)}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._read(start, None)
-        return iter(rows), end
+                told.append((path, at, at, None, None, reason))
+            if at < cursor["offset"]:
+                spans.append((path, at, cursor["offset"]))
+        return dealt(spans, told, self.split_bytes)
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._read(start, json.loads(end["files"]))[0])
+    def read(self, partition: _Ranges) -> Iterator[tuple]:
+        return _read(partition)
 
 
 class JsonLinesSource(DataSource):
-    """spark.read / readStream .format("jsonl_log").option("path", glob): complete lines with byte spans."""
+    """spark.read / readStream .format("jsonl_log").option("path", glob): complete lines with byte spans.
+
+    Options: split_bytes (of a task), most_bytes (of a file and batch), checkpoint (of the stream, to go on from).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -144,11 +218,14 @@ class JsonLinesSource(DataSource):
     def schema(self) -> str:
         return LINE_SCHEMA
 
+    def _number(self, name: str, otherwise: int) -> int:
+        return int(self.options.get(name, otherwise))
+
     def reader(self, schema) -> DataSourceReader:
-        return _BatchReader(self.options["path"])
+        return _BatchReader(self.options["path"], self._number("split_bytes", SPLIT_BYTES))
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _StreamReader(self.options["path"], int(self.options.get("most_bytes", 1 << 20)), int(self.options.get("most_lines", 500)))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options["path"], self._number("most_bytes", BATCH_BYTES), self._number("split_bytes", SPLIT_BYTES), self.options.get("checkpoint"))
 
 
 def _text(payload: Column, path: str) -> Column:
@@ -199,6 +276,7 @@ def parse_rollouts(lines: DataFrame) -> DataFrame:
         F.when(mirror, "mirror").otherwise("item").alias("variant"),
         session.alias("session_key"),
         _text(F.col("v"), "$.payload.id").alias("record_key"),
+        F.try_variant_get("v", "$.ordinal", "long").alias("record_ordinal"),
         _text(F.col("v"), "$.payload.call_id").alias("tool_call_id"),
         body.alias("text"),
         _text(F.col("v"), "$.timestamp").alias("observed_at"),
