@@ -55,6 +55,11 @@ def test_engine_verbs(spark, tmp_path):
     assert {r.type for r in told} == {"session_synopsis", "decision", "open_item"} and "superseded" in {r.status for r in told}
     evidence = e.get_evidence([found.items[0]["id"]], {"project_id": "p"}).collect()
     assert evidence == sorted(evidence, key=lambda r: r.ordinal)
+    shown, spent = e.pack_evidence([found.items[0]["id"], "ku::chunk:none"], {"project_id": "p"}, limit=2)
+    rows = shown.collect()
+    assert len(rows) == spent["items"] <= 2 and [r.place for r in rows] == list(range(1, len(rows) + 1)) and spent["unavailable"] == ["ku::chunk:none"]
+    hidden, nothing = e.pack_evidence([found.items[0]["id"]], {"project_id": "q"})
+    assert hidden.collect() == [] and nothing == {"items": 0, "tokens": 0, "bytes": 0, "limits": [], "unavailable": [found.items[0]["id"]]}
     sessions = spark.createDataFrame([(1,)], "session_id long")
     assert {r.change for r in e.reindex(sessions, 20, 40).collect()} == {"unchanged"}
     e.export({"project_id": "p"}, str(tmp_path / "pack"))

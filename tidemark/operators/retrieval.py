@@ -104,6 +104,64 @@ def budget_prefix(items: DataFrame, group: str | None, order: list[Column], cost
     return spent.filter(F.col("spent") <= budget)
 
 
+ANCHORS = 100
+
+
+def expand_evidence(events: DataFrame, asked: DataFrame, chunks: DataFrame | None = None, before: int = 1, after: int = 1, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
+    """What requests (request_id, evidence_id) of chunks or events are shown: their events, and a row a request.
+
+    events (event_id, session_id, ordinal, tool_call_id, ...) and chunks (chunk_id, event_ids) are those that may be
+    seen. A request's first `anchors` events, in their order, bring the events within an ordinal distance and
+    the other halves of tool pairs. The second result is (request_id, unavailable, too_many): ids that
+    nothing may be shown of, and whether anchors were left out.
+    """
+    wanted = asked.select("request_id", "evidence_id").distinct()
+    found = wanted.join(events.select(F.col("event_id").alias("evidence_id"), "event_id", "session_id", "ordinal"), "evidence_id")
+    if chunks is not None:
+        members = chunks.select(F.col("chunk_id").alias("evidence_id"), F.explode("event_ids").alias("event_id"))
+        of_chunks = wanted.join(members, "evidence_id").join(events.select("event_id", "session_id", "ordinal"), "event_id")
+        found = found.unionByName(of_chunks)
+    once = found.groupBy("request_id", "event_id").agg(F.first("session_id").alias("session_id"), F.first("ordinal").alias("ordinal"))
+    place = F.row_number().over(Window.partitionBy("request_id").orderBy("session_id", "ordinal", "event_id"))
+    numbered = once.withColumn("_n", place)
+    kept = numbered.filter(F.col("_n") <= anchors)
+    spans = kept.select("request_id", F.col("session_id").alias("_s"), (F.col("ordinal") - before).alias("_from"), (F.col("ordinal") + after).alias("_to"))
+    near = events.join(spans, (F.col("session_id") == F.col("_s")) & F.col("ordinal").between(F.col("_from"), F.col("_to"))).drop("_s", "_from", "_to")
+    if "tool_call_id" in events.columns:
+        calls = near.filter("tool_call_id is not null").select("request_id", "session_id", "tool_call_id").distinct()
+        near = near.unionByName(events.join(calls, ["session_id", "tool_call_id"]).select(near.columns))
+    lost = wanted.join(found.select("request_id", "evidence_id").distinct(), ["request_id", "evidence_id"], "left_anti")
+    summary = (
+        wanted.select("request_id").distinct()
+        .join(lost.groupBy("request_id").agg(F.sort_array(F.collect_list("evidence_id")).alias("unavailable")), "request_id", "left")
+        .join(numbered.groupBy("request_id").agg((F.max("_n") > anchors).alias("too_many")), "request_id", "left")
+        .select("request_id", F.coalesce("unavailable", F.array().cast("array<string>")).alias("unavailable"), F.coalesce("too_many", F.lit(False)).alias("too_many"))
+    )
+    return near.dropDuplicates(["request_id", "event_id"]), summary
+
+
+def pack_evidence(shown: DataFrame, summary: DataFrame, most_items: int, most_tokens: int, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The longest beginning of each request's events (with tokens and bytes) within all three budgets, and what it reached.
+
+    One pass in order of (session_id, ordinal, event_id) runs all three sums. The second result has a row a
+    request: items, tokens, bytes, limits (those that its events go beyond, by name) and unavailable ids.
+    """
+    by = Window.partitionBy("request_id").orderBy("session_id", "ordinal", "event_id")
+    along = by.rowsBetween(Window.unboundedPreceding, 0)
+    placed = shown.withColumns({"place": F.row_number().over(by), "spent_tokens": F.sum("tokens").over(along), "spent_bytes": F.sum("bytes").over(along)})
+    fits = (F.col("place") <= most_items) & (F.col("spent_tokens") <= most_tokens) & (F.col("spent_bytes") <= most_bytes)
+    # Sums never fall, so what fits is a beginning.
+    first = F.col("place") <= most_items
+    reached = placed.groupBy("request_id").agg(
+        F.count_if(fits).alias("items"), F.coalesce(F.sum(F.when(fits, F.col("tokens"))), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(fits, F.col("bytes"))), F.lit(0)).alias("bytes"),
+        F.bool_or(~first).alias("_items"), (F.sum(F.when(first, F.col("tokens"))) > most_tokens).alias("_tokens"), (F.sum(F.when(first, F.col("bytes"))) > most_bytes).alias("_bytes"),
+    )
+    told = summary.join(reached, "request_id", "left")
+    limits = F.array_compact(F.array(F.when(F.col("_items") | F.col("too_many"), "items"), F.when(F.col("_tokens"), "tokens"), F.when(F.col("_bytes"), "bytes")))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return placed.filter(fits), told.select("request_id", none("items"), none("tokens"), none("bytes"), limits.alias("limits"), "unavailable")
+
+
 def validate(candidates: DataFrame, content: DataFrame) -> DataFrame:
     """Fused candidates that content still holds with the same fingerprint, with their rows."""
     return candidates.join(content, ["entity_id", "fingerprint"])

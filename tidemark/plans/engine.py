@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import EngineError
-from tidemark.functions import ids, normalize, text
+from tidemark.functions import ids, normalize, redaction, text
 from tidemark.operators import chunking, evidence, filters, memory, retrieval, scope, search_index, sync, synopsis
 from tidemark.operators.stored_index import StoredIndex
 from tidemark.sources import workspace
@@ -306,6 +306,19 @@ class Engine:
         whole = retrieval.with_tool_partners(near, self.t.events) if "tool_call_id" in near.columns else near
         return whole.orderBy("session_id", "ordinal", "event_id").limit(1000)
 
+    def pack_evidence(self, asked: Sequence[str], boundary: Mapping[str, str | None], before: int = 1, after: int = 1, limit: float | None = None, tokens: float | None = None) -> tuple[DataFrame, dict]:
+        """The events behind up to five chunk or event ids, redacted, within the budget of a response; and what was spent, reached and not found."""
+        if not 1 <= len(asked) <= 5:
+            raise EngineError("LIMIT_EXCEEDED", "from one to five ids")
+        near, far = min(20, max(0, before)), min(20, max(0, after))
+        requests = self.spark.createDataFrame([(0, i) for i in asked], "request_id int, evidence_id string")
+        placed = self._placed(self.t.events, boundary).drop("session_id", "project_id", "workstream_id").withColumnRenamed("_session", "session_id")
+        shown, summary = retrieval.expand_evidence(placed, requests, self._visible_chunks(boundary).select("chunk_id", "event_ids"), near, far)
+        clean = redaction.redact_column(shown, "text", "_clean").withColumn("text", redaction.redact_paths(F.coalesce("_clean.text", F.lit("")))).drop("_clean")
+        sized = clean.withColumns({"tokens": text.token_count(F.col("text")), "bytes": F.octet_length("text")})
+        events, spent = retrieval.pack_evidence(sized, summary, clamp(limit, ITEMS), clamp(tokens, TOKENS), BYTES)
+        return events.orderBy("place"), spent.drop("request_id").first().asDict()
+
     def forget(self, boundary: Mapping[str, str | None], reason: str) -> None:
         """A tombstone first, so nothing of the scope is seen again; its rows go when tables are next written."""
         row = [(boundary["project_id"], boundary.get("workstream_id"), boundary.get("session_id"), reason)]

@@ -74,7 +74,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     said = F.col("kind").isin(*KINDS) & F.col("error").isNull() & ((F.length(F.trim("text")) > 0) | (F.col("kind") == "tool_result"))
     kept = parsed.filter(said | F.col("error").isNotNull() | (F.col("kind") == "session_meta"))
     clean = redaction.redact_column(kept.withColumn("text", F.when(said, capped(F.col("text")))), "text", "_clean")
-    failed = said & (F.col("_clean.failed") | F.col("_clean.text").isNull())
+    failed = said & (F.col("_clean.failed").isNotNull() | F.col("_clean.text").isNull())
     fault = F.coalesce("error", F.when(failed, "REDACTION_FAILED"))
     named = F.regexp_extract("path", r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})", 1)
     return clean.select(
