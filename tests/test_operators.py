@@ -212,9 +212,13 @@ def test_stream_commits_once(spark, tmp_path):
     assert sorted(r.text for r in spark.read.parquet(*table.parts.values()).collect()) == ["said 1 é", "said 2 é", "said 3 é"]
 
 
-def test_vector_top_takes_more_queries_than_a_block(spark):
+def test_nearest_vectors_meet_in_blocks(spark, monkeypatch):
+    from tidemark.operators import semantic
+
     vectors = spark.createDataFrame([(i, [float(i), float(i * i % 17)]) for i in range(150)], "vec_id long, v array<double>")
-    found = search_index.vector_top(vectors, vectors.selectExpr("vec_id as query_id", "v as q"), "l2", 3).collect()
+    monkeypatch.setattr(semantic, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(semantic, "BLOCK_QUERIES", 16)
+    found = semantic.nearest(vectors, vectors.selectExpr("vec_id as query_id", "v as q"), "l2", 3).collect()
     plain = {i: [float(i), float(i * i % 17)] for i in range(150)}
     far = lambda a, b: sum((x - y) ** 2 for x, y in zip(plain[a], plain[b]))
     wanted = {(q, v, n + 1) for q in plain for n, v in enumerate(sorted(plain, key=lambda v: (far(q, v), v))[:3])}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import EngineError
 from tidemark.functions import ids, normalize, redaction, text
-from tidemark.operators import chunking, evidence, filters, memory, retrieval, scope, search_index, sync, synopsis
+from tidemark.operators import chunking, evidence, filters, memory, retrieval, scope, search_index, semantic, sync, synopsis
 from tidemark.operators.stored_index import StoredIndex
 from tidemark.sources import workspace
 
@@ -24,6 +24,7 @@ from tidemark.sources import workspace
 EXTRACTORS = {"decision": "decisions-2", "open_item": "open-items-1", "session_synopsis": "synopsis-1"}
 #: Candidates of a channel, and intents that look at a session's latest chunks; fixed values.
 CANDIDATES, RECENT = 50, 10
+EXACT_INTENTS = ("exact_error", "exact_identifier")
 RECENT_INTENTS = ("latest_state", "chronology", "debugging_history")
 #: Bounds of a request: least, most and default; fixed values.
 ITEMS, TOKENS, BYTES = (1, 20, 12), (128, 6000, 6000), 131_072
@@ -48,6 +49,9 @@ class Tables:
     aliases: DataFrame
     #: (session_id, branch) of what is known of sessions; filters by branch need it.
     sessions: DataFrame | None = None
+    #: Embedding spaces with their status, and the stored vectors.
+    spaces: DataFrame | None = None
+    vectors: semantic.VectorTable | None = None
     chunks: DataFrame | None = None
     memories: DataFrame | None = None
 
@@ -128,8 +132,8 @@ class Engine:
     Chunks, memories and the index are written to the shared folder, so that a search reads them and derives nothing.
     """
 
-    def __init__(self, spark: SparkSession, tables: Tables, secret: bytes = b"local", root: str | None = None) -> None:
-        self.spark, self.t, self.secret = spark, tables, secret
+    def __init__(self, spark: SparkSession, tables: Tables, secret: bytes = b"local", root: str | None = None, provider: semantic.Provider | None = None) -> None:
+        self.spark, self.t, self.secret, self.provider = spark, tables, secret, provider
         self.root = root or workspace.new_folder(spark, "engine")
         self.stored = StoredIndex(spark, f"{self.root}/index")
         self.written = 0
@@ -180,6 +184,13 @@ class Engine:
         version = F.create_map(*(F.lit(x) for kv in EXTRACTORS.items() for x in kv))[F.col("type")]
         return decided.unionByName(items).unionByName(told).withColumn("extractor", version)
 
+    def embed(self, space_id: str) -> None:
+        """Vectors of all content in a space, by the engine's provider; the space must be that of the provider."""
+        sessions = self.t.scopes.filter("scope_kind = 'session'").select(F.col("scope_id").alias("session_key"), "project_id", "workstream_id")
+        placed = self._content().withColumn("session_key", F.col("session_id").cast("string")).join(sessions, "session_key").drop("session_id").withColumnRenamed("session_key", "session_id")
+        self.t.vectors = semantic.VectorTable(self.spark, f"{self.root}/vectors/{self.stored.generation()}")
+        self.t.vectors.write(semantic.embedded(placed, self.provider, space_id), int(self.provider.manifest()["dimensions"]))
+
     def _content(self) -> DataFrame:
         """What a search may find: chunks, and memories with their types."""
         at = F.coalesce("observed_to", "observed_from")
@@ -245,6 +256,13 @@ class Engine:
         seen = seen.withColumnsRenamed({"body": "_shown", "_body": "body"})
         lexical = self._lexical(query, intent, seen, boundary, types, paths, generation)
         merged = retrieval.interleave(lexical, CANDIDATES).select("entity_id", "channel", "rank", "fingerprint", F.col("place").alias("position"))
+        near = semantic.Found("not_applicable")
+        if intent not in EXACT_INTENTS:
+            near = semantic.retrieve(query, self.provider, self.t.spaces, self.t.vectors, boundary, CANDIDATES, types, start, end, paths, branch)
+        merged = merged.withColumn("branch", F.lit("lexical"))
+        if near.candidates is not None:
+            ranked = near.candidates.select("entity_id", F.lit("semantic").alias("channel"), "rank", "fingerprint", F.col("rank").alias("position"), F.lit("semantic").alias("branch"))
+            merged = merged.unionByName(ranked)
         fused = self._fused(merged, seen, intent, boundary)
         hits = fused.withColumn("position", F.row_number().over(Window.orderBy(F.desc("fused_score"), "entity_id")))
         ordered = hits.withColumn("position", F.row_number().over(Window.orderBy(*retrieval.chronology_order(intent))))
@@ -253,7 +271,7 @@ class Engine:
         packed, cut = pack(found, items, budget)
         more = cut or len(found) > len(packed)
         status = "partial" if more else "ok" if packed else "empty"
-        return Packed(packed, more, encode_cursor(offset + len(packed), context, self.secret) if more and packed else None, status, {"intent": intent, "generation": generation})
+        return Packed(packed, more, encode_cursor(offset + len(packed), context, self.secret) if more and packed else None, status, {"intent": intent, "generation": generation, "semantic": near.state})
 
     def _lexical(
         self, query: str, intent: str, seen: DataFrame, boundary: Mapping[str, str | None], types: Sequence[str] | None, paths: Sequence[str] | None, generation: int
@@ -280,11 +298,11 @@ class Engine:
     @staticmethod
     def _fused(merged: DataFrame, seen: DataFrame, intent: str, boundary: Mapping[str, str | None]) -> DataFrame:
         """seen rows with the score of their candidate, if that was of what the row still is."""
-        first = Window.partitionBy("entity_id").orderBy("position")
-        best = merged.withColumn("_n", F.row_number().over(first)).filter("_n = 1")  # lists of one branch: one contribution
-        match = F.struct("channel", "fingerprint", retrieval.contribution(intent).alias("part"))
+        first = Window.partitionBy("branch", "entity_id").orderBy("position")
+        once = merged.withColumn("_n", F.row_number().over(first)).filter("_n = 1")  # one contribution a branch
+        best = once.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("channel", "fingerprint", retrieval.contribution(intent).alias("part")))).alias("matches"))
         boost = F.lit(retrieval.SCOPE_BOOST if boundary.get("session_id") is not None else 0.0)
-        return evidence.survivors(best.select("entity_id", F.array(match).alias("matches"), boost.alias("boost")), seen.select("entity_id", "fingerprint")).select(
+        return evidence.survivors(best.select("entity_id", "matches", boost.alias("boost")), seen.select("entity_id", "fingerprint")).select(
             "entity_id", "fused_score"
         ).join(seen, "entity_id")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import redaction, sanitize, text
-from tidemark.operators import retrieval
-from tidemark.plans.queries import Read, query
+from tidemark.operators import retrieval, semantic
+from tidemark.plans.queries import Read, query, rounded
 
 _ITEMS, _TOKENS, _BYTES = 4, 400, 1_500
 _EVENTS_SQL = (
@@ -74,3 +74,25 @@ def sanitize_json(read: Read) -> DataFrame:
     key = F.col("event_id")
     value = F.when(key % 5 == 0, F.lit("{broken")).when(key % 7 == 0, F.lit(_DEEP)).when(key % 11 == 0, twice).otherwise(whole)
     return read("events").select("event_id", sanitize.sanitize_json(value).alias("s")).select("event_id", "s.json", "s.fault")
+
+
+@query(
+    "WITH v AS (SELECT vec_id, vec_id // 2 AS entity_id, 's' || (vec_id % 3) AS space_id, 'p' || label AS project_id, format('2024-{:02d}', vec_id % 12 + 1) AS observed_at, CASE WHEN vec_id % 4 < 3 THEN 'decision' ELSE 'chunk' END AS type, embedding::DOUBLE[] AS v FROM embeddings), "
+    "a AS (SELECT vec_id AS query_id, 'p' || label AS project_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), "
+    "d AS (SELECT query_id, entity_id, vec_id, list_distance(v, q) AS distance FROM v JOIN a ON a.project_id = v.project_id WHERE space_id IN ('s0', 's1') AND type = 'decision' AND observed_at >= '2024-03' AND observed_at <= '2024-11'), "
+    "e AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY query_id, entity_id ORDER BY distance, vec_id) = 1) "
+    "SELECT query_id, entity_id, round(distance, 9) + 0.0 AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM e QUALIFY rank <= 8"
+)
+def semantic_search(read: Read) -> DataFrame:
+    """Every twentieth vector asks inside its own project: spaces, types and times narrow before ranks; an entity has up to two vectors."""
+    key = F.col("vec_id")
+    project = F.concat(F.lit("p"), F.col("label").cast("string"))
+    rows = read("embeddings").select(
+        key.alias("vector_id"), F.floor(key / 2).alias("entity_id"), F.concat(F.lit("s"), (key % 3).cast("string")).alias("space_id"), project.alias("project_id"),
+        F.format_string("2024-%02d", (key % 12 + 1).cast("int")).alias("observed_at"), F.when(key % 4 < 3, "decision").otherwise("chunk").alias("type"),
+        F.col("embedding").cast("array<double>").alias("v"), F.lit("f").alias("fingerprint"),
+    )
+    among = semantic.narrowed(rows, "s0", None, ["decision"], "2024-03", "2024-11").unionByName(semantic.narrowed(rows, "s1", None, ["decision"], "2024-03", "2024-11"))
+    asked = read("embeddings").filter("vec_id % 20 = 0").select(key.alias("query_id"), F.col("embedding").cast("array<double>").alias("q"), project.alias("project_id"))
+    found = semantic.nearest_entities(among, asked, "l2", 8, ["project_id"])
+    return found.select("query_id", "entity_id", rounded(F.col("distance")).alias("distance"), "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids, redaction, remotes, text
-from tidemark.operators import chunking, evidence, ignore, ledger, memory, projects, retrieval, scope, search_index, sync
+from tidemark.operators import chunking, evidence, ignore, ledger, memory, projects, retrieval, scope, search_index, semantic, sync
 from tidemark.operators.stored_index import StoredIndex
 from tidemark.sources import policy, workspace
 
@@ -324,7 +324,7 @@ _VECTOR_SQL = (
 def _vectors(read: Read, metric: str) -> DataFrame:
     v = read("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return search_index.vector_top(v, asked, metric, 10).select("query_id", "vec_id", rounded(F.col("distance")).alias("distance"))
+    return semantic.nearest(v, asked, metric, 10).select("query_id", "vec_id", rounded(F.col("distance")).alias("distance"))
 
 
 @query(_VECTOR_SQL.format("1 - list_inner_product(embedding::DOUBLE[], q) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product(q, q)))"))
