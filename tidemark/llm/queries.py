@@ -61,8 +61,8 @@ def op8_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The passages to remove: document, offsets in its text, and the documents that keep them."""
-    return line_dedup.repeated_passages(table(spark, sf_dir, "documents"), line_dedup.PASSAGE_WORDS).drop("_key")
+    """Every repeat to remove, however short: document, offsets in its text, and the documents that keep it."""
+    return line_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("_key")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
