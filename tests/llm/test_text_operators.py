@@ -561,6 +561,24 @@ def test_long_runs_of_signs_take_linear_time(spark):
     assert time.perf_counter() - began < 30
 
 
+def test_a_script_ends_at_its_end_tag_whatever_its_slash():
+    texts = lambda page: [b.text for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>one<script src=x />bad()</script><p>two") == texts("<p>one<script src=x>bad()</script><p>two") == ["one", "two"]
+    assert texts("<p>one<svg><script src=x /><g>shape</g></svg><p>two") == ["one", "two"]
+
+
+def test_words_to_fit_are_a_parameter(spark):
+    texts = ["w " * n for n in range(1, 40)] * 3
+    docs = documents(spark, texts, ["a", "b", "c"] * 39)
+    for fit_words in (0, 5, 65_536):
+        rows = mixing.mix_documents(docs, fit_words=fit_words).collect()
+        by_source = {}
+        for r in rows:
+            taken, target = by_source.get(r.source, (0, r["_target"]))
+            by_source[r.source] = taken + r["_copies"] * r["_size"], target
+        assert all(abs(taken - target) <= (1 if fit_words > 40 else 40) for taken, target in by_source.values())
+
+
 def test_every_repeat_goes_by_default_and_the_rest_stays(spark):
     rng = random.Random(17)
     once, twice = (words(rng, 6).capitalize() + "." for _ in range(2))

@@ -199,7 +199,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     close({"p"}, SCOPES - {"p"} | {"li", "td", "th", "blockquote"})
                 if tag in IMPLIED_ENDS:
                     close(IMPLIED_ENDS[tag], SCOPES)
-                if tag in _RAW_END and not closed:
+                # A closing slash counts in svg and math alone.
+                if tag in _RAW_END and not (closed and silent and any(t in ("svg", "math") for t, _ in stack)):
                     end = _RAW_END[tag].search(page, at)
                     token = reader.send(end.end() if end else len(page))
                 elif tag not in VOID_TAGS and not (closed and tag in SILENT_TAGS):

@@ -121,19 +121,21 @@ def fit_counts(lengths: dict[int, int], budget: int, fit_words: int = FIT_WORDS)
     return {n: c for n, c in taken.items() if c}
 
 
-def _choose(table: pa.Table) -> pa.Table:
+def _choose(table: pa.Table, fit_words: int = FIT_WORDS) -> pa.Table:
     """One source's (length, rows) and target -> how often all and how many more of each length."""
     lengths = dict(zip(table.column("_size").to_pylist(), table.column("_rows").to_pylist()))
     total = sum(n * c for n, c in lengths.items())
     target = round(table.column("_target")[0].as_py())
     passes = min(target // total, MOST_PASSES) if total else 0
-    picked = fit_counts(lengths, target - passes * total) if passes < MOST_PASSES and total else {}
+    picked = fit_counts(lengths, target - passes * total, fit_words) if passes < MOST_PASSES and total else {}
     name = table.column("_source")[0].as_py()
     rows = [(name, n, c, picked.get(n, 0), passes) for n, c in sorted(lengths.items())]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PICKS)], schema=_PICKS)
 
 
-def mix_documents(docs: DataFrame, seed: int = SEED, size: str = "_size", source_size: str = "_source_size", target: str = "_target", copies: str = "_copies") -> DataFrame:
+def mix_documents(
+    docs: DataFrame, seed: int = SEED, size: str = "_size", source_size: str = "_source_size", target: str = "_target", copies: str = "_copies", fit_words: int = FIT_WORDS
+) -> DataFrame:
     """docs with four new columns: its size, its source's size and target, and how often each document is taken (0, 1 or 2)."""
     spark = docs.sparkSession
     row = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # the caller's columns, out of the way of ours
@@ -151,7 +153,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED, size: str = "_size", source
         targets = materialize(targets, "targets", keep=True)
         same_source = F.col("h._source").eqNullSafe(F.col("t._source"))
         with_target = histogram.alias("h").join(targets.alias("t"), same_source).select("h._source", "_size", "_rows", "_target")
-        picks = materialize(with_target.groupBy("_source").applyInArrow(tidy_group(_choose), _PICKS_DDL), "picks", keep=True).alias("p")
+        picks = materialize(with_target.groupBy("_source").applyInArrow(tidy_group(lambda part: _choose(part, fit_words)), _PICKS_DDL), "picks", keep=True).alias("p")
 
     keyed = (
         sized.alias("d")
