@@ -60,9 +60,11 @@ _UNITS = pa.schema(
         ("_digest", pa.int64()),
         ("_before", pa.int32()),
         ("_after", pa.int32()),
+        ("_left", pa.int32()),
+        ("_right", pa.int32()),
     ]
 )
-_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long, _before int, _after int"
+_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long, _before int, _after int, _left int, _right int"
 _EDGES = pa.schema([("_k", pa.int64()), ("_n", pa.int32()), ("_hashes", pa.binary()), ("_starts", pa.binary()), ("_ends", pa.binary())])
 _EDGES_DDL = "_k long, _n int, _hashes binary, _starts binary, _ends binary"
 
@@ -140,10 +142,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, docs = (batch.column(i).slice(at, len(offsets) - 1).to_numpy() for i in (0, 1))
             words = units.words
             beside = np.concatenate([[0], words, [0]])
+            # The words beside a unit, by the hashes that words are compared by.
+            word = np.concatenate([[0], (units.hashes >> U64(32)).astype(np.uint32).view(np.int32), [0]]).astype(np.int32)
             same = np.concatenate([[False], units.row[1:] == units.row[:-1], [False]]) if len(words) else np.zeros(1, bool)
             columns = (
                 keys[units.row], docs[units.row], units.no, units.word_starts[units.first], units.word_ends[units.last], words,
                 units.digest.view(np.int64), np.where(same[:-1], beside[:-2], 0), np.where(same[1:], beside[2:], 0),
+                np.where(same[:-1], word[units.first], 0), np.where(same[1:], word[units.last + 2], 0),
             )
             for start in range(0, len(words), 1 << 16):
                 part = [pa.array(c[start : start + (1 << 16)], f.type) for c, f in zip(columns, _UNITS)]
@@ -196,17 +201,20 @@ def _agreeing(left: pd.Series, own: pd.Series, kept: pd.Series, starts: pd.Serie
 
 
 def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
-    """runs with start, end and n_words carried on into the units beside them."""
-    side = lambda left, no, kept_key, kept_no, least: F.struct(
-        F.lit(left).alias("_left"), no.alias("_no"), kept_key.alias("_kept_key"), kept_no.alias("_kept_no"), least.alias("_least")
+    """runs with start, end and n_words carried on into the units beside them.
+
+    Only units whose word next to the run agrees with the kept one's are looked at; all others carry on by nothing.
+    """
+    side = lambda left, agrees, no, kept_key, kept_no, least: F.struct(
+        F.lit(left).alias("_left"), agrees.alias("_agrees"), no.alias("_no"), kept_key.alias("_kept_key"), kept_no.alias("_kept_no"), least.alias("_least")
     )
     first, last = F.col("_head"), F.col("_tail")
     low = F.when(first["_kept_key"] == F.col("_key"), first["_kept_end"]).otherwise(F.lit(0))
     sides = F.array(
-        side(True, first["_no"] - 1, first["_kept_key"], first["_kept_no"] - 1, low),
-        side(False, last["_no"] + 1, last["_kept_key"], last["_kept_no"] + 1, F.lit(0).cast("long")),
+        side(True, first["_left"] == first["_kept_left"], first["_no"] - 1, first["_kept_key"], first["_kept_no"] - 1, low),
+        side(False, last["_right"] == last["_kept_right"], last["_no"] + 1, last["_kept_key"], last["_kept_no"] + 1, F.lit(0).cast("long")),
     )
-    edges = runs.select("_key", "_doc", "_run", F.explode(sides).alias("_s")).select("_key", "_doc", "_run", "_s.*").filter("_no >= 0 and _kept_no >= 0")
+    edges = runs.select("_key", "_doc", "_run", F.explode(sides).alias("_s")).select("_key", "_doc", "_run", "_s.*").filter("_agrees and _no >= 0 and _kept_no >= 0").drop("_agrees")
     wanted = edges.select("_key", "_no").union(edges.select("_kept_key", "_kept_no")).distinct()
     by_doc = materialize(wanted.groupBy(F.col("_key").alias("_k")).agg(F.collect_list("_no").alias("_wanted")), "wanted")
     asked = by_doc.agg(F.sum(F.size("_wanted"))).first()[0] or 0
@@ -228,12 +236,12 @@ def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
 
 def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     units = materialize(narrow.select("_key", "_doc", "data").mapInArrow(tidy(_split), _UNITS_DDL), "units")
-    place = F.struct("_doc", "_start", "_key", "_no", "_end")
+    place = F.struct("_doc", "_start", "_key", "_no", "_end", "_left", "_right")
     digests = (
         units.groupBy("_digest")
         .agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
         .filter("_first != _last")
-        .select(F.col("_digest").alias("_d"), *(F.col(f"_first.{c}").alias(f"_kept{n}") for c, n in (("_doc", ""), ("_start", "_start"), ("_key", "_key"), ("_no", "_no"), ("_end", "_end"))))
+        .select(F.col("_digest").alias("_d"), *(F.col(f"_first.{c}").alias(f"_kept{n}") for c, n in (("_doc", ""), ("_start", "_start"), ("_key", "_key"), ("_no", "_no"), ("_end", "_end"), ("_left", "_left"), ("_right", "_right"))))
     )
     digests = materialize(digests, "digests")
     repeats = units.join(digests, units["_digest"] == digests["_d"]).filter(
@@ -241,11 +249,11 @@ def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     )
     # Rows listed twice have their units twice.
     one = repeats.groupBy("_key", "_doc", "_no").agg(
-        *(F.first(c).alias(c) for c in ("_start", "_end", "_words", "_before", "_after", "_kept", "_kept_key", "_kept_no", "_kept_end"))
+        *(F.first(c).alias(c) for c in ("_start", "_end", "_words", "_before", "_after", "_kept", "_kept_key", "_kept_no", "_kept_end", "_left", "_right", "_kept_left", "_kept_right"))
     )
     in_doc = Window.partitionBy("_key", "_doc").orderBy("_no")
     runs = one.withColumn("_run", F.col("_no") - F.row_number().over(in_doc))
-    at = F.struct("_no", "_before", "_after", "_kept_key", "_kept_no", "_kept_end")
+    at = F.struct("_no", "_before", "_after", "_kept_key", "_kept_no", "_kept_end", "_left", "_right", "_kept_left", "_kept_right")
     found = runs.groupBy("_key", "_doc", "_run").agg(
         F.min("_start").alias("start"),
         F.max("_end").alias("end"),
