@@ -64,6 +64,14 @@ def test_engine_verbs(spark, tmp_path):
     assert {r.change for r in e.reindex(sessions, 20, 40).collect()} == {"unchanged"}
     e.export({"project_id": "p"}, str(tmp_path / "pack"))
     assert spark.read.text(str(tmp_path / "pack")).filter(F.col("value").contains("red cache")).count()
+    assert e.forget({"project_id": "none"}, "asked") == "not_found"
+    assert e.forget({"project_id": "p", "session_id": "1"}, "asked", "t0", purge=False) == "pending"
+    assert {i["session"] for i in e.search("lantern", {"project_id": "p"}).items} == {"2"} and e.t.events.filter("session_id = 1").count() == 6
+    assert e.forget({"project_id": "p", "session_id": "1"}, "asked", "t1") == e.forget({"project_id": "p", "session_id": "1"}, "asked", "t2") == "complete"
+    assert [tuple(r) for r in e.t.tombstones.select("status", "excluded_at", "updated_at").collect()] == [("deleted", "t0", "t1")]
+    for left in (e.t.events, e.t.chunks, e.t.memories):
+        assert {r.session_id for r in left.select("session_id").distinct().collect()} == {2, 3}
+    assert e.stored.marks().count() == e.t.chunks.count() + e.t.memories.count()
     e.forget({"project_id": "p"}, "asked")
     assert e.search("lantern", {"project_id": "p"}).status == "excluded"
     assert e.search("lantern", {"project_id": "q"}).items

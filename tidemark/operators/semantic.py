@@ -138,6 +138,12 @@ class VectorTable:
             raise ValueError(f"vectors of the space have {dimensions} finite components")
         vectors.withColumn("bucket", self._bucket()).write.mode("append").partitionBy("space_id", "bucket").parquet(self.path)
 
+    def without(self, sessions: DataFrame, path: str) -> VectorTable:
+        """The vectors but those of some sessions, as a table in another place."""
+        rows = self.spark.read.parquet(self.path)
+        rows.join(sessions, "session_id", "left_anti").select(rows.columns).write.partitionBy("space_id", "bucket").parquet(path)
+        return VectorTable(self.spark, path)
+
     def read(self, space_id: str, project_id: str | None = None) -> DataFrame:
         rows = self.spark.read.parquet(self.path).withColumn("space_id", F.col("space_id").cast("string")).filter(F.col("space_id") == space_id)
         if project_id is not None:

@@ -11,12 +11,12 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.errors import EngineError
 from tidemark.functions import ids, normalize, redaction, text
-from tidemark.operators import chunking, evidence, filters, memory, retrieval, scope, search_index, semantic, sync, synopsis
+from tidemark.operators import chunking, evidence, filters, forget, memory, retrieval, scope, search_index, semantic, sync, synopsis
 from tidemark.operators.stored_index import StoredIndex
 from tidemark.sources import workspace
 
@@ -337,11 +337,47 @@ class Engine:
         events, spent = retrieval.pack_evidence(sized, summary, clamp(limit, ITEMS), clamp(tokens, TOKENS), BYTES)
         return events.orderBy("place"), spent.drop("request_id").first().asDict()
 
-    def forget(self, boundary: Mapping[str, str | None], reason: str) -> None:
-        """A tombstone first, so nothing of the scope is seen again; its rows go when tables are next written."""
-        row = [(boundary["project_id"], boundary.get("workstream_id"), boundary.get("session_id"), reason)]
-        schema = "project_id string, workstream_id string, session_id string, reason string"
-        self.t.tombstones = self.t.tombstones.select("project_id", "workstream_id", "session_id", "reason").unionByName(self.spark.createDataFrame(row, schema))
+    def forget(self, boundary: Mapping[str, str | None], reason: str, now: str | None = None, purge: bool = True) -> str:
+        """not_found, pending or complete: a tombstone first, so nothing of the scope is seen again; then its rows go.
+
+        The rows, postings and vectors of its sessions go with what is linked to them; the tombstone stays and says so.
+        """
+        known = self.t.scopes.select("scope_kind", "scope_id", "project_id", "workstream_id")
+        sessions = known.filter("scope_kind = 'session'").select("project_id", "workstream_id", F.col("scope_id").alias("session_id"))
+        kind = "session" if boundary.get("session_id") else "workstream" if boundary.get("workstream_id") else "project"
+        if not known.filter((F.col("scope_kind") == kind) & (F.col("scope_id") == boundary[f"{kind}_id"])).limit(1).count():
+            return "not_found"
+        marks = self.t.tombstones
+        same = F.lit(True)
+        for part in scope.PARTS:
+            same &= F.col(part).eqNullSafe(F.lit(boundary.get(part)))
+        if "status" in marks.columns and marks.filter(same & (F.col("status") == forget.DELETED)).limit(1).count():
+            return "complete"
+        self._mark(boundary, reason, forget.PENDING, now, same)
+        if not purge or self.t.chunks is None:
+            return "pending"
+        gone = self._store(forget.sessions_within(sessions, boundary), "gone")
+        left = forget.cascade(gone, self.t.events, self.t.chunks, self.t.memories)
+        touched = self._store(self.t.chunks.join(left.gone_chunks, "chunk_id", "left_semi").select(F.col("session_id").cast("string").alias("session_id")).distinct().unionByName(gone).distinct(), "touched")
+        self.t.events = self._store(left.events, "events")
+        self.t.chunks, self.t.memories = self._store(left.chunks, "chunks"), self._store(left.memories, "memories")
+        self.stored.update(self._content().join(touched, "session_id", "left_semi"), touched)
+        if self.t.vectors is not None:
+            self.t.vectors = self.t.vectors.without(gone, f"{self.root}/vectors/{self.written}-kept")
+        self._mark(boundary, reason, forget.DELETED, now, same)
+        return "complete"
+
+    def _mark(self, boundary: Mapping[str, str | None], reason: str, status: str, now: str | None, same: Column) -> None:
+        """The scope's tombstone in a new status; when it was first set is kept."""
+        at = F.coalesce(F.lit(now), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        marks = self.t.tombstones
+        for c in ("status", "excluded_at", "updated_at"):
+            if c not in marks.columns:
+                marks = marks.withColumn(c, F.lit(None).cast("string"))
+        row = self.spark.createDataFrame([(boundary["project_id"], boundary.get("workstream_id"), boundary.get("session_id"), reason, status)], "project_id string, workstream_id string, session_id string, reason string, status string")
+        first = marks.filter(same).agg(F.min("excluded_at").alias("_first"))
+        made = row.crossJoin(first).select("*", F.coalesce("_first", at).alias("excluded_at"), at.alias("updated_at")).drop("_first")  # one row each
+        self.t.tombstones = self._store(marks.filter(~same).select(made.columns).unionByName(made), "tombstones")
 
     def export(self, boundary: Mapping[str, str | None], path: str) -> None:
         self.overview(boundary, ITEMS[1]).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

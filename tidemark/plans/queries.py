@@ -888,4 +888,4 @@ ORACLES["search_flagship"] = _FLAGSHIP_SQL
 QUERIES["search_flagship"] = flagship
 
 # The other query modules register themselves.
-from tidemark.plans import evidence_queries, index_queries, session_queries, synopsis_queries  # noqa: E402, F401
+from tidemark.plans import evidence_queries, index_queries, session_queries, synopsis_queries, upkeep_queries  # noqa: E402, F401
