@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import forget
 from tidemark.plans.queries import Read, query
+from tidemark.sources import rollouts
 
 _TABLES_SQL = (
     "WITH s AS (SELECT c_custkey AS session_id, n_regionkey AS project, n_nationkey AS workstream FROM customer JOIN nation ON c_nationkey = n_nationkey), "
@@ -48,3 +49,40 @@ def forget_cascade(read: Read) -> DataFrame:
         .unionByName(told("gone_chunks", left.gone_chunks, F.lit(0)))
         .unionByName(told("gone_objects", left.gone_objects, F.col("object_id")))
     )
+
+
+_RECORDS = (
+    ('{"type":"session_meta","payload":{"id":"@"}}', "accepted", None),
+    ('{"type":"response_item","payload":{"type":"message","role":"user","content":"said @"}}', "accepted", None),
+    ('{"type":"response_item","payload":{"type":"message","role":"system","content":"said @"}}', "ignored", "forbidden_role"),
+    ('{"type":"response_item","payload":{"type":"message","role":"user","content":[{"type":"image","url":"@"}]}}', "ignored", "unsupported_content"),
+    ('{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"image"},{"type":"text","text":"@"}]}}', "accepted", None),
+    ('{"type":"response_item","payload":{"type":"function_call","name":"@","arguments":{"n":1}}}', "accepted", None),
+    ('{"type":"response_item","payload":{"type":"function_call","arguments":"@"}}', "failed", "INVALID_RECORD"),
+    ('{"type":"response_item","payload":{"type":"function_call_output","call_id":"@"}}', "failed", "INVALID_RECORD"),
+    ('{"type":"response_item","payload":{"type":"function_call_output","output":null,"call_id":"@"}}', "accepted", None),
+    ('{"type":"event_msg","payload":{"type":"user_message","message":7,"text":"@"}}', "accepted", None),
+    ('{"type":"event_msg","payload":{"type":"agent_message","message":7}}', "failed", "INVALID_RECORD"),
+    ('{"type":"event_msg","payload":{"type":"item_completed","item":"@"}}', "ignored", "mirror_record"),
+    ('{"type":"turn_context","payload":{"x":"@"}}', "ignored", "internal_record"),
+    ('{"type":"@","payload":{}}', "ignored", "unsupported_record"),
+    ('{"type":7,"payload":{"x":"@"}}', "failed", "MISSING_TYPE"),
+    ('{"type":"session_meta","payload":["@"]}', "failed", "INVALID_RECORD"),
+    ('["@"]', "failed", "MISSING_TYPE"),
+    ('{"@', "failed", "MALFORMED_JSON"),
+    ("", "failed", "EMPTY_LINE"),
+)
+
+
+def _of_record(part: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {chr(39) + r[part] + chr(39) if r[part] else 'NULL'}" for i, r in enumerate(_RECORDS))
+    return f"CASE CAST(event_id % {len(_RECORDS)} AS INTEGER) {cases} END"
+
+
+@query(f"SELECT event_id, {_of_record(1)} AS state, {_of_record(2)} AS reason FROM events")
+def payload_faults(read: Read) -> DataFrame:
+    """Records of every shape, each holding its event's type: what is accepted, passed over or refused, and why."""
+    shapes = F.array(*(F.lit(r[0]) for r in _RECORDS))
+    line = F.replace(F.element_at(shapes, (F.col("event_id") % len(_RECORDS) + 1).cast("int")), F.lit("@"), F.col("event_type"))
+    rows = read("events").select("event_id", line.alias("line")).withColumn("v", F.try_parse_json("line"))
+    return rows.select("event_id", rollouts.judged(F.col("line"), F.col("v")).alias("j")).select("event_id", "j.state", "j.reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import glob
 import hashlib
 import json
@@ -239,8 +240,73 @@ def flat_content(payload: Column, path: str, most: int = 2 << 20) -> Column:
     return F.substring(F.coalesce(F.when(items.isNotNull(), joined), _text(payload, path)), 1, most)
 
 
+#: Records that are passed over, by type and by their payload's type; fixed values.
+INTERNAL_RECORDS = ("turn_context", "token_usage_record", "world_state")
+INTERNAL_ITEMS, INTERNAL_MESSAGES = ("reasoning",), ("token_count", "task_started", "task_complete", "thread_settings_applied")
+CALLS = {"function_call": "arguments", "custom_tool_call": "input"}
+RESULTS = ("function_call_output", "custom_tool_call_output")
+#: Characters of a line, a message and an identifier; fixed values.
+MOST_LINE, MOST_TEXT, MOST_IDENTIFIER = 4 << 20, 2 << 20, 512
+
+
+def _kind_of(v: Column, path: str) -> Column:
+    """The JSON kind of a part: STRING, OBJECT, ARRAY, VOID for null, or another; null where there is no such part."""
+    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), "^[A-Z]+", 0)
+
+
+def _identifier(v: Column, *paths: str) -> Column:
+    """The first of some parts that is a string of 1 to 512 characters."""
+    return F.coalesce(*(F.when((_kind_of(v, p) == "STRING") & F.length(_text(v, p)).between(1, MOST_IDENTIFIER), _text(v, p)) for p in paths))
+
+
+def judged(line: Column, v: Column) -> Column:
+    """Struct (state, reason) of a record: accepted, ignored for a reason, or failed with a code. The first rule that is met holds.
+
+    v: the line parsed. Rules name types of parts, never what they say.
+    """
+    outer, inner = _text(v, "$.type"), F.when(_kind_of(v, "$.payload.type") == "STRING", _text(v, "$.payload.type"))
+    item, message = outer == "response_item", outer == "event_msg"
+    content = _kind_of(v, "$.payload.content")
+    parts = F.try_variant_get(v, "$.payload.content", "array<variant>")
+    read = lambda e: (_text(e, "$.type").isin("text", "Text", "input_text", "output_text")) & (_kind_of(e, "$.text") == "STRING") & (F.length(_text(e, "$.text")) > 0)
+    whole = F.when(content == "STRING", F.length(_text(v, "$.payload.content")).between(1, MOST_TEXT)).when(content == "ARRAY", F.exists(parts, read))
+    unread = F.when(content == "STRING", F.length(_text(v, "$.payload.content")) > MOST_TEXT).when(content == "ARRAY", F.size(parts) > 0).otherwise(F.lit(False))
+    named = _identifier(v, "$.payload.name", "$.payload.tool").isNotNull()
+    given = functools.reduce(lambda a, b: a | b, ((inner == kind) & _kind_of(v, f"$.payload.{part}").isNotNull() for kind, part in CALLS.items()))
+    told = functools.reduce(lambda a, b: a | b, ((_kind_of(v, f"$.payload.{p}") == "STRING") & F.length(_text(v, f"$.payload.{p}")).between(1, MOST_TEXT) for p in ("message", "text")))
+    rules = [
+        (F.length(line) == 0, "failed", "EMPTY_LINE"),
+        (F.length(line) > MOST_LINE, "failed", "LINE_TOO_LONG"),
+        (v.isNull(), "failed", "MALFORMED_JSON"),
+        ((_kind_of(v, "$") != "OBJECT") | ~_is(_kind_of(v, "$.type"), "STRING"), "failed", "MISSING_TYPE"),
+        (~_is(_kind_of(v, "$.payload"), "OBJECT"), "failed", "INVALID_RECORD"),
+        (outer == "session_meta", "accepted", None),
+        (outer.isin(*INTERNAL_RECORDS), "ignored", "internal_record"),
+        (item & (inner == "message") & ~_text(v, "$.payload.role").isin("user", "assistant"), "ignored", "forbidden_role"),
+        (item & (inner == "message") & _text(v, "$.payload.role").isNull(), "ignored", "forbidden_role"),
+        (item & (inner == "message") & whole, "accepted", None),
+        (item & (inner == "message"), "ignored", F.when(unread, "unsupported_content").otherwise("unsupported_record")),
+        (item & inner.isin(*CALLS), F.when(named & given, "accepted").otherwise("failed"), F.when(~(named & given), "INVALID_RECORD")),
+        (item & inner.isin(*RESULTS), F.when(_kind_of(v, "$.payload.output").isNotNull(), "accepted").otherwise("failed"), F.when(_kind_of(v, "$.payload.output").isNull(), "INVALID_RECORD")),
+        (item & (inner == "web_search_call"), "accepted", None),
+        (item & inner.isin(*INTERNAL_ITEMS), "ignored", "internal_record"),
+        (message & inner.isin("user_message", "agent_message"), F.when(told, "accepted").otherwise("failed"), F.when(~F.coalesce(told, F.lit(False)), "INVALID_RECORD")),
+        (message & (inner == "item_completed"), "ignored", "mirror_record"),
+        (message & inner.isin(*INTERNAL_MESSAGES), "ignored", "internal_record"),
+    ]
+    made = lambda state, reason: F.struct(state if isinstance(state, Column) else F.lit(state), reason if isinstance(reason, Column) else F.lit(reason).cast("string"))
+    chosen = F.when(F.coalesce(rules[0][0], F.lit(False)), made(*rules[0][1:]))
+    for met, state, reason in rules[1:]:
+        chosen = chosen.when(F.coalesce(met, F.lit(False)), made(state, reason))
+    return chosen.otherwise(made("ignored", "unsupported_record")).cast("struct<state:string,reason:string>")
+
+
+def _is(kind: Column, wanted: str) -> Column:
+    return F.coalesce(kind == wanted, F.lit(False))
+
+
 def parse_rollouts(lines: DataFrame) -> DataFrame:
-    """(…, record_type, kind, session_key, record_key, tool_call_id, text, error) of raw lines."""
+    """(…, record_type, kind, session_key, record_key, tool_call_id, text, error, ignored) of raw lines: why a record failed or was passed over."""
     v = F.try_parse_json("line").alias("v")
     parsed = lines.withColumn("v", v)
     p = F.try_variant_get("v", "$.payload", "variant")
@@ -267,7 +333,8 @@ def parse_rollouts(lines: DataFrame) -> DataFrame:
         .when(mirror, F.coalesce(_text(F.col("v"), "$.payload.message"), _text(F.col("v"), "$.payload.text")))
         .when(kind.isin("user_message", "assistant_message"), flat_content(F.col("v"), "$.payload.content"))
     )
-    error = F.when(F.col("problem").isNotNull(), F.col("problem")).when(F.col("v").isNull(), "MALFORMED_JSON").when(outer.isNull(), "MISSING_TYPE")
+    told = judged(F.col("line"), F.col("v"))
+    error = F.coalesce("problem", F.when(told["state"] == "failed", told["reason"]))
     session = F.when(kind == "session_meta", F.coalesce(_text(F.col("v"), "$.payload.id"), _text(F.col("v"), "$.payload.session_id")))
     return parsed.select(
         *lines.columns,
@@ -281,6 +348,7 @@ def parse_rollouts(lines: DataFrame) -> DataFrame:
         body.alias("text"),
         _text(F.col("v"), "$.timestamp").alias("observed_at"),
         error.alias("error"),
+        F.when(F.col("problem").isNull() & (told["state"] == "ignored"), told["reason"]).alias("ignored"),
     )
 
 

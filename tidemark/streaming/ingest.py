@@ -71,7 +71,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     text and has a fault, as have lines and records that cannot be read.
     """
     parsed = rollouts.parse_rollouts(lines)
-    said = F.col("kind").isin(*KINDS) & F.col("error").isNull() & ((F.length(F.trim("text")) > 0) | (F.col("kind") == "tool_result"))
+    said = F.col("kind").isin(*KINDS) & F.col("error").isNull() & F.col("ignored").isNull() & ((F.length(F.trim("text")) > 0) | (F.col("kind") == "tool_result"))
     kept = parsed.filter(said | F.col("error").isNotNull() | (F.col("kind") == "session_meta"))
     clean = redaction.redact_column(kept.withColumn("text", F.when(said, capped(F.col("text")))), "text", "_clean")
     failed = said & (F.col("_clean.failed").isNotNull() | F.col("_clean.text").isNull())
