@@ -11,8 +11,8 @@ retained. Consecutive units of fewer than UNIT_WORDS words make one unit, which
 chosen digest, so that two copies of a word list fall into step wherever they begin. Every word lies
 in a unit, and only units that repeat are removed.
 
-Minima and counts are taken before shuffling, so a digest that fills the corpus is one row from
-each task; only digests that occur twice are joined back to their places.
+Digests are grouped with map-side combining, so a digest that fills the corpus is one row from each
+task; only units whose digest stands in two places are kept, and the first place of each is found among them.
 
 Defined results: null and empty texts have no units and stay as they are; rows that repeat both
 doc_id and text are one document listed more than once; a null doc_id ranks last; equal doc_ids of
@@ -60,11 +60,11 @@ _UNITS = pa.schema(
         ("_digest", pa.int64()),
         ("_before", pa.int32()),
         ("_after", pa.int32()),
-        ("_left", pa.int32()),
-        ("_right", pa.int32()),
+        ("_left", pa.int8()),
+        ("_right", pa.int8()),
     ]
 )
-_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long, _before int, _after int, _left int, _right int"
+_UNITS_DDL = "_key long, _doc long, _no int, _start long, _end long, _words int, _digest long, _before int, _after int, _left tinyint, _right tinyint"
 _EDGES = pa.schema([("_k", pa.int64()), ("_n", pa.int32()), ("_hashes", pa.binary()), ("_starts", pa.binary()), ("_ends", pa.binary())])
 _EDGES_DDL = "_k long, _n int, _hashes binary, _starts binary, _ends binary"
 
@@ -142,8 +142,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, docs = (batch.column(i).slice(at, len(offsets) - 1).to_numpy() for i in (0, 1))
             words = units.words
             beside = np.concatenate([[0], words, [0]])
-            # The words beside a unit, by the hashes that words are compared by.
-            word = np.concatenate([[0], (units.hashes >> U64(32)).astype(np.uint32).view(np.int32), [0]]).astype(np.int32)
+            # The words beside a unit, by a byte of their hashes: where it agrees, the words themselves are looked at.
+            word = np.concatenate([[0], (units.hashes >> U64(56)).astype(np.uint8).view(np.int8), [0]]).astype(np.int8)
             same = np.concatenate([[False], units.row[1:] == units.row[:-1], [False]]) if len(words) else np.zeros(1, bool)
             columns = (
                 keys[units.row], docs[units.row], units.no, units.word_starts[units.first], units.word_ends[units.last], words,
@@ -236,15 +236,16 @@ def _carried_on(runs: DataFrame, narrow: DataFrame) -> DataFrame:
 
 def _passages(narrow: DataFrame, min_words: int) -> DataFrame:
     units = materialize(narrow.select("_key", "_doc", "data").mapInArrow(tidy(_split), _UNITS_DDL), "units")
+    # A digest that stands in two places, by the least and the greatest hash of a place: three numbers a digest are shuffled.
+    at = F.xxhash64("_key", "_no")
+    twice = units.groupBy(F.col("_digest").alias("_d")).agg(F.min(at).alias("_low"), F.max(at).alias("_high")).filter("_low != _high").select("_d")
+    shared = units.join(materialize(twice, "digests"), units["_digest"] == F.col("_d"), "left_semi")
+    shared = materialize(shared, "shared")
     place = F.struct("_doc", "_start", "_key", "_no", "_end", "_left", "_right")
-    digests = (
-        units.groupBy("_digest")
-        .agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-        .filter("_first != _last")
-        .select(F.col("_digest").alias("_d"), *(F.col(f"_first.{c}").alias(f"_kept{n}") for c, n in (("_doc", ""), ("_start", "_start"), ("_key", "_key"), ("_no", "_no"), ("_end", "_end"), ("_left", "_left"), ("_right", "_right"))))
+    kept = shared.groupBy(F.col("_digest").alias("_d")).agg(F.min(place).alias("_first")).select(
+        "_d", *(F.col(f"_first.{c}").alias(f"_kept{n}") for c, n in (("_doc", ""), ("_start", "_start"), ("_key", "_key"), ("_no", "_no"), ("_end", "_end"), ("_left", "_left"), ("_right", "_right")))
     )
-    digests = materialize(digests, "digests")
-    repeats = units.join(digests, units["_digest"] == digests["_d"]).filter(
+    repeats = shared.join(kept, shared["_digest"] == kept["_d"]).filter(
         (F.col("_doc") != F.col("_kept")) | (F.col("_start") != F.col("_kept_start")) | (F.col("_key") != F.col("_kept_key"))
     )
     # Rows listed twice have their units twice.
