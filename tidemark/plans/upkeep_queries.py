@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import forget
+from tidemark.operators import forget, registry
 from tidemark.plans.queries import Read, query
 from tidemark.sources import rollouts
 
@@ -86,3 +86,74 @@ def payload_faults(read: Read) -> DataFrame:
     line = F.replace(F.element_at(shapes, (F.col("event_id") % len(_RECORDS) + 1).cast("int")), F.lit("@"), F.col("event_type"))
     rows = read("events").select("event_id", line.alias("line")).withColumn("v", F.try_parse_json("line"))
     return rows.select("event_id", rollouts.judged(F.col("line"), F.col("v")).alias("j")).select("event_id", "j.state", "j.reason")
+
+
+_SOURCES_SQL = (
+    "WITH k AS (SELECT o_orderkey AS k, CAST(round(o_totalprice) AS BIGINT) AS size, CASE WHEN o_orderkey % 2 = 0 THEN 'rollout' ELSE 'history' END AS kind FROM orders), "
+    "b AS (SELECT 'f' || k AS path, kind, 1 AS device, k AS inode, size, CAST(0 AS DOUBLE) AS modified_at, size - k % 4 AS committed_offset FROM k WHERE k % 3 <> 0), "
+    "a0 AS (SELECT CASE WHEN k % 11 = 0 THEN 'g' ELSE 'f' END || k AS path, kind, CASE WHEN k % 13 = 0 THEN 2 ELSE 1 END AS device, k AS inode, "
+    "CASE WHEN k % 19 = 0 THEN -1 WHEN k % 7 = 0 THEN size + 5 WHEN k % 7 = 1 THEN size - 5 ELSE size END AS size, CAST(CASE WHEN k % 17 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS modified_at FROM k WHERE k % 5 <> 0), "
+    "bad AS (SELECT path FROM a0 WHERE size < 0), a AS (SELECT * FROM a0 WHERE size >= 0), bb AS (SELECT * FROM b WHERE path NOT IN (SELECT path FROM bad)), "
+    "lost AS (SELECT * FROM bb WHERE path NOT IN (SELECT path FROM a)), fresh AS (SELECT * FROM a WHERE path NOT IN (SELECT path FROM bb)), "
+    "moved AS (SELECT fresh.*, lost.path AS moved_from, lost.committed_offset FROM fresh JOIN lost USING (kind, device, inode)), "
+    "same AS (SELECT a.*, bb.committed_offset, CASE WHEN a.device <> bb.device OR a.inode <> bb.inode THEN 'rotated' WHEN a.size < bb.size THEN 'truncated' WHEN a.size > bb.size THEN 'appended' "
+    "WHEN a.modified_at <> bb.modified_at THEN 'touched' ELSE 'unchanged' END AS change FROM a JOIN bb USING (path)), "
+    "folded AS (SELECT path, kind, device, inode, size, modified_at, CASE WHEN change IN ('rotated', 'truncated') THEN 0 ELSE committed_offset END AS committed_offset, "
+    "CASE WHEN change = 'rotated' THEN 2 ELSE 1 END AS first_seen_at, 2 AS last_seen_at, change, NULL AS moved_from FROM same "
+    "UNION ALL SELECT path, kind, device, inode, size, modified_at, committed_offset, 1, 2, 'moved', moved_from FROM moved "
+    "UNION ALL SELECT path, kind, device, inode, size, modified_at, 0, 2, 2, 'new', NULL FROM fresh WHERE path NOT IN (SELECT path FROM moved) "
+    "UNION ALL SELECT path, kind, device, inode, size, modified_at, committed_offset, 1, 1, 'missing', NULL FROM lost WHERE path NOT IN (SELECT moved_from FROM moved) "
+    "UNION ALL SELECT path, kind, device, inode, size, modified_at, committed_offset, 1, 1, 'faulty', NULL FROM b WHERE path IN (SELECT path FROM bad)) "
+)
+
+
+def _folded(read: Read) -> DataFrame:
+    """Orders as files: some grow, shrink, move, are replaced, touched, lost, new or of invalid size in the second run."""
+    key, size = F.col("o_orderkey"), F.round("o_totalprice").cast("long")
+    kind = F.when(key % 2 == 0, "rollout").otherwise("history").alias("kind")
+    orders = read("orders")
+    known = orders.filter(key % 3 != 0).select(
+        F.concat(F.lit("f"), key.cast("string")).alias("path"), kind, F.lit(1).alias("device"), key.alias("inode"), size.alias("size"), F.lit(0.0).alias("modified_at"),
+        (size - key % 4).alias("committed_offset"), F.lit(1).alias("first_seen_at"), F.lit(1).alias("last_seen_at"),
+    )
+    seen = orders.filter(key % 5 != 0).select(
+        F.concat(F.when(key % 11 == 0, "g").otherwise("f"), key.cast("string")).alias("path"), kind, F.when(key % 13 == 0, 2).otherwise(1).alias("device"), key.alias("inode"),
+        F.when(key % 19 == 0, -1).when(key % 7 == 0, size + 5).when(key % 7 == 1, size - 5).otherwise(size).alias("size"),
+        F.when(key % 17 == 0, 1.0).otherwise(0.0).alias("modified_at"),
+    )
+    return registry.fold(known, seen, F.lit(2))
+
+
+@query(_SOURCES_SQL + "SELECT * FROM folded")
+def source_registry(read: Read) -> DataFrame:
+    return _folded(read)
+
+
+@query(
+    _SOURCES_SQL + "SELECT kind, change, count(*) AS sources, CAST(sum(CASE WHEN change IN ('missing', 'faulty') THEN 0 ELSE greatest(size - committed_offset, 0) END) AS BIGINT) AS bytes_to_read "
+    "FROM folded GROUP BY 1, 2"
+)
+def ingestion_runs(read: Read) -> DataFrame:
+    return registry.run_totals(_folded(read))
+
+
+@query(
+    "WITH c AS (SELECT c_custkey AS source_id, c_custkey % 3 AS fingerprint, CAST(2000 + c_custkey % 500 AS BIGINT) AS committed_offset, c_name AS line_hash, CAST(0 AS BIGINT) AS written_at FROM customer WHERE c_custkey % 4 <> 0), "
+    "p AS (SELECT * FROM (SELECT o_custkey AS source_id, o_custkey % 3 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS fingerprint, CAST(o_orderkey % 5000 AS BIGINT) AS committed_offset, "
+    "o_orderpriority AS line_hash, o_orderkey AS written_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS place FROM orders) AS t WHERE place = 1) "
+    "SELECT source_id, p.fingerprint, p.committed_offset, p.line_hash, p.written_at, 'written' AS outcome FROM p LEFT JOIN c USING (source_id) "
+    "WHERE c.source_id IS NULL OR p.fingerprint <> c.fingerprint OR p.committed_offset >= c.committed_offset UNION ALL "
+    "SELECT source_id, c.fingerprint, c.committed_offset, c.line_hash, c.written_at, CASE WHEN p.source_id IS NULL THEN 'kept' ELSE 'refused' END FROM c LEFT JOIN p USING (source_id) "
+    "WHERE p.source_id IS NULL OR (p.fingerprint = c.fingerprint AND p.committed_offset < c.committed_offset)"
+)
+def cursor_advance(read: Read) -> DataFrame:
+    """Cursors of sources against the last order of each: written on, refused on the way back, or kept."""
+    cust, key = F.col("c_custkey"), F.col("o_orderkey")
+    cursors = read("customer").filter(cust % 4 != 0).select(
+        cust.alias("source_id"), (cust % 3).alias("fingerprint"), (2000 + cust % 500).cast("long").alias("committed_offset"), F.col("c_name").alias("line_hash"), F.lit(0).cast("long").alias("written_at")
+    )
+    proposals = read("orders").select(
+        F.col("o_custkey").alias("source_id"), (F.col("o_custkey") % 3 + F.when(key % 5 == 0, 1).otherwise(0)).alias("fingerprint"),
+        (key % 5000).cast("long").alias("committed_offset"), F.col("o_orderpriority").alias("line_hash"), key.cast("long").alias("written_at"),
+    )
+    return registry.advance(cursors, proposals)
