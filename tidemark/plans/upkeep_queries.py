@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import forget, registry
+from tidemark.operators import memory_sync as memory_upkeep
 from tidemark.plans.queries import Read, query
 from tidemark.sources import rollouts
 
@@ -157,3 +158,37 @@ def cursor_advance(read: Read) -> DataFrame:
         (key % 5000).cast("long").alias("committed_offset"), F.col("o_orderpriority").alias("line_hash"), key.cast("long").alias("written_at"),
     )
     return registry.advance(cursors, proposals)
+
+
+def _user_memories(events: DataFrame, at: str) -> DataFrame:
+    """A memory for each session and type of event: how many there are and what they come to."""
+    told = F.concat_ws("/", F.count(F.lit(1)).cast("string"), F.sum("event_id").cast("string"))
+    return events.groupBy("session_id", "event_type").agg(told.alias("body")).select(
+        F.concat_ws("/", F.col("session_id").cast("string"), "event_type").alias("memory_id"), "session_id", "body",
+        F.when(F.col("event_type") == "error", "extra").otherwise("built-in").alias("extractor_version"), F.lit(at).alias("derived_at"), F.lit(at).alias("updated_at"),
+    )
+
+
+_RUN_SQL = (
+    "SELECT user_id || '/' || event_type AS memory_id, CAST(user_id AS BIGINT) AS session_id, count(*) || '/' || CAST(sum(event_id) AS BIGINT) AS body, "
+    "CASE WHEN event_type = 'error' THEN 'extra' ELSE 'built-in' END AS extractor_version FROM events WHERE user_id IS NOT NULL AND {} GROUP BY user_id, event_type"
+)
+_FIRST = "(user_id % 3 <> 0 OR event_id % 4 <> 0) AND user_id % 11 <> 0"
+_SECOND = "(user_id % 5 <> 0 OR event_id % 3 <> 0) AND user_id % 13 <> 0"
+
+
+@query(
+    f"WITH o AS ({_RUN_SQL.format(_FIRST)}), d AS ({_RUN_SQL.format(_SECOND)}) "
+    "SELECT memory_id, d.session_id, d.body, d.extractor_version, CASE WHEN o.memory_id IS NULL THEN 'second' ELSE 'first' END AS derived_at, "
+    "CASE WHEN o.memory_id IS NULL THEN 'second' WHEN o.body = d.body THEN 'first' ELSE 'now' END AS updated_at FROM d LEFT JOIN o USING (memory_id) UNION ALL "
+    "SELECT memory_id, session_id, body, extractor_version, 'first', 'first' FROM o WHERE extractor_version = 'extra' AND memory_id NOT IN (SELECT memory_id FROM d)"
+)
+def memory_sync(read: Read) -> DataFrame:
+    """Memories after a second run over changed events: as if all were derived, from touched sessions alone."""
+    events = read("events").select("event_id", F.col("user_id").cast("long").alias("session_id"), "event_type", "user_id")
+    first, second = events.filter(_FIRST), events.filter(_SECOND)
+    content = ["event_id", "event_type"]
+    known = _user_memories(first, "first")
+    sessions = memory_upkeep.touched(memory_upkeep.session_marks(first, content), memory_upkeep.session_marks(second, content))
+    found = memory_upkeep.changes(second, sessions, known, lambda e: _user_memories(e, "second"), "now", ["built-in"])
+    return memory_upkeep.apply(known, found)
