@@ -476,6 +476,33 @@ def sets(*each):
     return jaccard_join.Sets(np.concatenate(each), np.cumsum([0, *map(len, each)]))
 
 
+def plain_labels(each, like):
+    label = list(range(len(each)))
+    for i, j in itertools.combinations(range(len(each)), 2):
+        both = len(np.intersect1d(each[i], each[j]))
+        if like.linked(len(each[i]), len(each[j]), both) and label[i] != label[j]:
+            old, name = max(label[i], label[j]), min(label[i], label[j])
+            label = [name if x == old else x for x in label]
+    return label
+
+
+def test_a_cluster_keeps_links_into_the_component_of_a_blocks_first_set():
+    # Set 65 is linked with set 200 alone, which is in one component with set 64, the first of its block.
+    of = lambda low, high: np.sort(jaccard_join.mix(np.arange(low, high, dtype=np.uint64)) >> np.uint64(16))
+    each = [of(10_000 * n, 10_000 * n + 100) for n in range(1, 202)]
+    each[0], each[64], each[200], each[65] = of(0, 100), of(0, 99), of(5, 105), of(10, 110)
+    found = jaccard_join.cluster_links(sets(*each), jaccard_join.Likeness())
+    assert found[[0, 64, 65, 200]].tolist() == [0, 0, 0, 0] and len(np.unique(found)) == 198
+
+
+def test_a_clusters_components_are_those_of_all_pairs():
+    rng, like = np.random.default_rng(8), jaccard_join.Likeness()
+    for _ in range(5):
+        at = rng.integers(0, 700, 220)
+        each = [np.sort(jaccard_join.mix(np.arange(n, n + 100, dtype=np.uint64)) >> np.uint64(16)) for n in at]
+        assert jaccard_join.cluster_links(sets(*each), like).tolist() == plain_labels(each, like)
+
+
 @pytest.mark.parametrize("cells", [2, 3, 4])
 @pytest.mark.parametrize("like", [jaccard_join.Likeness(), jaccard_join.Likeness(per_inter=80, spread=1.95, spare=0.2)])
 def test_similar_sets_share_a_signature(like, cells):

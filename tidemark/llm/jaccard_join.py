@@ -337,22 +337,26 @@ def cluster_links(sets: Sets, like: Likeness) -> np.ndarray:
     sketches = Sketches(sets.sketches(), sizes)
     label = np.arange(len(sizes))
     for start in range(0, len(sizes), 64):
-        rows = np.arange(start, min(start + 64, len(sizes)))
-        others = np.flatnonzero((label != label[start]) | (np.arange(len(sizes)) <= rows[-1]))
-        others = others[others >= start]
-        near = sketches.near(rows, others, like)
-        for i, row in zip(rows, near):
-            open_sets = others[row]
-            open_sets = open_sets[(open_sets > i) & (label[open_sets] != label[i])]
-            if not len(open_sets):
-                continue
-            own, theirs = sets.features[sets.bounds[i] : sets.bounds[i + 1]], sets.take(open_sets)
-            at = np.minimum(np.searchsorted(own, theirs.features), len(own) - 1)
-            both = np.bincount(theirs.owners(), own[at] == theirs.features, minlength=len(open_sets))
-            linked = open_sets[like.linked(len(own), theirs.sizes, both)]
-            if len(linked):
-                joined = np.isin(label, np.append(label[linked], label[i]))
-                label[joined] = label[joined].min()
+        block = np.arange(start, min(start + 64, len(sizes)))
+        # A component's sets are left out for those rows alone that are in it; the block's other rows may link with them.
+        names, rows_in = np.unique(label[block], return_counts=True)
+        most = names[rows_in.argmax()]
+        inside = label[block] == most
+        later = np.arange(start, len(sizes))
+        for rows, others in ((block[inside], later[label[later] != most]), (block[~inside], later)):
+            near = sketches.near(rows, others, like)
+            for i, row in zip(rows, near):
+                open_sets = others[row]
+                open_sets = open_sets[(open_sets > i) & (label[open_sets] != label[i])]
+                if not len(open_sets):
+                    continue
+                own, theirs = sets.features[sets.bounds[i] : sets.bounds[i + 1]], sets.take(open_sets)
+                at = np.minimum(np.searchsorted(own, theirs.features), len(own) - 1)
+                both = np.bincount(theirs.owners(), own[at] == theirs.features, minlength=len(open_sets))
+                linked = open_sets[like.linked(len(own), theirs.sizes, both)]
+                if len(linked):
+                    joined = np.isin(label, np.append(label[linked], label[i]))
+                    label[joined] = label[joined].min()
     return label
 
 
