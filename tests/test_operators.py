@@ -107,6 +107,19 @@ def test_visibility_nulls_and_specificity(spark):
     assert [r.reason for r in scope.most_specific(rows, gone, "k").collect()] == ["one"]
 
 
+def test_tombstones_meet_rows_by_all_their_set_parts(spark):
+    schema = "project_id string, workstream_id string, session_id string"
+    part = lambda c: F.when(F.col("id") >= 0, c)
+    rows = spark.range(20_000).select(part(F.lit("p")).alias("project_id"), part(F.lit("w")).alias("workstream_id"), part(F.col("id").cast("string")).alias("session_id"), F.col("id").alias("k"))
+    gone = rows.filter("k % 2 = 0").select(*schema.replace(" string", "").split(", "), F.lit("gone").alias("reason"))
+    for found in (scope.visible(rows, gone), scope.most_specific(rows, gone, "k")):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        # Every join that has a session's tombstones on one side is on the session too, not on the project with a rest.
+        assert joins and not any(" OR " in line for line in joins)
+        assert found.count() == 10_000
+
+
 def test_levels_of_many_tombstones_agree_with_the_one_broadcast(spark):
     parts = lambda n: (f"p{n % 3}", [None, "v", "w"][n // 3 % 3], [None, "s", "t"][n // 9 % 3])
     schema = "project_id string, workstream_id string, session_id string"

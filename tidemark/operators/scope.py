@@ -34,53 +34,44 @@ def same_scope(left: str, right: str) -> Column:
     return found
 
 
-def _covers(x: str, c: str) -> Column:
-    """Tombstone x hides row c: unset parts of x are wildcards, set ones never match a null."""
-    found = F.col(f"{c}.project_id") == F.col(f"{x}.project_id")
-    for part in PARTS[1:]:
-        found &= F.col(f"{x}.{part}").isNull() | (F.col(f"{c}.{part}") == F.col(f"{x}.{part}"))
-    return found
-
-
-def _by_level(tombstones: DataFrame) -> list[tuple[Column, DataFrame]]:
-    """Tombstones by which parts they set, each with the equalities alone that it hides rows by."""
+def _by_level(tombstones: DataFrame) -> list[tuple[list[str], DataFrame]]:
+    """Tombstones by which parts they set: those parts, and the tombstones that set them alone. Unset parts are wildcards."""
     levels = []
     for workstream in (False, True):
         for session in (False, True):
             named = [c for c, there in zip(PARTS, (True, workstream, session)) if there]
             of = tombstones.filter(F.col("workstream_id").isNotNull() == workstream).filter(F.col("session_id").isNotNull() == session)
-            met = F.lit(True)
-            for c in named:
-                met &= F.col(f"c.{c}") == F.col(f"x.{c}")
-            levels.append((met, of))
+            levels.append((named, of))
     return levels
 
 
-def _joins(tombstones: DataFrame, rows: int) -> list[tuple[Column, DataFrame]]:
-    """The joins that meet all tombstones: one broadcast where they are few, else one on all set parts for each level.
-
-    Beyond the bound a join on the project alone would put a large project's rows in one task.
-    """
-    if tombstones.limit(rows + 1).count() <= rows:
-        return [(_covers("x", "c"), F.broadcast(tombstones))]
-    return [(met, small(of, rows)) for met, of in _by_level(tombstones)]
+def _meets(named: list[str]) -> Column:
+    """Row c has a tombstone's set parts; set ones never match a null."""
+    met = F.lit(True)
+    for c in named:
+        met &= F.col(f"c.{c}") == F.col(f"x.{c}")
+    return met
 
 
 def visible(content: DataFrame, tombstones: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Rows that no tombstone hides, whatever its status."""
+    """Rows that no tombstone hides, whatever its status.
+
+    A join for each level on all parts that it sets: on the project alone each row would meet all its project's tombstones.
+    """
     kept = content
-    for met, marks in _joins(tombstones.select(*PARTS).distinct(), rows):
-        kept = kept.alias("c").join(marks.alias("x"), met, "left_anti")
+    for named, of in _by_level(tombstones):
+        kept = kept.alias("c").join(small(of.select(*PARTS).distinct(), rows).alias("x"), _meets(named), "left_anti")
     return kept
 
 
 def most_specific(hidden: DataFrame, tombstones: DataFrame, key: str, rows: int = SMALL_ROWS) -> DataFrame:
     """Each hidden row with the narrowest tombstone that hides it."""
-    level = F.when(F.col("x.session_id").isNotNull(), 3).when(F.col("x.workstream_id").isNotNull(), 2).otherwise(1)
-    found = [
-        hidden.alias("c").join(marks.alias("x"), met).select(f"c.{key}", F.struct((-level).alias("at"), F.col("x.reason").alias("reason")).alias("_best"))
-        for met, marks in _joins(tombstones, rows)
-    ]
+    found = []
+    for named, of in _by_level(tombstones):
+        level = 3 if "session_id" in named else 2 if "workstream_id" in named else 1
+        # One row for each scope: a scope's many tombstones are not joined with all its rows.
+        best = of.groupBy(*named).agg(F.min(F.struct(F.lit(-level).alias("at"), "reason")).alias("_best"))
+        found.append(hidden.alias("c").join(small(best, rows).alias("x"), _meets(named)).select(f"c.{key}", "x._best"))
     best = functools.reduce(DataFrame.union, found).groupBy(key).agg(F.min("_best").alias("_best"))
     return best.select(key, (-F.col("_best.at")).alias("level"), F.col("_best.reason").alias("reason"))
 
