@@ -184,8 +184,8 @@ def held(key: object, make: Callable[[], object]):
     return _held[key]
 
 
-def _trim() -> None:
-    """Give freed memory back: a reused worker else keeps the most it ever held."""
+def give_back() -> None:
+    """Give freed memory back: a reused worker, or the driver, else keeps the most it ever held."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -204,7 +204,7 @@ def tidy(run: Callable[..., Iterator], keeps: object = None) -> Callable[..., It
         try:
             yield from run(batches)
         finally:
-            _trim()
+            give_back()
 
     return of
 
@@ -218,7 +218,7 @@ def tidy_group(run: Callable[..., pa.Table], large: int = 4 << 20) -> Callable[.
         made = run(rows)
         del rows
         if size >= large:
-            _trim()
+            give_back()
         return made
 
     return of

@@ -165,6 +165,8 @@ def shingles(data: bytes, words: int) -> np.ndarray:
 
 #: A signature of fewer features says nothing: such are left out where that loses no link.
 LIGHT = 1
+#: Bits left out of a shuffled signature: 40 stay. Equal signatures stay equal, and pairs met by chance are compared as all are.
+SIG_CUT = 24
 #: Bits of a node's sketch: the parity of its features in each of so many buckets.
 SKETCH_BITS = 2_048
 #: Bits of the folded sketch that is compared first.
@@ -268,7 +270,8 @@ def _signature_rows(texts: DataFrame, like: Likeness) -> DataFrame:
                 # A set's signatures are distinct but for chance; what repeats is grouped away.
                 for start in range(0, len(found), 1 << 18):
                     rows = owners[start : start + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[start : start + (1 << 18)].view(np.int64)), pa.array(nodes[fresh][rows])], names=["sig", "node"])
+                    short = found[start : start + (1 << 18)] >> U64(SIG_CUT)
+                    yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(nodes[fresh][rows])], names=["sig", "node"])
 
     return texts.select("data").mapInArrow(tidy(run), "sig long, node long")
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, held, materialize, scratch, tidy
+from tidemark.llm.common import crc_mod, give_back, held, materialize, scratch, tidy
 from tidemark.llm.kernels import U64, HashTable, mix
 
 ORDER = 6
@@ -101,12 +101,11 @@ class Backoff:
 class Model:
     """The two classes' probabilities of a character after up to ORDER - 1 others."""
 
-    def __init__(self, words: dict[str, tuple[int, int]]) -> None:
+    def __init__(self, words: Mapping[str, tuple[int, int]] | Iterable[tuple[str, tuple[int, int]]]) -> None:
         """words: ordinary and toxic occurrences of each unit."""
         self.counts = (Counter(), Counter())
-        preceding = [defaultdict(set) for _ in range(ORDER - 1)]  # by context length: gram -> what precedes it
-        alphabet = set()
-        for unit, both in words.items():
+        alphabet, longer = set(), set()  # longer: distinct grams with a character before them
+        for unit, both in words.items() if isinstance(words, Mapping) else words:
             spelt = _spell(unit)
             alphabet.update(spelt)
             for i in range(1, len(spelt)):
@@ -115,9 +114,11 @@ class Model:
                 for c in (0, 1):
                     if both[c]:
                         self.counts[c][gram] += both[c]
-                for s in range(start + 1, i + 1):
-                    preceding[i - s][spelt[s : i + 1]].add(spelt[s - 1])
-        pooled = [Counter({g: len(before) for g, before in own.items()}) for own in preceding]
+                longer.update(spelt[s : i + 1] for s in range(start, i))
+        pooled = [Counter() for _ in range(ORDER - 1)]  # by context length: gram -> number of characters that precede it
+        for g in longer:
+            pooled[len(g) - 2][g[1:]] += 1
+        del longer
         whole = Counter()
         for own in self.counts:
             whole.update(own)
@@ -271,6 +272,13 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+def _words(counted: pa.Table) -> Iterator[tuple[str, tuple[int, int]]]:
+    """(unit, (ordinary, toxic)) of counted units, a batch at a time as Python objects."""
+    for batch in counted.to_batches(max_chunksize=8192):
+        units, ordinary, toxic = (column.to_pylist() for column in batch.columns)
+        yield from zip(units, zip(ordinary, toxic))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[Scorer, tuple[float, float]] | float:
     """Scorer and curve, or the constant score where a class has no labelled document."""
     sample, totals = labelled_sample(docs, labels, most)
@@ -283,13 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[
         .groupBy("unit")
         .agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     )
-    scorer = Scorer.of(Model({r[0]: (r[1], r[2]) for r in counted.collect()}))
-    rows = sample.filter("for_curve").select("text", "toxic").collect()
-    y = np.array([r["toxic"] for r in rows], float)
-    if not rows or y.min() == y.max():  # too few labels for a curve of their own
+    scorer = Scorer.of(Model(_words(counted.toArrow())))
+    rows = sample.filter("for_curve").select("text", "toxic").toArrow()
+    y = rows.column("toxic").to_numpy().astype(float)
+    if not len(y) or y.min() == y.max():  # too few labels for a curve of their own
         return scorer, (-2.0, 10.0)
     share = np.where(y > 0, totals[1] / max(1, (y > 0).sum()), totals[0] / max(1, (y == 0).sum()))
-    found = np.concatenate([scorer([r["text"]]) for r in rows])
+    found = np.concatenate([scorer([text.as_py()]) for text in rows.column("text")])
     return scorer, fit_curve(found, y, share / share.mean())
 
 
@@ -297,6 +305,7 @@ def score_column(docs: DataFrame, labels: DataFrame, column: str, most: int = MO
     """docs with its text's score in a new column; no shuffle, other columns pass by."""
     with scratch(docs.sparkSession):
         fitted = fit(docs, labels, most)
+    give_back()  # the driver's Python else keeps what the counts took, fit after fit
     if isinstance(fitted, float):
         return docs.withColumn(column, F.lit(fitted))
     scorer, curve = fitted
