@@ -630,3 +630,46 @@ def test_repeats_against_a_plain_pass(spark):
         kept[i] = [line for line in text.split("\n") if not (line in seen or seen.add(line))]
     cut = {r.doc_id: r.text for r in line_dedup.remove_repeats(documents(spark, texts)).collect()}
     assert {i: [line for line in t.split("\n") if line] for i, t in cut.items()} == kept
+
+
+def test_wide_sketches_rule_out_long_sets_and_no_link():
+    rng = np.random.default_rng(11)
+    like = jaccard_join.Likeness(words=5, per_inter=80, per_union=100, cells=2, spread=1.95, spare=0.2)
+    sets = []
+    for size in (1, 5, 1900, 2047, 2048, 2100, 6000, 8192, 9000):
+        base = rng.integers(0, 1 << 48, size, dtype=np.uint64)
+        for share in (0.0, 0.1, 0.14, 0.5, 1.0):  # of the features made anew
+            one = base.copy()
+            one[: int(size * share)] = rng.integers(0, 1 << 48, int(size * share), dtype=np.uint64)
+            sets.append(np.unique(one[: rng.integers(int(size * 0.95), size) + 1]))
+    whole = jaccard_join.Sets(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]))
+    rows = np.arange(len(sets))
+    near = jaccard_join.WideSketches(whole.wide_sketches(), whole.sizes).near(rows, rows, like)
+    linked = np.array([[like.linked(len(a), len(b), len(np.intersect1d(a, b))) for b in sets] for a in sets])
+    assert linked.sum() > len(sets) + 20 and not (linked & ~near).any()
+    long = whole.sizes > 1000
+    far = np.array([[len(np.intersect1d(a, b)) == 0 for b in sets] for a in sets]) & long & long[:, None]
+    short = jaccard_join.Sketches(whole.sketches(), whole.sizes).near(rows, rows, like)
+    assert (far & short).any() and not (far & near).any()
+
+
+def test_whole_sets_of_long_texts_that_met_by_chance_are_not_moved(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    like = jaccard_join.Likeness(words=1, per_inter=80, per_union=100, cells=2, spread=1.95, spare=0.2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 7000)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([texts[0], texts[1], texts[2], texts[0] + " one more"])], "doc_id long, text string")
+    rows = jaccard_join._signature_rows
+    # All sets meet in one signature, as chance may have it.
+    monkeypatch.setattr(jaccard_join, "_signature_rows", lambda t, k: rows(t, k).withColumn("sig", F.lit(1).cast("long")).distinct())
+    moved, with_hubs = [], jaccard_join._with_hubs
+
+    def counted(*given):
+        made = with_hubs(*given)
+        moved.append(made.select("node").distinct().count())
+        return made
+
+    monkeypatch.setattr(jaccard_join, "_with_hubs", counted)
+    with jaccard_join.scratch(spark):
+        found = {r.doc_id: r.component_id for r in jaccard_join.components(docs, like).collect()}
+    assert found == {0: 0, 1: 1, 2: 2, 3: 0}
+    assert moved == [4, 2]  # by short sketches, by wide ones

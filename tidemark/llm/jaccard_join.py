@@ -10,7 +10,8 @@ and overlapping bands cover all sizes.
 Equal sets are one node, so exact copies cost one row from each task. Of a signature's nodes the
 smallest is the hub, and only (hub, node) pairs are made, never all pairs of a group. A cluster is a
 hub with its nodes; first it falls into the parts that 256-byte parity sketches leave together (a
-link between parts is ruled out exactly), and only nodes of parts of several get their sets moved.
+link between parts is ruled out exactly), then, as those say nothing of long sets, into the parts that sketches
+of a bit a feature leave; only nodes of parts of several get their sets moved.
 Inside a cluster the sketch-near pairs that are not joined yet are compared by their whole sets, so all
 similar pairs count exactly, also those that miss the hub. Clusters
 too large for one task are split: each node is compared with the hub alone, and goes on to smaller
@@ -119,6 +120,19 @@ class Sets:
         at = self.owners() * SKETCH_BITS + (mix(self.features) % U64(SKETCH_BITS)).astype(np.int64)
         return np.packbits((np.bincount(at, minlength=rows * SKETCH_BITS) & 1).astype(np.uint8).reshape(rows, SKETCH_BITS), axis=1)
 
+    def wide_sketches(self) -> list[bytes]:
+        """Sketches of at least as many bits as a set has features: a long set's tell more than SKETCH_BITS can."""
+        found = [b""] * len(self.sizes)
+        bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
+        for width in np.unique(bits).tolist():
+            rows = np.flatnonzero(bits == width)
+            own = self.take(rows)
+            at = own.owners() * width + (mix(own.features) % U64(width)).astype(np.int64)
+            packed = np.packbits((np.bincount(at, minlength=len(rows) * width) & 1).astype(np.uint8).reshape(len(rows), width), axis=1)
+            for row, one in zip(rows.tolist(), packed):
+                found[row] = one.tobytes()
+        return found
+
     def stored(self) -> pa.Array:
         """Each set as binary, six bytes a feature."""
         return binaries(self.features.view(np.uint8).reshape(-1, 8)[:, :6], 6 * self.bounds)
@@ -221,7 +235,7 @@ def signatures(sets: Sets, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
 
 
 _IDS_DDL = "_key long, doc_id long, n long, node long, sketch binary"
-_FEATURES_DDL = "node long, n long, features binary"
+_FEATURES_DDL = "node long, n long, features binary, wide binary"
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -277,12 +291,12 @@ def _signature_rows(texts: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _features_of(texts: DataFrame, ids: DataFrame, nodes: DataFrame, like: Likeness) -> DataFrame:
-    """(node, n, features) of the given nodes, each from one of its documents."""
+    """(node, n, features, wide sketch) of the given nodes, each from one of its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, sets in _sets_of_chunks(batch.column(1), like):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets.sizes)), pa.array(sets.sizes), sets.stored()], names=["node", "n", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets.sizes)), pa.array(sets.sizes), sets.stored(), pa.array(sets.wide_sketches(), pa.binary())], names=["node", "n", "features", "wide"])
 
     one = materialize(ids.join(nodes, "node").groupBy("node").agg(F.min("_key").alias("_key")), "one")
     one = F.broadcast(one) if one.count() <= BROADCAST_NODES else one
@@ -331,6 +345,41 @@ class Sketches:
         return near
 
 
+class WideSketches:
+    """Sketches of several widths, each a power of two; of two sets the wider one is folded to the other's width."""
+
+    def __init__(self, stored: list[bytes], sizes: np.ndarray) -> None:
+        self.sizes, self.width, self.place = sizes, np.array([len(one) for one in stored]), np.zeros(len(sizes), np.int64)
+        self.packed: dict[tuple[int, int], np.ndarray] = {}
+        for width in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == width)
+            self.place[rows] = np.arange(len(rows))
+            self.packed[width, width] = np.frombuffer(b"".join(stored[row] for row in rows.tolist()), U64).reshape(len(rows), -1)
+
+    def _folded(self, width: int, to: int) -> np.ndarray:
+        if (width, to) not in self.packed:
+            whole = self.packed[width, width]
+            self.packed[width, to] = np.bitwise_xor.reduce(whole.reshape(len(whole), width // to, to // 8), axis=1)
+        return self.packed[width, to]
+
+    def near(self, rows: np.ndarray, others: np.ndarray, like: Likeness) -> np.ndarray:
+        """[row, other] whether sizes and sketches allow a link."""
+        a, b = self.sizes[rows][:, None], self.sizes[others]
+        most = (a + b) * (like.per_union - like.per_inter) // (like.per_union + like.per_inter)
+        near = like.linked(a, b, np.minimum(a, b))
+        for i, row in enumerate(rows):
+            own = int(self.width[row])
+            for width in np.unique(self.width[others[near[i]]]).tolist():
+                met, to = np.flatnonzero(near[i] & (self.width[others] == width)), min(own, width)
+                mine, theirs = self._folded(own, to)[self.place[row]], self._folded(width, to)
+                step = max(1, (1 << 20) // to)  # a block of about a megabyte
+                for start in range(0, len(met), step):
+                    at = met[start : start + step]
+                    apart = np.bitwise_count(mine ^ theirs[self.place[others[at]]]).sum(axis=1, dtype=np.int64)
+                    near[i, at] = apart <= most[i, at]
+        return near
+
+
 def cluster_links(sets: Sets, like: Likeness) -> np.ndarray:
     """The first set of each set's component, over all similar pairs of a cluster.
 
@@ -363,7 +412,7 @@ def cluster_links(sets: Sets, like: Likeness) -> np.ndarray:
     return label
 
 
-def sketch_parts(sketches: Sketches, like: Likeness) -> np.ndarray:
+def sketch_parts(sketches: Sketches | WideSketches, like: Likeness) -> np.ndarray:
     """Component of each set when all pairs are joined whose sketches allow a link."""
     part = np.full(len(sketches.sizes), -1)
     for start in range(len(part)):
@@ -382,14 +431,13 @@ def sketch_parts(sketches: Sketches, like: Likeness) -> np.ndarray:
     return part
 
 
-def _narrow_clusters(like: Likeness):
+def _narrow_clusters(like: Likeness, wide: bool = False):
     """A cluster's (hub, node, n, sketch) -> (hub, node) of the parts that sketches leave together, hubs named anew."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.group_by(["node"]).aggregate([("n", "min"), ("sketch", "min")]).sort_by("node")
-        nodes = rows.column("node").to_numpy()
-        packed = np.frombuffer(b"".join(rows.column("sketch_min").to_pylist()), np.uint8)
-        part = sketch_parts(Sketches(packed, rows.column("n_min").to_numpy()), like)
+        nodes, sizes, stored = rows.column("node").to_numpy(), rows.column("n_min").to_numpy(), rows.column("sketch_min").to_pylist()
+        part = sketch_parts(WideSketches(stored, sizes) if wide else Sketches(np.frombuffer(b"".join(stored), np.uint8), sizes), like)
         kept = part != np.arange(len(nodes))  # a part's first node is its hub
         return pa.table([pa.array(nodes[part[kept]]), pa.array(nodes[kept])], names=["hub", "node"])
 
@@ -432,6 +480,24 @@ def _split_rows(like: Likeness):
     return run
 
 
+def _weighed(pairs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs with `large`, and (hub, large): whether a cluster is more than a task takes."""
+    weights = (
+        pairs.join(found.select("node", "n"), "node")
+        .groupBy("hub")
+        .agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("features_in"))
+        .withColumn("large", (F.col("nodes") > CLUSTER_NODES) | (F.col("features_in") > CLUSTER_FEATURES))
+    )
+    weights = materialize(weights.select("hub", "large"), "weights")
+    return pairs.join(weights, "hub"), weights
+
+
+def _with_hubs(dealt: DataFrame, weights: DataFrame) -> DataFrame:
+    """(hub, node) of the clusters that a task takes, each hub a node of its own."""
+    small = dealt.filter("not large").select("hub", "node")
+    return small.union(weights.filter("not large").select("hub", F.col("hub").alias("node")))
+
+
 def links(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
     """Edges (a, b) between nodes whose components are those of all linked pairs."""
     edges = []
@@ -446,18 +512,18 @@ def links(texts: DataFrame, ids: DataFrame, like: Likeness) -> DataFrame:
         near = members.groupBy("hub").applyInArrow(tidy_group(_narrow_clusters(like)), "hub long, node long").distinct()
         pairs = materialize(near.union(few.filter("not few").select("hub", "node")), "near")
         found = _features_of(texts, ids, pairs.select("node").union(pairs.select("hub")).distinct(), like)
-        weights = (
-            pairs.join(found.select("node", "n"), "node")
-            .groupBy("hub")
-            .agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("features_in"))
-            .withColumn("large", (F.col("nodes") > CLUSTER_NODES) | (F.col("features_in") > CLUSTER_FEATURES))
-        )
-        weights = materialize(weights.select("hub", "large"), "weights")
-        dealt = pairs.join(weights, "hub")
-        small = dealt.filter("not large").select("hub", "node")
-        with_hub = small.union(weights.filter("not large").select("hub", F.col("hub").alias("node")))
+        # Long sets are beyond the short sketches; by wide ones the rest of chance goes before whole sets are moved.
+        dealt, weights = _weighed(pairs, found)
+        members = _with_hubs(dealt, weights).join(found.select("node", "n", F.col("wide").alias("sketch")), "node")
+        near = members.groupBy("hub").applyInArrow(tidy_group(_narrow_clusters(like, wide=True)), "hub long, node long").distinct()
+        pairs = materialize(near.union(dealt.filter("large").select("hub", "node")).distinct(), "narrow")
+        dealt, weights = _weighed(pairs, found)
+        with_hub = _with_hubs(dealt, weights)
+        needed = materialize(with_hub.select("node").distinct(), "needed")
+        needed = F.broadcast(needed) if needed.count() <= BROADCAST_NODES else needed
+        moved = found.select("node", "features").join(needed, "node", "left_semi")
         edges.append(
-            materialize(with_hub.join(found.select("node", "features"), "node").groupBy("hub").applyInArrow(tidy_group(_solve(like)), _EDGES_DDL), "links")
+            materialize(with_hub.join(moved, "node").groupBy("hub").applyInArrow(tidy_group(_solve(like)), _EDGES_DDL), "links")
         )
         if weights.filter("large").isEmpty():
             break
