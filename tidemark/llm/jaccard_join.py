@@ -125,12 +125,14 @@ class Sets:
         found = [b""] * len(self.sizes)
         bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(self.sizes, 1))).astype(np.int64))
         for width in np.unique(bits).tolist():
-            rows = np.flatnonzero(bits == width)
-            own = self.take(rows)
-            at = own.owners() * width + (mix(own.features) % U64(width)).astype(np.int64)
-            packed = np.packbits((np.bincount(at, minlength=len(rows) * width) & 1).astype(np.uint8).reshape(len(rows), width), axis=1)
-            for row, one in zip(rows.tolist(), packed):
-                found[row] = one.tobytes()
+            alike = np.flatnonzero(bits == width)
+            step = max(1, (1 << 20) // width)  # counts of 8 MB at once
+            for rows in np.split(alike, range(step, len(alike), step)):
+                own = self.take(rows)
+                at = own.owners() * width + (mix(own.features) % U64(width)).astype(np.int64)
+                packed = np.packbits((np.bincount(at, minlength=len(rows) * width) & 1).astype(np.uint8).reshape(len(rows), width), axis=1)
+                for row, one in zip(rows.tolist(), packed):
+                    found[row] = one.tobytes()
         return found
 
     def stored(self) -> pa.Array:
